@@ -20,10 +20,15 @@ def lower_az(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; a folder of our own only where it names none."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the session names; a folder of our own only where it names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage with files in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
