@@ -75,13 +75,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents with all their columns: one row per epoch a document is taken in, the last one cut to the words
     still due (joined by single spaces where it is cut)."""
-    taken = mix(docs, **how).filter(F.col("taken") > 0).select(F.col("doc_id").alias("mix_id"), F.col("size").alias("mix_size"), F.col("taken").alias("mix_taken")).dropDuplicates(["mix_id"])
-    rows = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    epoch = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("mix_taken") / F.col("mix_size")))).alias("mix_epoch")
+    taken = mix(docs, **how).filter(F.col("taken") > 0).select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken")).dropDuplicates(["__mix_id"])
+    rows = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    epoch = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__mix_taken") / F.col("__mix_size")))).alias("__mix_epoch")
     rows = rows.select("*", epoch)
-    due = F.least(F.col("mix_taken") - (F.col("mix_epoch") - 1) * F.col("mix_size"), F.col("mix_size")).cast("int")
+    due = F.least(F.col("__mix_taken") - (F.col("__mix_epoch") - 1) * F.col("__mix_size"), F.col("__mix_size")).cast("int")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(due < F.col("mix_size"), F.array_join(F.slice(words, 1, due), " ")).otherwise(F.col("text"))
+    cut = F.when(due < F.col("__mix_size"), F.array_join(F.slice(words, 1, due), " ")).otherwise(F.col("text"))
     names = [F.col(c) for c in docs.columns]
     rows = rows.withColumn("text", cut)
     if "n_chars" in docs.columns:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_files, url_filter
+from quantloom.llm import ann, chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_files, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_simhash": simhash.op3_simhash,
+    "op4_ann": ann.op4_ann,
     "op5_token_files": token_files.op5_token_files,
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,

@@ -158,8 +158,8 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents whose id is the smallest of their component, with all their columns; a document without an id stays only
     if nothing in its component has one."""
-    stay = near_dedup(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    stay = near_dedup(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay_id")).distinct()
+    return docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__stay_id")), "left_semi")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
