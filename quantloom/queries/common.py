@@ -1,6 +1,7 @@
 """Query registry: a query is a callable (spark, sf_dir) -> DataFrame, with the SQL that it is checked against.
 
-Doubles are rounded to six places on both sides, so that the order of summation does not show.
+Doubles are rounded to six places on both sides, so that the order of summation does not show; a small shift keeps exact
+halves on one side.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from quantloom import views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+SHIFT = 3e-10
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[(F.round(c, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c) + SHIFT, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def add(name: str, query: Query, sql: str | None = None) -> None:
@@ -28,7 +30,7 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
 
 def r(expr: str, name: str = "value") -> str:
     """A rounded double column of a SQL select list."""
-    return f"round(({expr})::DOUBLE, 6) + 0.0 AS {name}"
+    return f"round(({expr})::DOUBLE + 3e-10, 6) + 0.0 AS {name}"
 
 
 def over(n: int, before: int = 0, by: str = "instrument") -> str:

@@ -101,3 +101,35 @@ MEMBERS_EV = """weekly AS (
          CASE WHEN week < (SELECT max(week) FROM weekly) THEN week + 13 END AS effective_end_date, total AS score
   FROM weekly WHERE total >= 40.0
 )"""
+
+
+def bars_mo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly bars of `lineitem`, long histories for long windows: instrument l_suppkey, `day` the month's number. Discount
+    and tax stand in for funding, mark and index prices and open interest."""
+    at, p = F.struct("l_shipdate", "l_orderkey", "l_linenumber"), F.col("l_extendedprice") / F.col("l_quantity")
+    buy = F.col("l_returnflag") == "N"
+    li = read(spark, sf_dir, "lineitem").withColumn("p", p).withColumn("buy", buy | (F.pmod("l_orderkey", F.lit(3)) == 0))
+    bars = li.groupBy(F.col("l_suppkey").alias("instrument"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date")).agg(
+        F.round(F.min_by("p", at), 6).alias("open"), F.round(F.max("p"), 6).alias("high"), F.round(F.min("p"), 6).alias("low"), F.round(F.max_by("p", at), 6).alias("close"),
+        F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 3).alias("quote_volume"), F.count("*").alias("trade_count"),
+        F.sum(F.when(F.col("buy"), F.col("l_quantity")).otherwise(0.0)).alias("taker_volume"), F.round(F.sum(F.when(F.col("buy"), F.col("l_extendedprice")).otherwise(0.0)), 3).alias("taker_quote_volume"),
+        F.round(F.avg("l_discount") - 0.05, 9).alias("funding"), F.round(F.sum("l_tax") * 100, 6).alias("open_interest"),
+        F.round(F.max_by("p", at) * (1 + F.avg("l_tax") / 10), 6).alias("mark_close"), F.round(F.max_by("p", at) * (1 + F.avg("l_discount") / 10), 6).alias("index_close"),
+    )
+    return bars.withColumn("day", F.year("date") * 12 + F.month("date"))
+
+
+_AT = "(l_shipdate, l_orderkey, l_linenumber)"
+BARS_MO = f"""li AS (
+  SELECT *, l_extendedprice / l_quantity AS p, (l_returnflag = 'N' OR l_orderkey % 3 = 0) AS buy FROM lineitem
+), bars AS (
+  SELECT l_suppkey AS instrument, date_trunc('month', l_shipdate)::DATE AS date,
+         round(arg_min(p, {_AT}), 6) AS open, round(max(p), 6) AS high, round(min(p), 6) AS low, round(arg_max(p, {_AT}), 6) AS close,
+         sum(l_quantity) AS volume, round(sum(l_extendedprice), 3) AS quote_volume, count(*) AS trade_count,
+         sum(CASE WHEN buy THEN l_quantity ELSE 0 END) AS taker_volume,
+         round(sum(CASE WHEN buy THEN l_extendedprice ELSE 0 END), 3) AS taker_quote_volume,
+         round(avg(l_discount) - 0.05, 9) AS funding, round(sum(l_tax) * 100, 6) AS open_interest,
+         round(arg_max(p, {_AT}) * (1 + avg(l_tax) / 10), 6) AS mark_close, round(arg_max(p, {_AT}) * (1 + avg(l_discount) / 10), 6) AS index_close,
+         (year(date_trunc('month', l_shipdate)) * 12 + month(date_trunc('month', l_shipdate)))::INTEGER AS day
+  FROM li GROUP BY l_suppkey, date_trunc('month', l_shipdate)
+)"""
