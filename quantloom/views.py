@@ -133,3 +133,26 @@ BARS_MO = f"""li AS (
          (year(date_trunc('month', l_shipdate)) * 12 + month(date_trunc('month', l_shipdate)))::INTEGER AS day
   FROM li GROUP BY l_suppkey, date_trunc('month', l_shipdate)
 )"""
+
+
+def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly panel for cross-section work: factors x, y and w, label (next month's return), ret, sector, eligible."""
+    from quantloom.operators import rolling as R
+
+    b = bars_mo(spark, sf_dir)
+    return b.select(
+        "instrument", "date", "day", "open", "close", "volume", "quote_volume", "funding",
+        F.round((F.col("high") - F.col("low")) / F.col("close"), 9).alias("x"), F.round(F.col("taker_volume") / F.col("volume"), 9).alias("y"),
+        F.round(F.log("quote_volume"), 9).alias("w"),
+        F.round(R.roc("close", 1), 9).alias("ret"), F.round(R.future_return("close", 1), 9).alias("label"),
+        F.pmod("instrument", F.lit(7)).cast("int").alias("sector"), (F.col("trade_count") >= 4).alias("eligible"),
+    )
+
+
+_LAG1 = "max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN {0} AND {0})"
+FACTOR_PANEL = f"""{BARS_MO}, panel AS (
+  SELECT instrument, date, day, open, close, volume, quote_volume, funding, round((high - low) / close, 9) AS x, round(taker_volume / volume, 9) AS y,
+         round(ln(quote_volume), 9) AS w, round(close / {_LAG1.format('1 PRECEDING')} - 1, 9) AS ret,
+         round({_LAG1.format('1 FOLLOWING')} / close - 1, 9) AS label, (instrument % 7)::INTEGER AS sector, trade_count >= 4 AS eligible
+  FROM bars
+)"""
