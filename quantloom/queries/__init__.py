@@ -1,4 +1,4 @@
 """All queries over the panel views, and their SQL."""
 
-from quantloom.queries import cross_section, evaluation, factors, joins, rolling  # noqa: F401
+from quantloom.queries import cross_section, evaluation, factors, intraday, joins, rolling, tables  # noqa: F401
 from quantloom.queries.common import QUERIES, SQL  # noqa: F401
