@@ -12,8 +12,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows in a batch of texts that goes to a Python worker; Spark's own default of 10,000 suits narrow rows.
+BATCH_ROWS = 500
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the package from where the driver did, whatever their folder."""
+    """Let Python workers that share this file system import the package from where the driver did, whatever their folder,
+    and keep batches of texts small where the session leaves their size at the default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)

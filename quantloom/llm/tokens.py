@@ -15,7 +15,7 @@ import numpy as np
 #: White space other than blank and line end, and the cutting mark.
 _OTHER = "\0" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Pieces kept in a worker's cache, at most.
-CACHE = 1_600_000
+CACHE = 1_400_000
 #: Punctuation that a word's tokens never run into.
 _AFTER = ".,;:!?*#%&$|"
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
