@@ -187,3 +187,32 @@ def days_since_change(df: DataFrame, state: str) -> DataFrame:
     changed = F.coalesce(F.col(state) != F.lag(state).over(w), F.lit(True))
     df = df.withColumn("_run", F.sum(changed.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return df.withColumn("since", F.row_number().over(Window.partitionBy("instrument", "_run").orderBy("date")) - 1).drop("_run")
+
+
+def chandelier(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
+    """Trailing stops below the window's highest high and above its lowest low."""
+    b = bars.withColumn("tr", true_range())
+    atr = R.ts_mean("tr", n)
+    return b.select(*KEY, (R.ts_max("high", n) - k * atr).alias("long_stop"), (R.ts_min("low", n) + k * atr).alias("short_stop"))
+
+
+def parabolic(bars: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
+    """Parabolic stop and reverse: one state a day, folded over an instrument's past in order."""
+    row = F.struct(F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
+    null = F.lit(None).cast("double")
+    start = F.struct(F.lit(1).alias("side"), null.alias("stop"), null.alias("best"), F.lit(step).alias("speed"))
+
+    def fold(s, x):
+        stop = F.coalesce(s["stop"] + s["speed"] * (s["best"] - s["stop"]), x["low"])
+        best = F.coalesce(s["best"], x["high"])
+        turned = F.when(s["side"] == 1, x["low"] < stop).otherwise(x["high"] > stop)
+        side = F.when(turned, -s["side"]).otherwise(s["side"])
+        further = F.when(s["side"] == 1, x["high"] > best).otherwise(x["low"] < best)
+        reached = F.when(s["side"] == 1, F.greatest(best, x["high"])).otherwise(F.least(best, x["low"]))
+        return F.struct(
+            side.alias("side"), F.when(turned, best).otherwise(stop).alias("stop"), F.when(turned, F.when(side == 1, x["high"]).otherwise(x["low"])).otherwise(reached).alias("best"),
+            F.when(turned, step).when(further, F.least(s["speed"] + step, F.lit(most))).otherwise(s["speed"]).alias("speed"),
+        )
+
+    s = F.aggregate(F.collect_list(row).over(R.past()), start, fold)
+    return bars.withColumn("_s", s).select(*KEY, F.col("_s.side").alias("side"), F.col("_s.stop").alias("stop"))

@@ -70,6 +70,17 @@ def replace_dates(old: DataFrame, new: DataFrame, date: str = "date") -> DataFra
     return old.join(new.select(date).distinct(), date, "left_anti").unionByName(new)
 
 
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], business: Sequence[str]) -> DataFrame:
+    """old with new's rows where a key is new or a business column differs; other columns alone change nothing."""
+    cols = old.columns
+    a, b = old.select(*key, F.struct(*cols).alias("_old")), new.select(*key, F.struct(*cols).alias("_new"))
+    same = F.lit(True)
+    for c in business:
+        same = same & F.col(f"_old.{c}").eqNullSafe(F.col(f"_new.{c}"))
+    row = F.when(F.col("_new").isNull() | (F.col("_old").isNotNull() & same), F.col("_old")).otherwise(F.col("_new"))
+    return a.join(b, list(key), "full_outer").select(row.alias("_row")).select("_row.*")
+
+
 def latest_metadata(rows: DataFrame) -> DataFrame:
     """The newest value of every key."""
     return rows.groupBy("key").agg(F.max_by("value", "updated_at").alias("value"))
