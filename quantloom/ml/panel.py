@@ -68,14 +68,17 @@ def candidates() -> dict:
 
 
 def walk_forward(data: DataFrame, folds: Sequence[tuple[str, str, str]], models: dict) -> DataFrame:
-    """Out-of-sample predictions of every model and fold: fit on labels that are known before the test quarter begins."""
-    out = None
+    """Out-of-sample predictions of every model and fold: fit on labels that are known before the test quarter begins. Folds
+    without training rows give no predictions."""
+    out = data.sparkSession.createDataFrame([], "instrument long, date date, factor double, model_id string, quarter string")
     for start, test, end in folds:
         train = data.filter((F.col("date") >= start) & (F.add_months("date", 1) < test) & F.col("target").isNotNull())
         held = data.filter((F.col("date") >= test) & (F.col("date") <= end) & F.col("present"))
+        if train.isEmpty():
+            continue
         for name, model in models.items():
             p = model.fit(train).transform(held).select("instrument", "date", F.col("prediction").alias("factor"), F.lit(name).alias("model_id"), F.lit(test).alias("quarter"))
-            out = p if out is None else out.unionByName(p)
+            out = out.unionByName(p)
     return out
 
 

@@ -22,10 +22,21 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[(F.round(F.col(c) + SHIFT, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
+def counted(sql: str) -> str:
+    """count_if(c) as count(*) FILTER (WHERE c), which is 0 and not null where c is null throughout."""
+    while (at := sql.find("count_if(")) >= 0:
+        end, depth = at + 9, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        sql = f"{sql[:at]}count(*) FILTER (WHERE {sql[at + 9 : end - 1]}){sql[end:]}"
+    return sql
+
+
 def add(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = lambda spark, sf_dir: rounded(query(spark, sf_dir))
     if sql:
-        SQL[name] = sql
+        SQL[name] = counted(sql)
 
 
 def r(expr: str, name: str = "value") -> str:
