@@ -48,3 +48,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with files in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: A key with more than one in so many of all rows is hot; so there are fewer hot keys than this.
+HOT_PARTS = 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with groups (one row per key, `size` rows of `rows` each) on key. Hot keys, fewer than HOT_PARTS whatever
+    the data, are broadcast, and their rows go past the shuffle's key to anywhere; so no task gets a hot key's rows."""
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    info = F.struct(*[c for c in groups.columns if c != key])
+    hot = groups.filter(F.col(size) * HOT_PARTS > total).select(F.col(key).alias("_hot_key"), info.alias("_hot"))
+    cold = groups.filter(F.col(size) * HOT_PARTS <= total).select(F.col(key).alias("_cold_key"), F.lit(0).cast("long").alias("_cold_at"), info.alias("_cold"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    met = met.withColumn("_at", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))))
+    met = met.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_at") == F.col("_cold_at")), "left")
+    found = F.coalesce("_hot", "_cold")
+    return met.filter(found.isNotNull()).select(*rows.columns, *[found[c].alias(c) for c in groups.columns if c != key])

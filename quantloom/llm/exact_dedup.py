@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import lower_az, read
+from quantloom.llm.common import attach, checkpoint, lower_az, read
 
 SALTS = 16
 
@@ -39,13 +39,10 @@ def groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. The join back is on the digest; a hot group is
-    a run of equal keys on the record side only, which adaptive execution splits."""
-    return (
-        _keyed(docs, "doc_id").drop("norm")
-        .join(groups(docs, salts), "text_sha256")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256. The groups come back to the records by digest;
+    hot groups by broadcast, of which there is a bounded number."""
+    found = attach(_keyed(docs, "doc_id").drop("norm"), checkpoint(groups(docs, salts)), "text_sha256", "group_size")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_distinct(docs: DataFrame, salts: int = SALTS) -> DataFrame:
