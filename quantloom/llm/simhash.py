@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import LOWER, UPPER, checkpoint, read
+from quantloom.llm.common import LOWER, UPPER, attach, checkpoint, read
 from quantloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -148,11 +148,11 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """doc_id, fp, fingerprint, component_id (smallest doc_id that chains of links reach) of every document."""
     d = checkpoint(fingerprints(docs, shingle))
-    f = checkpoint(d.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    f = checkpoint(d.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     comp = checkpoint(components(links(f.select("fp"), radius, block)))
     least = comp.join(f, F.col("node") == f["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = f.join(comp.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return d.join(ids, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = f.join(comp.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+    return attach(d, checkpoint(ids), "fp", "n").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
