@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quantloom.llm.common import checkpoint, lower_az, read
+from quantloom.llm.common import attach, checkpoint, lower_az, read
 
 #: verdict, host, path
 RULES = (
@@ -86,13 +86,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg((F.max(F.coalesce(F.col("quality"), F.lit(1))) == 0).alias("bad"))
     mined = checkpoint(mine(p.join(bad, "page_id"), **how))
     # URLs are judged once per set of tokens; many pages share one
-    sets = p.select("tokens").distinct()
+    sets = checkpoint(p.groupBy("tokens").agg(F.count("*").alias("n")))
     hits = (
         sets.select("tokens", F.explode("tokens").alias("anchor")).join(mined, "anchor")
         .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
         .groupBy("tokens").agg(F.max(F.struct("confidence", "support", "antecedent")).alias("best"))
     )
-    out = p.join(hits, "tokens", "left")
+    out = attach(p, checkpoint(sets.join(hits, "tokens", "left")), "tokens", "n")
     method = F.when(F.col("best").isNotNull(), "block").otherwise("allow")
     return out.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"),
