@@ -19,7 +19,7 @@ from quantloom.llm.common import WORD, checkpoint, read
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Documents in a bucket of keys, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 _KEY_SPACE = 1 << 52
 
 
