@@ -58,8 +58,6 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Bring pieces into the cache: from its older half, from a word and the punctuation after it, or from the library."""
-        if len(self.cache) > CACHE // 2:
-            self.old, self.cache = self.cache, {}
         cache, old = self.cache, self.old
         ask, joined = set(), []
         for x in new:
@@ -88,12 +86,11 @@ class Encoder:
             if p is None:
                 out.append(np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, dtype=self.kind).tobytes())
                 continue
+            if len(self.cache) > CACHE // 2:  # never within a text
+                self.old, self.cache = self.cache, {}
             got = list(map(self.cache.get, p))
             if None in got:
-                before = self.cache
                 self._learn({x for x, y in zip(p, got) if y is None})
-                if self.cache is not before:
-                    self._learn({x for x in p if x not in self.cache})
                 got = list(map(self.cache.get, p))
             out.append(b"".join(got))
         return out
