@@ -30,28 +30,31 @@ from quantloom.llm.components import components
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Rows of one variant compared in one piece.
 BLOCK = 1024
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Shingles hashed in one piece.
+HASHES = 65_536
+_GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit SimHash of the text's word shingles, unsigned."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
-    words = _WORD.findall(words)
-    if not words:
+    """The 64-bit SimHash of the text's word shingles, unsigned. The words, one blank apart, are one byte string; shingles are
+    slices of it, hashed HASHES at a time, so a very long text needs little more than a few bytes a word."""
+    raw = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    line = _GAP.sub(b" ", raw).strip(b" ")
+    if not line:
         return 0
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    n = len(words) - shingle + 1
+    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
+    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    n = len(blanks) + 2 - shingle
     if n <= 1:
-        hashes = np.array([digest(line, SEED)], dtype=">u8")
+        starts, ends, n = np.zeros(1, np.int64), np.array([len(line)]), 1
     else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = [0, *ends[: n - 1].tolist()]
-        hashes = np.array([digest(line[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())], dtype=">u8")
-    counts = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(hashes), 65536):
-        counts += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+        starts, ends = np.concatenate([[0], blanks[: n - 1] + 1]), np.concatenate([blanks[shingle - 1 :], [len(line)]])
+    for k in range(0, n, HASHES):
+        at = zip(starts[k : k + HASHES].tolist(), ends[k : k + HASHES].tolist())
+        hashes = np.array([digest(line[a:b], SEED) for a, b in at], dtype=">u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
