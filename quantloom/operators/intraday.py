@@ -140,11 +140,6 @@ def day_slots(minutes: DataFrame) -> DataFrame:
     )
 
 
-def rma(x, n: int) -> Column:
-    """Recursive mean with weight 1 / n."""
-    return R.dma(x, 1 / n)
-
-
 def true_range() -> Column:
     pc = R.ref("close", 1)
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc))
@@ -155,17 +150,18 @@ def technical(bars: DataFrame, n: int = 5) -> DataFrame:
     b = bars.withColumn("tr", true_range()).withColumn("_d", R.diff("close", 1)).withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
     b = b.withColumn("_up", F.greatest("_d", F.lit(0.0))).withColumn("_dn", F.greatest(-F.col("_d"), F.lit(0.0)))
     b = b.withColumn("_up", F.when(F.col("_d").isNotNull(), F.col("_up"))).withColumn("_dn", F.when(F.col("_d").isNotNull(), F.col("_dn")))
-    b = b.withColumn("atr", rma("tr", n)).withColumn("_ru", rma("_up", n)).withColumn("_rd", rma("_dn", n)).withColumn("_macd", R.ema("close", n) - R.ema("close", 2 * n))
+    b = R.recursive(b, atr=("tr", 1 / n), _ru=("_up", 1 / n), _rd=("_dn", 1 / n), _fast=("close", 2 / (n + 1)), _slow=("close", 2 / (2 * n + 1)))
+    b = R.recursive(b.withColumn("_macd", F.col("_fast") - F.col("_slow")), _signal=("_macd", 2 / 4))
     return b.select(
         *KEY, "tr", "atr", (100 * safe_div("_ru", F.col("_ru") + F.col("_rd"))).alias("rsi"), (100 * safe_div(F.col("close") - R.ts_min("low", n), R.ts_max("high", n) - R.ts_min("low", n))).alias("stochastic"),
-        safe_div(F.col("_tp") - R.ts_mean("_tp", n), 0.015 * R.ts_mad("_tp", n)).alias("cci"), (F.col("_macd") - R.ema("_macd", 3)).alias("macd"),
+        safe_div(F.col("_tp") - R.ts_mean("_tp", n), 0.015 * R.ts_mad("_tp", n)).alias("cci"), (F.col("_macd") - F.col("_signal")).alias("macd"),
     )
 
 
 def supertrend(bars: DataFrame, n: int = 5, k: float = 2.0) -> DataFrame:
     """Trend direction (1, -1) and its trailing stop: bands k ATRs around the middle that only tighten within a trend. An
     instrument's past is folded in order, one state a day."""
-    b = bars.withColumn("tr", true_range()).withColumn("_atr", rma("tr", n))
+    b = R.recursive(bars.withColumn("tr", true_range()), _atr=("tr", 1 / n))
     row = F.struct(((F.col("high") + F.col("low")) / 2).cast("double").alias("mid"), F.col("_atr").alias("atr"), F.col("close").cast("double").alias("close"))
     past = F.collect_list(row).over(R.past())
     start = F.struct(F.lit(1).alias("side"), F.lit(None).cast("double").alias("up"), F.lit(None).cast("double").alias("down"))

@@ -141,8 +141,8 @@ def short_list(panel: DataFrame, directions: dict[str, int], n: int) -> DataFram
 
 def trend_score(series: DataFrame, fast: int, slow: int, value: str = "close") -> DataFrame:
     """tanh of the gap between two recursive means of one series per instrument."""
-    gap = safe_div(R.ema(value, fast) - R.ema(value, slow), R.ema(value, slow))
-    return series.withColumn("score", F.tanh(10 * gap))
+    series = R.recursive(series, _fast=(value, 2 / (fast + 1)), _slow=(value, 2 / (slow + 1)))
+    return series.withColumn("score", F.tanh(10 * safe_div(F.col("_fast") - F.col("_slow"), "_slow"))).drop("_fast", "_slow")
 
 
 def exposure(score, low: float, high: float):

@@ -6,6 +6,8 @@ that need the window's order work on its array with higher-order functions, insi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from quantloom.functions.scalar import EPS, col, safe_div
@@ -203,18 +205,48 @@ def ts_median(x, n: int, least: int | None = None) -> Column:
     return ts_quantile(x, n, 0.5, least)
 
 
-def dma(x, a: float) -> Column:
-    """Recursive a * x + (1 - a) * before; a null carries what was before. The past of an instrument is one array, folded."""
+def reach(keep: float) -> int:
+    """Values after which a weight falling by `keep` a value is below the precision of a double."""
+    return max(1, math.ceil(-40 / math.log(keep))) if 0 < keep < 1 else 1
+
+
+def recent(x, ordinal: str | None, keep: float) -> Column:
+    """The values so far, oldest first, without nulls: all of them, or those within reach where `ordinal` names the running
+    count of x, which bounds the array whatever the length of the history."""
+    w = past() if ordinal is None else Window.partitionBy(BY).orderBy(ordinal).rangeBetween(-(reach(keep) - 1), 0)
+    return F.collect_list(col(x).cast("double")).over(w)
+
+
+def dma(x, a: float, ordinal: str | None = None) -> Column:
+    """Recursive a * x + (1 - a) * before; a null carries what was before."""
     def step(before: Column, v: Column) -> Column:
-        return F.coalesce(v * a + before * (1 - a), v, before)
+        return F.coalesce(v * a + before * (1 - a), v)
 
-    history = F.transform(F.collect_list(F.struct(col(x).cast("double").alias("v"))).over(past()), lambda s: s["v"])
-    return F.aggregate(history, F.lit(None).cast("double"), step)
+    return F.aggregate(recent(x, ordinal, 1 - a), F.lit(None).cast("double"), step)
 
 
-def ema(x, n: int) -> Column:
+def ema(x, n: int, ordinal: str | None = None) -> Column:
     """Recursive mean of span n."""
-    return dma(x, 2 / (n + 1))
+    return dma(x, 2 / (n + 1), ordinal)
+
+
+def ewm(x, n: int, ordinal: str | None = None) -> Column:
+    """Mean of all values so far with weights falling by a fixed share (finite weights, not the recursive form)."""
+    keep = 1 - 2 / (n + 1)
+    seen = F.count(col(x)).over(past()) if ordinal is None else F.col(ordinal)
+    total = F.aggregate(recent(x, ordinal, keep), F.lit(0.0), lambda s, y: s * keep + y)
+    return F.when(seen > 0, total / ((1 - F.pow(F.lit(keep), seen)) / (1 - keep)))
+
+
+def running_count(x) -> Column:
+    return F.count(col(x)).over(past())
+
+
+def recursive(df: DataFrame, **columns: tuple[str, float]) -> DataFrame:
+    """Adds recursive means, name=(column, weight), in two stages: running counts, then folds over bounded arrays."""
+    df = df.select("*", *[running_count(x).alias(f"_o_{name}") for name, (x, _) in columns.items()])
+    df = df.select("*", *[dma(x, a, f"_o_{name}").alias(name) for name, (x, a) in columns.items()])
+    return df.drop(*[f"_o_{name}" for name in columns])
 
 
 def future_return(x, n: int) -> Column:

@@ -61,6 +61,7 @@ class Op:
     units: Callable[[tuple], str | None] = lambda u: u[0]  # unit of the result; None: mismatch
     least: int = 1  # shortest window
     history: Callable[[tuple], int] = lambda p: (p[0] - 1) if p else 0
+    recursive: bool = False  # needs the running count of its argument, as a stage before it
 
 
 def over(n: int) -> str:
@@ -156,13 +157,6 @@ def _past_list(x: str) -> str:
     return f"list({x}::DOUBLE) FILTER (WHERE {x} IS NOT NULL) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def _ewm(x: Column, keep: float) -> Column:
-    """Mean of all values so far with weights falling by `keep` a row (finite weights, not the recursive form)."""
-    a = F.collect_list(x.cast("double")).over(R.past())
-    weights = (1 - F.pow(F.lit(keep), F.size(a))) / (1 - keep)
-    return F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, y: s * keep + y) / weights)
-
-
 same = lambda u: u[0] if len({x for x in u if x != "any"}) <= 1 else None
 one = lambda u: "one"
 
@@ -236,10 +230,12 @@ OPS: dict[str, Op] = {
     "top_sum": Op("ts", lambda x, key, n, k: _extreme(x, key, n, k, True), _extreme_sql(True), _extreme_list),
     "bottom_sum": Op("ts", lambda x, key, n, k: _extreme(x, key, n, k, False), _extreme_sql(False), _extreme_list),
     "ema": Op(
-        "ts", R.ema, lambda x, n: f"list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y * {2 / (n + 1)!r})", lambda x, n: _past_list(x),
+        "ts", R.ema, lambda x, n: f"list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y * {2 / (n + 1)!r})", lambda x, n: _past_list(x), recursive=True,
+        history=lambda p: R.reach(1 - 2 / (p[0] + 1)),
     ),
     "ewm": Op(
-        "ts", lambda x, n: _ewm(x, 1 - 2 / (n + 1)), lambda x, n: f"list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y) / ((1 - pow({1 - 2 / (n + 1)!r}, len(_a))) / {2 / (n + 1)!r})", lambda x, n: _past_list(x),
+        "ts", R.ewm, lambda x, n: f"list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y) / ((1 - pow({1 - 2 / (n + 1)!r}, len(_a))) / {2 / (n + 1)!r})", lambda x, n: _past_list(x), recursive=True,
+        history=lambda p: R.reach(1 - 2 / (p[0] + 1)),
     ),
     "rank": Op("cs", _cs, _cs_sql, units=one),
     "cs_zscore": Op("cs", lambda x: F.when((F.stddev_pop(x).over(_date()) > S.EPS) & (F.count(x).over(_date()) > 1), S.safe_div(x - F.avg(x).over(_date()), F.stddev_pop(x).over(_date()))), lambda x: f"(CASE WHEN stddev_pop({x}) OVER {_D} > 1e-12 AND count({x}) OVER {_D} > 1 THEN ({x} - avg({x}) OVER {_D}) / stddev_pop({x}) OVER {_D} END)", units=one),
@@ -383,7 +379,8 @@ class _Plan:
             return F.lit(node.params[0])
         if node in self.names and not top:
             return F.col(self.names[node])
-        return OPS[node.op].spark(*(self.column(a) for a in node.args), *node.params)
+        op, args = OPS[node.op], [self.column(a) for a in node.args]
+        return op.spark(*args, *node.params, *([f"_o{self.names[node]}"] if op.recursive else []))
 
     def sql(self, node: Node, top: bool = False, listed: bool = False) -> str:
         if node.op == "field":
@@ -404,6 +401,8 @@ def evaluate(panel: DataFrame, formulas: dict[str, Node], eligible: str | None =
     plan = _Plan(formulas)
     df = panel
     for level in sorted(plan.levels):
+        counts = [R.running_count(plan.column(n.args[0])).alias(f"_o{plan.names[n]}") for n in plan.levels[level] if OPS[n.op].recursive]
+        df = df.select("*", *counts) if counts else df
         df = df.select("*", *[plan.column(n, True).alias(plan.names[n]) for n in plan.levels[level]])
     keep = (lambda c: F.when(F.col(eligible), c)) if eligible else (lambda c: c)
     return df.select("instrument", "date", *[keep(S.finite(plan.column(f))).alias(k) for k, f in plan.roots.items()])

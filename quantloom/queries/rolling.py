@@ -82,8 +82,8 @@ _EMA = """, o AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY
     SELECT instrument, date, i, {x}::DOUBLE AS v FROM o WHERE i = 1
     UNION ALL SELECT o.instrument, o.date, o.i, coalesce({x} * {a} + f.v * (1 - {a}), {x}, f.v) FROM f JOIN o ON o.instrument = f.instrument AND o.i = f.i + 1
   ) SELECT * FROM f)"""
-panel("t25_ema", lambda: R.ema(C, 4), "v", _EMA.format(x=C, a=0.4), "e")
-panel("t26_dma", lambda: R.dma("rate", 0.3), "v", _EMA.format(x="rate", a=0.3), "e")
+panel("t25_ema", lambda: F.col("v"), "v", _EMA.format(x=C, a=0.4), "e", lambda b: R.recursive(b, v=(C, 2 / 5)))
+panel("t26_dma", lambda: F.col("v"), "v", _EMA.format(x="rate", a=0.3), "e", lambda b: R.recursive(b, v=("rate", 0.3)))
 panel("t27_future_return", lambda: R.future_return(C, 2), "max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 2 FOLLOWING AND 2 FOLLOWING) / close - 1")
 panel("t28_sharpe", lambda: R.sharpe(C, N), f"{MEAN} / ({SD} + 1e-12)")
 _CHANGE = f", s AS (SELECT *, abs(close - {back(C, 1)}) AS c FROM bars)"
