@@ -106,7 +106,7 @@ add("m18_lagged_size_features", lambda s, d: (p := views.factor_panel(s, d)).sel
 # tolerant operators: windows may be partial
 _W = over(5)
 panel("n01_rolling_partial", lambda: F.avg("rate").over(R.window(5)) + F.max("rate").over(R.window(5)) + F.min("rate").over(R.window(5)) + F.sum("rate").over(R.window(5)), f"avg(rate) OVER {_W} + max(rate) OVER {_W} + min(rate) OVER {_W} + sum(rate) OVER {_W}")
-panel("n02_rolling_rank_gaussian", lambda: R.safe_div(F.col("close") - F.avg("close").over(R.window(5)), F.stddev_samp("close").over(R.window(5))) * 0 + (0.5 * (1 + F.tanh(0.797884560802865 * R.safe_div(F.col("close") - F.avg("close").over(R.window(5)), F.stddev_samp("close").over(R.window(5)))))) * (F.count("close").over(R.window(5)) - 1) + 1, f"CASE WHEN stddev_samp(close) OVER {_W} > 1e-12 THEN 0.5 * (1 + tanh(0.797884560802865 * (close - avg(close) OVER {_W}) / stddev_samp(close) OVER {_W})) * (count(close) OVER {_W} - 1) + 1 END")
+panel("n02_rolling_rank_gaussian", lambda: (0.5 * (1 + F.tanh(0.797884560802865 * R.safe_div(F.col("close") - F.avg("close").over(R.window(5)), F.stddev_samp("close").over(R.window(5)))))) * (F.count("close").over(R.window(5)) - 1) + 1, f"CASE WHEN stddev_samp(close) OVER {_W} > 1e-12 THEN 0.5 * (1 + tanh(0.797884560802865 * (close - avg(close) OVER {_W}) / stddev_samp(close) OVER {_W})) * (count(close) OVER {_W} - 1) + 1 END")
 panel("n03_rolling_corr_partial", lambda: R.ts_corr("close", "volume", 5, 2), f"CASE WHEN count(close) OVER {_W} >= 2 AND stddev_samp(close) OVER {_W} * stddev_samp(volume) OVER {_W} > 1e-12 THEN covar_samp(close, volume) OVER {_W} / (stddev_samp(close) OVER {_W} * stddev_samp(volume) OVER {_W}) END")
 _M = f"avg(close) OVER {_W}"
 panel(
