@@ -8,6 +8,7 @@ special tokens) go through the library whole, so ids always equal those of the w
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -33,6 +34,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
+        #: One word of letters whose lower case is one letter, with the blank before it where blanks belong to tokens.
+        self.plain = re.compile((" " if blanks else "") + "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -48,13 +51,20 @@ class Encoder:
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def _ask(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4096):
-            some = pieces[k : k + 4096]
-            e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(e.ids, dtype=self.kind), np.array(e.word_ids, dtype=np.int64)
-            cuts = np.searchsorted(of, np.arange(len(some) + 1)) * self.kind.itemsize
-            raw, cuts = ids.tobytes(), cuts.tolist()
-            self.cache.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        """Encode pieces through the library, many at a time. Plain words go as one text, in which each is one word to the
+        tokenizer; other pieces go as a list."""
+        plain = [x for x in pieces if self.plain(x)]
+        for some in (plain[k : k + 4096] for k in range(0, len(plain), 4096)):
+            self._keep(some, self.tokenizer.encode(("" if self.blanks else " ").join(some), add_special_tokens=False))
+        rest = [x for x in pieces if not self.plain(x)]
+        for some in (rest[k : k + 4096] for k in range(0, len(rest), 4096)):
+            self._keep(some, self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False))
+
+    def _keep(self, pieces: list[str], e) -> None:
+        ids, of = np.array(e.ids, dtype=self.kind), np.array(e.word_ids, dtype=np.int64)
+        cuts = (np.searchsorted(of, np.arange(len(pieces) + 1)) * self.kind.itemsize).tolist()
+        raw = ids.tobytes()
+        self.cache.update(zip(pieces, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
 
     def _learn(self, new: set[str]) -> None:
         """Bring pieces into the cache: from its older half, from a word and the punctuation after it, or from the library."""
