@@ -30,6 +30,8 @@ from quantloom.llm.common import checkpoint, read
 N_LISTS, N_PROBE, SEED_LISTS, MAX_SAMPLE = 128, 84, 4, 20_000
 #: Dimensions in a column block; the test's width in standard deviations.
 COLUMNS, WIDTH = 16, 2.6
+#: Share of living pairs below which they are followed one by one.
+SPARSE = 0.02
 CANDIDATE_BLOCK, QUERY_BLOCK = 1024, 512
 
 
@@ -104,25 +106,23 @@ def _scan(index: Index, k: int):
         q = q.drop_duplicates("id")
         qids, qv, bound = q["id"].to_numpy(), np.stack([np.frombuffer(x) for x in q["v"]]), q["bound"].to_numpy(dtype=float)
         x, y = index.rows(cv), index.queries(qv)
-        i = j = None
+        part, live, i, j = np.zeros((len(y), len(x))), qids[:, None] != ids[None, :], None, None
         for s in range(0, total, COLUMNS):
             e = min(s + COLUMNS, total)
             a, b = y[:, s:e], x[:, s:e]
-            if i is None:
-                part = np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2 * (a @ b.T)
-                live = qids[:, None] != ids[None, :]
-            else:
-                gap = a[i] - b[j]
-                part = part + np.einsum("ij,ij->i", gap, gap)
-                live = np.ones(len(i), dtype=bool)
             # of a rotated difference, e of all dimensions hold about e / total of the squared length
             limit = bound * (e / total) * (1 + WIDTH / np.sqrt(e)) ** 2 if e < total else bound
             limit = limit * (1 + 1e-9) + 1e-9
-            if i is None:
-                i, j = np.nonzero(live & (part <= limit[:, None]))
-                part = part[i, j]
-            else:
-                keep = live & (part <= limit[i])
+            if i is None:  # most pairs live: whole blocks
+                part += np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2 * (a @ b.T)
+                live &= part <= limit[:, None]
+                if e == total or live.mean() < SPARSE:
+                    i, j = np.nonzero(live)
+                    part = part[i, j]
+            else:  # few pairs live: only those
+                gap = a[i] - b[j]
+                part = part + np.einsum("ij,ij->i", gap, gap)
+                keep = part <= limit[i]
                 i, j, part = i[keep], j[keep], part[keep]
         if not len(i):
             return empty
