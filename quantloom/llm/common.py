@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -50,6 +51,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for every row (__row), written to the shared folder so that it stays the same."""
+    at = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(at)
+    return docs.sparkSession.read.parquet(at)
+
+
+def keep_first(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """One of all rows (with __row) that share a root (table of __row, root): the one with the smallest doc_id, and only where
+    none has an id a row without."""
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    first = root.join(rows.select("__row", "doc_id"), "__row").groupBy("root").agg(F.min(order).alias("first"))
+    stay = first.select(F.col("first.__row").alias("__row"))
+    return rows.join(stay.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+
+
 #: A key with more than one in so many of all rows is hot; so there are fewer hot keys than this.
 HOT_PARTS = 1000
 
