@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quantloom.llm.common import WORD, checkpoint, read
+from quantloom.llm.common import WORD, checkpoint, keyed, read
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Documents in a bucket of keys, about.
@@ -23,9 +23,9 @@ BUCKET_ROWS = 5_000
 _KEY_SPACE = 1 << 52
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     return docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long").alias("key"),
     )
 
@@ -51,9 +51,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     return s.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document."""
-    base = checkpoint(sized(docs))
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, bucket_rows: int = BUCKET_ROWS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document, after the columns to carry along."""
+    base = checkpoint(sized(docs, carry))
     n = max(1, -(-base.count() // bucket_rows))
     base = base.withColumn("bucket", F.floor(F.col("key") / F.lit(-(-_KEY_SPACE // n))).cast("int")).withColumn("src", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))
     sums = base.groupBy("src", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -68,15 +68,16 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
         base.withColumn("upto", F.sum("size").over(inside))
         .join(starts, ["src", "bucket"])
         .withColumn("taken", whole * F.col("size") + F.least(F.greatest(left - (F.col("first") + F.col("upto") - F.col("size")), F.lit(0)), F.col("size")))
-        .select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
+        .select(*carry, "doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
     )
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents with all their columns: one row per epoch a document is taken in, the last one cut to the words
-    still due (joined by single spaces where it is cut)."""
-    taken = mix(docs, **how).filter(F.col("taken") > 0).select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken")).dropDuplicates(["__mix_id"])
-    rows = docs.join(taken.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__mix_id")))
+    still due (joined by single spaces where it is cut). Every row has its own decision, whatever its id."""
+    keys = keyed(docs)
+    taken = mix(keys, carry=["__row"], **how).filter(F.col("taken") > 0).select("__row", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    rows = keys.join(taken.hint("shuffle_hash"), "__row")
     epoch = F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__mix_taken") / F.col("__mix_size")))).alias("__mix_epoch")
     rows = rows.select("*", epoch)
     due = F.least(F.col("__mix_taken") - (F.col("__mix_epoch") - 1) * F.col("__mix_size"), F.col("__mix_size")).cast("int")

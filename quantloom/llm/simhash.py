@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import LOWER, UPPER, attach, checkpoint, read
+from quantloom.llm.common import LOWER, UPPER, attach, checkpoint, keep_first, keyed, read
 from quantloom.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -159,10 +159,11 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bl
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns; a document without an id stays only
-    if nothing in its component has one."""
-    stay = near_dedup(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay_id")).distinct()
-    return docs.join(stay.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__stay_id")), "left_semi")
+    """Of documents in one component, the one with the smallest doc_id, with all its columns; a document without an id stays
+    only if nothing in its component has one."""
+    rows = keyed(docs)
+    found = near_dedup(rows.select(F.col("__row").alias("doc_id"), "text"), **how)
+    return keep_first(rows, checkpoint(found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("root"))))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -146,6 +146,21 @@ def test_mix_edges_and_effect(spark):
     assert words == {i: n for i, n in taken.items() if n}
 
 
+@pytest.mark.parametrize("ids", [[None] * 60, [7] * 60, [None, 7] * 30])
+def test_mixed_rows_keep_their_own_decision(spark, ids):
+    rows = [(x, " ".join(f"s{i}w{k}" for k in range(5 + i)), "en", "ab"[i % 3 == 0], 0) for i, x in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want, got = defaultdict(list), defaultdict(lambda: defaultdict(int))
+    for r in mixing.mix(df).collect():
+        want[r.source].append(r.taken)
+    for r in mixing.apply_mix(df).collect():
+        words = r.text.split()
+        got[r.source][words[0]] += len(words)
+        assert words == [f"{words[0][:-2]}w{k}" for k in range(len(words))]
+    for s, taken in want.items():
+        assert sum(got[s].values()) == sum(taken) and len(got[s]) == sum(t > 0 for t in taken)
+
+
 # chat
 
 

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quantloom.llm import simhash
+from quantloom.llm import near_copies, simhash
 from quantloom.llm.components import components
 
 
@@ -87,3 +87,11 @@ def test_edges(spark):
 def test_long_chain(spark):
     chain = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.root for r in components(chain).collect()} == {1}
+
+
+def test_one_row_of_a_component_stays(spark):
+    rows = [(None, "a b c d"), (None, "A b  c d"), (None, "only here and there"), (4, "one other text of words"), (4, "quite another one altogether so"), (4, "one other text of words"), (3, "quite another one altogether so")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep_one in (simhash.keep_one, near_copies.keep_one):
+        got = sorted((r.doc_id or -1, r.text.lower().replace("  ", " ")) for r in keep_one(df).collect())
+        assert got == [(-1, "a b c d"), (-1, "only here and there"), (3, "quite another one altogether so"), (4, "one other text of words")]
