@@ -10,7 +10,7 @@ turn; columns that the operator does not need are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quantloom.llm.common import checkpoint, read
 
@@ -33,9 +33,18 @@ def slot_sizes(recs: DataFrame) -> DataFrame:
     return recs.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n_rows"))
 
 
-def build_slot_map(sizes: DataFrame, n_shards: int, version: int = 1) -> DataFrame:
+def complete(slot_map: DataFrame, n_slots: int, n_shards: Column, version: Column) -> DataFrame:
+    """The map with a row for every slot: those it lacks hold no bytes and go to the shards in turn."""
+    rest = slot_map.sparkSession.range(n_slots).select(F.col("id").cast("int").alias("virtual_slot")).join(slot_map, "virtual_slot", "left_anti")
+    turn = F.row_number().over(Window.partitionBy().orderBy("virtual_slot")) - 1
+    none = F.lit(0).cast("long")
+    rest = rest.select("virtual_slot", F.pmod(turn, n_shards).cast("int").alias("shard"), none.alias("bytes"), none.alias("n_rows"), version.cast("int").alias("version"))
+    return slot_map.unionByName(rest)
+
+
+def build_slot_map(sizes: DataFrame, n_shards: int, version: int = 1, n_slots: int = N_SLOTS) -> DataFrame:
     """Slots in order of falling bytes each go to the shard with the fewest bytes so far. One row holds all slots: at most
-    as many as there are virtual slots, whatever the number of records."""
+    as many as there are virtual slots, whatever the number of records. Empty slots have a shard as well, for later records."""
     zero = F.array_repeat(F.lit(0).cast("long"), n_shards)
     none = F.expr("cast(array() as array<struct<virtual_slot:int,shard:int,bytes:bigint,n_rows:bigint>>)")
 
@@ -46,12 +55,13 @@ def build_slot_map(sizes: DataFrame, n_shards: int, version: int = 1) -> DataFra
         return F.struct(loads.alias("loads"), F.concat(acc["placed"], F.array(row)).alias("placed"))
 
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("neg"), "virtual_slot", "n_rows")))
-    return (
+    placed = (
         sizes.agg(ordered.alias("s"))
         .select(F.aggregate("s", F.struct(zero.alias("loads"), none.alias("placed")), place, lambda a: a["placed"]).alias("p"))
         .select(F.inline("p"))
         .withColumn("version", F.lit(version))
     )
+    return complete(checkpoint(placed), n_slots, F.lit(n_shards), F.lit(version))
 
 
 def rebalance(slot_map: DataFrame, n_shards: int) -> DataFrame:
@@ -88,10 +98,13 @@ def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, slot_map:
     the map's version and its position in the shard, gapless from 0. Positions are a running count within a virtual slot
     plus the rows of the shard's earlier slots, so that no task ever holds a whole shard."""
     recs = checkpoint(records(docs, n_slots))
-    m = checkpoint(slot_map if slot_map is not None else build_slot_map(slot_sizes(recs), n_shards))
+    if slot_map is not None:  # one stored by an earlier build may lack slots
+        top, version = slot_map.agg(F.max("shard"), F.max("version")).first()
+        slot_map = complete(slot_map, n_slots, F.lit(top + 1 if top is not None else n_shards), F.lit(version if version is not None else 1))
+    m = checkpoint(slot_map if slot_map is not None else build_slot_map(slot_sizes(recs), n_shards, n_slots=n_slots))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     counts = slot_sizes(recs).select("virtual_slot", F.col("n_rows").alias("rows_now")) if slot_map is not None else None
-    m = m.join(counts, "virtual_slot") if counts is not None else m.withColumn("rows_now", F.col("n_rows"))
+    m = m.join(counts, "virtual_slot", "left").fillna(0, ["rows_now"]) if counts is not None else m.withColumn("rows_now", F.col("n_rows"))
     m = m.select("virtual_slot", "shard", "version", F.coalesce(F.sum("rows_now").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
     # the map has at most n_slots rows

@@ -63,6 +63,20 @@ def test_stored_map_versions(spark, docs, tmp_path):
     assert again.count() == docs.count()
 
 
+def test_stored_map_takes_other_records(spark, docs):
+    m = sharding.build_slot_map(sharding.slot_sizes(sharding.records(docs)), 4)
+    assert {r.virtual_slot for r in m.collect()} == set(range(sharding.N_SLOTS))
+    other = docs.withColumn("doc_id", F.col("doc_id") + 10**9)
+    sparse = m.filter("bytes > 0")
+    for stored in (m, sparse):
+        rows = sharding.shard(other, slot_map=stored).collect()
+        assert len(rows) == other.count() and {r.shard for r in rows} == set(range(4))
+        slots = defaultdict(list)
+        for r in rows:
+            slots[r.shard].append(r.slot)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_edges(spark):
     df = docs_of(spark, EDGE)
     rows = sharding.shard(df, 3).collect()
