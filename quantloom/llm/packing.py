@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quantloom.llm.common import checkpoint, read, shared_dir
-from quantloom.llm.tokens import encoder
+from quantloom.llm.tokens import encoded, write_ids
 
 LENGTH, FEATURES, DIMS, BITS = 2048, 256, 4, 10
 
@@ -67,24 +67,6 @@ def curve_keys(id_arrays: list[np.ndarray]) -> np.ndarray:
     return hilbert(place.astype(np.int64))
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = 1, blanks: bool = False) -> DataFrame:
-    """doc_id, n_tokens, curve, ids (little-endian unsigned 32-bit, or 16-bit where all ids fit: `width`)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, blanks)
-        end = np.array([end_id], dtype=enc.kind).tobytes()
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                some = b.slice(k, 64)
-                raw = [x + end for x in enc.encode(some.column("text").to_pylist())]
-                arrays = [np.frombuffer(x, enc.kind) for x in raw]
-                cols = [some.column("doc_id"), pa.array([len(a) for a in arrays], pa.int64()), pa.array(curve_keys(arrays)), pa.array([enc.kind.itemsize] * len(raw), pa.int32()), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "curve", "width", "ids"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, curve long, width int, ids binary")
-
-
 def places(rows: DataFrame) -> DataFrame:
     """row, at: where each row starts in the stream of all tokens in curve order."""
     small = rows.select("row", "n_tokens", "curve", F.xxhash64("row").alias("tie")).repartitionByRange("curve", "tie")
@@ -100,9 +82,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, the piece's ids."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/packing-{uuid.uuid4().hex}"
-    stage = encoded(docs, tokenizer, end_id, blanks).withColumn("row", F.monotonically_increasing_id())
-    stage.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
-    rows = spark.read.parquet(path)
+    rows = write_ids(encoded(docs, tokenizer, end_id, blanks, curve_keys).withColumnRenamed("key", "curve"), path)
     placed = rows.select("row", "doc_id", "width", "ids").join(places(rows).hint("shuffle_hash"), "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,13 @@
 """Token files: a concatenated id array with Elias-Fano coded document boundaries.
 
-Documents are range-partitioned by id and written as segments, rows of Parquet files that any shared store can hold: the
-ids as one little-endian array, and the documents' boundaries and doc_ids as Elias-Fano codes with a select structure (the
-place of every 256th one bit), close to the least space possible and without tables of 64-bit offsets. A segment ends at
-the first document that brings it to SEGMENT_IDS ids, so a task holds one segment, or one document where that is longer.
-
-Defined results: a null or empty text is the end id alone; rows of equal doc_id go by text and rows with a null doc_id come
-first; an empty table gives no rows; other columns, whatever their names, are left alone.
+Texts are encoded where they lie; their ids are range-partitioned by doc_id and written as segments, rows of Parquet files
+that any shared store can hold: the ids as one little-endian array, and the documents' boundaries and doc_ids as Elias-Fano
+codes with a select structure (the place of every 256th one bit), close to the least space possible and without tables of
+64-bit offsets. A segment ends at the first document that brings it to SEGMENT_IDS ids, so a task holds one segment, or one
+document where that is longer.
+
+Defined results: a null or empty text is the end id alone; rows of equal doc_id go by their ids' checksum, and rows with a null
+doc_id come first; an empty table gives no rows; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quantloom.llm.common import read, shared_dir
-from quantloom.llm.tokens import encoder
+from quantloom.llm.tokens import encoded, write_ids
 
 SEGMENT_IDS = 1 << 20
 #: One bits between two places that the select structure holds.
@@ -79,46 +80,67 @@ class EliasFano:
 SEGMENT = "part int, segment int, n_docs long, n_ids long, null_docs long, first_doc long, width int, doc_ids binary, bounds binary, ids binary"
 
 
+def _crc(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.array([zlib.crc32(a) for a in arrays], dtype=np.int64)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, blanks: bool = True, segment_ids: int = SEGMENT_IDS) -> None:
-    """Encode every whole text and write the files in ascending doc_id order (part, then segment)."""
+    """Encode every whole text where it lies and write the files in ascending doc_id order (part, then segment). Only ids are
+    range-partitioned, by doc_id, checksum and row, so rows of one doc_id, or copies of one row, spread as well."""
+    rows = write_ids(encoded(docs.withColumn("doc_id", F.col("doc_id").cast("long")), tokenizer, end_id, blanks, _crc), f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, blanks)
-        end = np.array([end_id], dtype=enc.kind).tobytes()
-        docs_in, ids_in, size, segment = [], [], 0, 0
+        docs_in, ids_in, size, segment, at = [], [], 0, 0, (0, 2)
 
         def close():
             nonlocal docs_in, ids_in, size, segment
             known = [d for d in docs_in if d is not None]
-            first = known[0] if known else 0
-            ends = np.cumsum([0, *(len(x) // enc.kind.itemsize for x in ids_in)])
+            first, (part, width) = known[0] if known else 0, at
+            ends = np.cumsum([0, *(len(x) // width for x in ids_in)])
             row = {
-                "part": docs_part, "segment": segment, "n_docs": len(docs_in), "n_ids": size, "null_docs": len(docs_in) - len(known), "first_doc": first, "width": enc.kind.itemsize,
+                "part": part, "segment": segment, "n_docs": len(docs_in), "n_ids": size, "null_docs": len(docs_in) - len(known), "first_doc": first, "width": width,
                 "doc_ids": EliasFano.encode(np.array([d - first for d in known], dtype=np.uint64)), "bounds": EliasFano.encode(ends), "ids": b"".join(ids_in),
             }
             docs_in, ids_in, size, segment = [], [], 0, segment + 1
             return pa.RecordBatch.from_pylist([row], schema=kinds)
 
         for b in batches:
-            part, ids, texts = b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for k in range(0, len(ids), 64):
-                for p, d, raw in zip(part[k : k + 64], ids[k : k + 64], enc.encode(texts[k : k + 64])):
-                    docs_part = p
-                    docs_in.append(d)
-                    ids_in.append(raw + end)
-                    size += len(raw) // enc.kind.itemsize + 1
-                    if size >= segment_ids:
-                        yield close()
+            for part, d, width, raw in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "width", "ids"))):
+                at = part, width
+                docs_in.append(d)
+                ids_in.append(raw)
+                size += len(raw) // width
+                if size >= segment_ids:
+                    yield close()
         if docs_in:
             yield close()
 
     ints, binary = pa.int64(), pa.binary()
     kinds = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_docs", ints), ("n_ids", ints), ("null_docs", ints), ("first_doc", ints), ("width", pa.int32()), ("doc_ids", binary), ("bounds", binary), ("ids", binary)])
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    segments = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, SEGMENT)
+    order = ["doc_id", "key", "row"]
+    ordered = rows.select(*order, "width", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    segments = ordered.select("doc_id", "width", "ids", F.spark_partition_id().alias("part")).mapInArrow(run, SEGMENT)
     segments.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
 
 
+def documents_of(spark, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """doc_id, ids of the given documents (few), found by select: no other boundary of their segments is decoded, and segments
+    that start after all of them aren't read."""
+    wanted = np.unique(np.asarray(doc_ids, dtype=np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                known = EliasFano(r["doc_ids"]).values() + r["first_doc"]
+                bounds, found = EliasFano(r["bounds"]), np.flatnonzero(np.isin(known, wanted))
+                spans = [(bounds.select(i), bounds.select(i + 1)) for i in (found + r["null_docs"]).tolist()]
+                ids = np.frombuffer(r["ids"], f"<u{r['width']}")
+                yield pa.RecordBatch.from_arrays([pa.array(known[found]), pa.array([ids[s:t].tolist() for s, t in spans], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    near = spark.read.parquet(path).filter(F.col("first_doc") <= int(wanted.max(initial=-1)))
+    return near.select("null_docs", "first_doc", "width", "doc_ids", "bounds", "ids").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def read_tokens(spark, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, from the files."""
     files = spark.read.parquet(path)

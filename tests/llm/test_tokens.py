@@ -15,6 +15,7 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 TEXTS = [
     None, "", "a", " a", "a ", "a  b", "it's  x\n\ny\n z", "tab\tx", "nb\xa0sp", "Ça <|endoftext|> x", "ÉÀ ΑΣ Σ'", "\x1cx", "don't 's 'S", "éa ́b", "a\n", "1234 ½", "日本語 テスト", "İ I", "word, word. word!! x,", "zero\0byte",
     "long words " * 30_000,
+    "İ. xİ, İ?! ǅ. ŉ, word",
 ]
 
 
@@ -87,6 +88,26 @@ def test_token_file_edges(spark, tmp_path):
     assert token_files.read_tokens(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_documents_of_a_token_file(spark, tmp_path):
+    rows, path = [(i * 3 - 5, t) for i, t in enumerate(TEXTS)] + [(None, "null id")], str(tmp_path / "files")
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, BYTE, segment_ids=40)
+    want = expected(rows, BYTE, 0)
+    some = [-5, 4, 22, 1000]
+    assert {r.doc_id: r.ids for r in token_files.documents_of(spark, path, some).collect()} == {i: want[i] for i in some if i in want}
+    assert token_files.documents_of(spark, path, []).count() == 0
+
+
+def test_copies_of_one_row_spread_over_parts(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_files.write_tokens(spark.range(4000).selectExpr("7L AS doc_id", "'same text' AS text"), path, BYTE, segment_ids=100)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r["n"] for r in spark.read.parquet(path).groupBy("part").agg({"n_docs": "sum"}).withColumnRenamed("sum(n_docs)", "n").collect()]
+    assert sum(parts) == 4000 and len(parts) > 1 and max(parts) < 2500
+    starts = [r.start for r in token_files.read_tokens(spark, path).orderBy("start").collect()]
+    assert starts == list(range(0, 4000 * 3, 3))
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve_visits_neighbours(dims, bits):
     points = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
