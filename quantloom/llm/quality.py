@@ -1,35 +1,43 @@
 """Quality classifier by co-training.
 
 Two views of a document are scored apart: its text (hashed byte pairs and counts over the whole text) and its page metadata
-(language, source, length). Over a few rounds each view's logistic model labels the unlabelled documents that it is sure
-of for the other view; the two final models are calibrated on held-out labels, and a last logistic model combines the
-calibrated views. Models are fitted by Spark ML on a sample: MAX_LABELLED labelled and MAX_POOL unlabelled documents at
-most, those first in hash order. Scoring is one pass over all documents, whole texts, that carries only the models'
-coefficients.
+(language, source, length). Each view's model is a linear discriminant: it needs only class counts, sums and products of the
+features, which every task adds up over its rows, so all documents take part at any size. Over a few rounds each view labels
+the unlabelled documents that it is sure of for the other view, all of them; the two final models are calibrated on one
+held-out fold of the labels, and a logistic model fitted on another combines the calibrated views. Labels used: MAX_LABELLED
+at most, those first in hash order (documents of further labels count as unlabelled). Scoring is one pass over all documents,
+whole texts, that carries only the models' coefficients.
 
 Defined results: null text counts as empty, null metadata as a value of its own; where labels hold fewer than two classes
-nothing can be learned and all documents are accepted with the score null; repeated rows all stay; an empty table gives no
-rows; columns other than doc_id, text, lang, source and n_chars are left alone.
+nothing can be learned and all documents are accepted with the score null; where a held-out fold holds one class, margins stay
+as they are and count alike; repeated rows all stay; an empty table gives no rows; columns other than doc_id, text, lang,
+source and n_chars are left alone.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from quantloom.llm.common import checkpoint, read
+from quantloom.llm.common import checkpoint, read, shared_dir
 
-MAX_LABELLED, MAX_POOL = 20_000, 10_000
+MAX_LABELLED = 20_000
 ROUNDS, SURE, THRESHOLD = 2, 0.97, 0.5
-PAIRS, LANGS, SOURCES = 64, 16, 32
+PAIRS, LANGS, SOURCES = 128, 16, 32
+#: Folds of the labels; the first is for calibration, the second for the combination.
+FOLDS, RIDGE = 5, 1e-3
+#: Tasks that add up the sums of all others.
+ADDERS = 32
 _KINDS = np.zeros(256, dtype=np.int64)
 for _kind, _of in enumerate((b" ", b"\n", bytes(range(48, 58)), bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(128, 256)))):
     _KINDS[list(_of)] = _kind + 1
@@ -62,7 +70,7 @@ def metadata_view(lang: str | None, source: str | None, n_chars: int | None) ->
 
 
 @dataclass(frozen=True)
-class Logistic:
+class Linear:
     weights: np.ndarray
     bias: float
 
@@ -74,11 +82,11 @@ class Logistic:
 class Model:
     """Both views, their calibration, and what combines them."""
 
-    text: Logistic
-    metadata: Logistic
-    text_calibration: Logistic
-    metadata_calibration: Logistic
-    combined: Logistic
+    text: Linear
+    metadata: Linear
+    text_calibration: Linear
+    metadata_calibration: Linear
+    combined: Linear
 
     def scores(self, text: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = self.text_calibration.margin(self.text.margin(text)[:, None])
@@ -98,51 +106,123 @@ def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text, meta
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
-    """text_view, meta_view, quality (null: unlabelled), fold (0 to 4) of the sampled documents."""
+def vectors(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """text, meta (views as 32-bit floats), quality and fold (null: unlabelled) of every document, written once. Folds are dealt
+    within each class, those for fitting first."""
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct()
-    chosen = ids.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool).withColumn("quality", F.lit(None).cast("double"))
-    rows = checkpoint(chosen.unionByName(pool))  # at most max_labelled + max_pool rows of two numbers
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)  # so few that they can be broadcast
+    turn = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1
+    known = checkpoint(known.select("doc_id", "quality", (F.lit(FOLDS - 1) - turn % FOLDS).cast("int").alias("fold")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                text, meta = _views(b)
-                cols = [pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64())), b.column("quality"), b.column("fold")]
-                yield pa.RecordBatch.from_arrays(cols, names=["text_view", "meta_view", "quality", "fold"])
+                rows = [[x.tobytes() for x in v.astype("<f4")] for v in _views(b)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(r, pa.binary()) for r in rows), b.column("quality"), b.column("fold")], names=["text", "meta", "quality", "fold"])
 
-    met = docs.select("doc_id", "text", *_meta_columns(docs)).join(F.broadcast(rows), "doc_id").withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(5)).cast("int"))
-    return checkpoint(met.mapInArrow(run, "text_view array<double>, meta_view array<double>, quality double, fold int").coalesce(8))
+    path = f"{shared_dir(docs.sparkSession)}/views-{uuid.uuid4().hex}"
+    met = docs.select("doc_id", "text", *_meta_columns(docs)).join(F.broadcast(known), "doc_id", "left")
+    met.mapInArrow(run, "text binary, meta binary, quality double, fold int").write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
-def _fit(rows: DataFrame, features: str) -> Logistic:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(len(column), -1).astype(np.float64)
+
+
+def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Counts and sums of each class, and products, of the rows whose label y is known (not NaN), as one array."""
+    parts = [x[y == 0], x[y == 1]]
+    return np.concatenate([[len(p) for p in parts], *(p.sum(axis=0) for p in parts), sum(p.T @ p for p in parts).ravel()])
+
+
+def discriminant(total: np.ndarray, ridge: float = RIDGE) -> Linear | None:
+    """The linear discriminant of such sums: its margin is the log odds of two normal classes of one covariance."""
+    d = math.isqrt(len(total) - 1) - 1  # 2 + 2 d + d * d of them
+    n, s, products = total[:2], total[2 : 2 + 2 * d].reshape(2, d), total[2 + 2 * d :].reshape(d, d)
+    if not n.all():
+        return None
+    m = s / n[:, None]
+    within = (products - (m * n[:, None]).T @ m) / n.sum()
+    scale = np.sqrt(np.maximum(np.diag(within), 0))
+    scale[scale < 1e-9] = 1
+    w = np.linalg.solve(within / np.outer(scale, scale) + ridge * np.eye(d), (m[1] - m[0]) / scale) / scale
+    return Linear(w, float(math.log(n[1] / n[0]) - w @ (m[1] + m[0]) / 2))
+
+
+def told(text: np.ndarray, meta: np.ndarray, quality: np.ndarray, fold: np.ndarray, models: tuple[Linear, Linear] | None, edge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Labels that the text view and the metadata view are fitted on: those given, and where there is none, what the other view
+    is sure of."""
+    given = np.where(fold >= 2, quality, np.nan)
+    if models is None:
+        return given, given
+    free, out = np.isnan(quality), []
+    for other in (models[1].margin(meta), models[0].margin(text)):
+        out.append(np.where(free & (np.abs(other) > edge), other > 0, given))
+    return tuple(out)
+
+
+def _fit_views(v: DataFrame, models: tuple[Linear, Linear] | None, edge: float) -> tuple[Linear | None, Linear | None]:
+    """Both views' models from one pass: every task adds up its rows, a few tasks add up the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                text, meta = _matrix(b.column("text")), _matrix(b.column("meta"))
+                quality, fold = (np.array(b.column(c).to_pylist(), dtype=float) for c in ("quality", "fold"))
+                got = [sums(x, y) for x, y in zip((text, meta), told(text, meta, quality, fold, models, edge))]
+                total = got if total is None else [a + b for a, b in zip(total, got)]
+        if total is not None:
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "text": total[0].tobytes(), "meta": total[1].tobytes()}])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for r in b.to_pylist():
+                got = [np.frombuffer(r[c]) for c in ("text", "meta")]
+                total = got if total is None else [a + b for a, b in zip(total, got)]
+        if total is not None:
+            yield pa.RecordBatch.from_pylist([{"text": total[0].tobytes(), "meta": total[1].tobytes()}])
+
+    parts = v.mapInArrow(run, "part long, text binary, meta binary").repartition(ADDERS, "part")
+    rows = parts.select("text", "meta").mapInArrow(add, "text binary, meta binary").collect()  # ADDERS at most
+    return tuple(discriminant(sum(np.frombuffer(r[c]) for r in rows)) if rows else None for c in ("text", "meta"))
+
+
+def _logistic(rows: DataFrame, features: str) -> Linear:
+    """A logistic model of few features, or their plain mean where rows hold one class."""
+    n = len(rows.select(features).head()[0]) if not rows.isEmpty() else 1
+    if rows.select("quality").distinct().count() < 2:
+        return Linear(np.full(n, 1 / n), 0.0)
     m = LogisticRegression(featuresCol="x", labelCol="quality", maxIter=40, regParam=1e-4).fit(rows.select(array_to_vector(features).alias("x"), "quality"))
-    return Logistic(np.array(m.coefficients.toArray()), float(m.intercept))
+    return Linear(np.array(m.coefficients.toArray()), float(m.intercept))
 
 
-def _margin(model: Logistic, features: str):
+def _margin(model: Linear, features: str):
     return F.aggregate(F.zip_with(features, F.array(*[F.lit(float(w)) for w in model.weights]), lambda x, w: x * w), F.lit(float(model.bias)), lambda s, x: s + x)
 
 
 def train(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float = SURE, **bounds) -> Model | None:
-    """Co-train on the sample; fold 0 of the labelled rows is held out for the calibration."""
-    s = sample(docs, labels, **bounds)
-    fit_on, held, pool = s.filter("quality is not null and fold > 0"), s.filter("quality is not null and fold = 0"), s.filter("quality is null")
-    if any(f.select("quality").distinct().count() < 2 for f in (fit_on, held)):
-        return None
-    edge = math.log(sure / (1 - sure))
-    for_text = for_meta = fit_on
-    for k in range(rounds + 1):
-        text, meta = _fit(for_text, "text_view"), _fit(for_meta, "meta_view")
-        if k < rounds:
-            told = lambda m, v: pool.withColumn("m", _margin(m, v)).filter(F.abs("m") > edge).withColumn("quality", (F.col("m") > 0).cast("double")).drop("m")
-            for_text, for_meta = fit_on.unionByName(told(meta, "meta_view")), fit_on.unionByName(told(text, "text_view"))
-    held = checkpoint(held.select("quality", F.array(_margin(text, "text_view")).alias("a"), F.array(_margin(meta, "meta_view")).alias("b")))
-    a, b = _fit(held, "a"), _fit(held, "b")
-    both = held.select("quality", F.array(_margin(a, "a"), _margin(b, "b")).alias("c"))
-    return Model(text, meta, a, b, _fit(both, "c"))
+    """Co-train over all documents, then calibrate and combine on the first two folds of the labels."""
+    v, edge, models = vectors(docs, labels, **bounds), math.log(sure / (1 - sure)), None
+    for _ in range(rounds + 1):
+        models = _fit_views(v, models, edge)
+        if None in models:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                both = [pa.array(list(m.margin(_matrix(b.column(c)))[:, None]), pa.list_(pa.float64())) for m, c in zip(models, ("text", "meta"))]
+                yield pa.RecordBatch.from_arrays([b.column("quality"), b.column("fold"), *both], names=["quality", "fold", "a", "b"])
+
+    held = v.filter("quality is not null and fold < 2").mapInArrow(run, "quality double, fold int, a array<double>, b array<double>")
+    held = checkpoint(held.repartition(1))  # part of at most max_labelled rows
+    first, second = held.filter("fold = 0"), held.filter("fold = 1")
+    a, b = _logistic(first, "a"), _logistic(first, "b")
+    both = second.select("quality", F.array(_margin(a, "a"), _margin(b, "b")).alias("c"))
+    return Model(*models, a, b, _logistic(both, "c") if not both.isEmpty() else Linear(np.full(2, 0.5), 0.0))
 
 
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:

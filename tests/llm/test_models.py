@@ -68,6 +68,52 @@ def test_held_out_accuracy(spark, sf_dir):
     assert kept.columns == docs.columns and kept.count() == scored.filter("accepted").count()
 
 
+def test_scores_equal_a_plain_computation(spark, sf_dir):
+    """The whole co-training once more, in memory, over all rows."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = docs.collect()
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    fold = {d: 4 - k % 5 for q in (0, 1) for k, d in enumerate(x for x in order if known[x] == q)}
+    views = [np.stack([quality.text_view(r.text) for r in rows]), np.stack([quality.metadata_view(r.lang, r.source, r.n_chars) for r in rows])]
+    y = np.array([known.get(r.doc_id, np.nan) for r in rows])
+    f = np.array([fold.get(r.doc_id, 9) for r in rows])
+    given, edge = np.where(f >= 2, y, np.nan), np.log(0.97 / 0.03)
+
+    def fit(x, y):
+        x, y = x[~np.isnan(y)], y[~np.isnan(y)]
+        means = [x[y == c].mean(axis=0) for c in (0, 1)]
+        rest = np.concatenate([x[y == c] - means[c] for c in (0, 1)])
+        spread = np.where(rest.std(axis=0) < 1e-9, 1, rest.std(axis=0))
+        z = rest / spread
+        w = np.linalg.solve(z.T @ z / len(z) + 1e-3 * np.eye(x.shape[1]), (means[1] - means[0]) / spread) / spread
+        return lambda v: v @ w + np.log(np.mean(y == 1) / np.mean(y == 0)) - w @ (means[0] + means[1]) / 2
+
+    models = [fit(v, given) for v in views]
+    for _ in range(2):
+        margins = [m(v) for m, v in zip(models, views)]
+        labels_by = [np.where(np.isnan(y) & (np.abs(m) > edge), m > 0, given) for m in margins]
+        models = [fit(views[0], labels_by[1]), fit(views[1], labels_by[0])]
+    model = quality.train(docs, labels)
+    for got, want, view in ((model.text, models[0], views[0]), (model.metadata, models[1], views[1])):
+        assert np.allclose(got.margin(view), want(view), rtol=1e-3, atol=1e-3)
+    want = model.combined.margin(np.stack([np.clip(model.text_calibration.margin(models[0](views[0])[:, None]), -700, 700), model.metadata_calibration.margin(models[1](views[1])[:, None])], axis=1))
+    scored = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    assert len(scored) == len(rows)
+    assert all(abs(scored[r.doc_id].quality_score - 1 / (1 + np.exp(-np.clip(w, -700, 700)))) < 1e-2 for r, w in zip(rows, want))
+    assert all(scored[r.doc_id].accepted == (scored[r.doc_id].quality_score >= 0.5) for r in rows)
+
+
+def test_rare_class_and_no_cap(spark):
+    texts = [(i, "!!! BAD ### " * 9 if i % 50 == 0 else f"good words here number {i} " * 9, "en", "s", 90) for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 50 != 0)) for i in range(0, 200)], "doc_id long, quality int")
+    scored = quality.score(docs, quality.train(docs, labels))
+    assert {r.doc_id for r in scored.filter("not accepted").collect()} == set(range(0, 400, 50))
+    few = quality.score(docs, quality.train(docs, labels.filter("doc_id in (0, 1)")))
+    assert few.count() == 400 and few.filter("quality_score is null").count() == 0
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None, None, 3), (2, "", "en", 3), (None, "x " * 50_000, None, 3), (2, "", "en", 3)], "doc_id long, text string, lang string, quality int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
