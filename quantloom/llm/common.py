@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run of anything but ASCII white space.
@@ -17,14 +18,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 500
 
 
+_SHIPPED: set[str] = set()
+
+
 def importable(spark: SparkSession) -> None:
-    """Let Python workers that share this file system import the package from where the driver did, whatever their folder,
-    and keep batches of texts small where the session leaves their size at the default."""
+    """Send the package to the Python workers of every executor, once a session, and keep batches of texts small where the
+    session leaves their size at the default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{package.name}", "zip", package.parent, package.name)
+        sc.addPyFile(made)  # from the driver's file server
+        _SHIPPED.add(sc.applicationId)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,10 +45,13 @@ def lower_az(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where it names none."""
+    """The shared folder that the session names; a folder of our own only in a local session that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -58,6 +68,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(at)
 
 
+def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (stable: a checkpoint or a table) with __nth, each one's number from 0 among those equal in `by`. Equals are numbered
+    within their partition, after those of earlier partitions, so no task gets all rows of a value."""
+    at = rows.withColumn("__same", F.xxhash64(*by)).withColumn("__part", F.spark_partition_id())
+    before = Window.partitionBy("__same").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = at.groupBy("__same", "__part").agg(F.count("*").alias("n"))
+    first = counts.select("__same", "__part", F.sum("n").over(before).alias("__first")).filter("__first > 0")
+    own = F.row_number().over(Window.partitionBy("__same", "__part").orderBy(*by)) - 1
+    met = at.withColumn("__own", own).join(first, ["__same", "__part"], "left")
+    return met.withColumn("__nth", F.coalesce("__first", F.lit(0)) + F.col("__own")).drop("__same", "__part", "__first", "__own")
+
+
 def keep_first(rows: DataFrame, root: DataFrame) -> DataFrame:
     """One of all rows (with __row) that share a root (table of __row, root): the one with the smallest doc_id, and only where
     none has an id a row without."""

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quantloom.llm.common import WORD, checkpoint, keyed, read
+from quantloom.llm.common import WORD, checkpoint, keyed, numbered, read
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Documents in a bucket of keys, about.
@@ -24,10 +24,12 @@ _KEY_SPACE = 1 << 52
 
 
 def sized(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    return docs.select(
-        *carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long").alias("key"),
-    )
+    """What the mix needs of every document; the key hashes id and text, and which of equal rows it is, so that neither a hot id
+    nor a hot row fills a bucket."""
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    rows = docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("digest"))
+    key = F.conv(F.substring(F.md5(F.concat("digest", F.col("__nth").cast("string")).cast("binary")), 1, 13), 16, 10).cast("long")
+    return numbered(checkpoint(rows), ["doc_id", "source", "digest"]).withColumn("key", key).drop("digest", "__nth")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
@@ -97,9 +99,13 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS k FROM documents
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS digest FROM documents
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS nth FROM d
+), d2 AS (
+  SELECT doc_id, source, size, ('0x' || substr(md5(digest || nth::VARCHAR), 1, 13))::BIGINT AS k FROM n
 ), s AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+  SELECT source, sum(size)::BIGINT AS source_size FROM d2 GROUP BY source
 ), r AS (
   SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
          2.0::DOUBLE * source_size AS cap FROM s
@@ -113,7 +119,7 @@ WITH d AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
          sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d2 d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
        (whole * size + least(greatest(floor(target) - whole * source_size - (upto - size), 0), size))::BIGINT AS taken FROM c

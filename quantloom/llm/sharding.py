@@ -4,29 +4,33 @@ Records hash into thousands of virtual slots. Bytes are aggregated per slot, and
 shard; rebalancing edits the map and never rehashes a record. Everything per record is a column expression and carries
 no text; whatever is gathered in one place is bounded by the number of slots, a parameter.
 
-Defined results: a null text has size 1; an empty table gives no rows; repeated rows share a slot and take positions in
-turn; columns that the operator does not need are ignored, whatever their names.
+Defined results: a null text has size 1; an empty table gives no rows; copies of one row go to one slot after the other;
+columns that the operator does not need are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quantloom.llm.common import checkpoint, read
+from quantloom.llm.common import checkpoint, numbered, read, shared_dir
 
 N_SLOTS = 4096
 
 
 def records(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of every record. The slot hashes id, size and checksum, so that a hot id
-    with different texts spreads over slots."""
+    """doc_id, size, text_crc32 and virtual_slot of every record. The slot hashes id, size and checksum, and copies of one record
+    take the slots after it in turn, so neither a hot id nor a hot row fills a slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select(
         F.col("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(n_slots)).cast("int"))
+    key = ["doc_id", "size", "text_crc32"]
+    slot = F.pmod(F.pmod(F.xxhash64(*key), F.lit(n_slots)) + F.col("__nth"), F.lit(n_slots))
+    return numbered(checkpoint(out), key).withColumn("virtual_slot", slot.cast("int")).drop("__nth")
 
 
 def slot_sizes(recs: DataFrame) -> DataFrame:
@@ -93,11 +97,11 @@ def load_slot_map(spark, path: str, version: int | None = None) -> DataFrame:
     return m.filter(F.col("version") == v)
 
 
-def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, slot_map: DataFrame | None = None, recs: DataFrame | None = None) -> DataFrame:
     """Every record with its shard under the map (built here from the bytes per slot if none is given), its virtual slot,
-    the map's version and its position in the shard, gapless from 0. Positions are a running count within a virtual slot
+    the map's version and its position in the shard, gapless from 0. recs: checkpointed records of docs, if at hand. Positions are a running count within a virtual slot
     plus the rows of the shard's earlier slots, so that no task ever holds a whole shard."""
-    recs = checkpoint(records(docs, n_slots))
+    recs = checkpoint(records(docs, n_slots)) if recs is None else recs
     if slot_map is not None:  # one stored by an earlier build may lack slots
         top, version = slot_map.agg(F.max("shard"), F.max("version")).first()
         slot_map = complete(slot_map, n_slots, F.lit(top + 1 if top is not None else n_shards), F.lit(version if version is not None else 1))
@@ -112,7 +116,10 @@ def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, slot_map:
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
-    return shard(read(spark, sf_dir, "documents"), 16).select(
+    docs, path = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/slots-{uuid.uuid4().hex}"
+    recs = checkpoint(records(docs))
+    save_slot_map(build_slot_map(slot_sizes(recs), 16), path)
+    return shard(docs, 16, slot_map=load_slot_map(spark, path), recs=recs).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),
     )
