@@ -1,11 +1,13 @@
 """URL filters by association rules.
 
 URLs become sets of tokens (scheme, host labels with their place, path words, file ending, query keys). FP-growth mines
-which combinations of tokens go with a bad label; rules pruned by confidence and support are kept in an inverted index
-under their rarest token, found by a join on the tokens of a URL and checked in full. Explicit allow and block rules on
-host and path come first, the longest that fits.
+which combinations of tokens go with a bad and which with a good label. Rules are pruned by confidence, support and lift (their
+confidence as a multiple of the label's share of all labelled pages, so a rule has to say more than no rule does), and where a
+rule of fewer tokens says as much. They are kept in an inverted index under their rarest token, found by a join on the tokens of
+a URL and checked in full; of those that fit, the one of most lift decides. Explicit allow and block rules on host and path come
+first, the longest that fits.
 
-Defined results: a null url, or one without ``://``, has empty host and path and only its method verdict, allow unless a
+Defined results: a null url, or one without ``://``, has empty host and path and only its method verdict, allow where no
 mined rule fits; repeated rows all stay; an empty table gives no rows; without labels there are no mined rules.
 """
 
@@ -26,7 +28,8 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, BAD = 0.01, 20, 0.75, "label:bad"
+MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MIN_LIFT = 0.01, 20, 0.75, 1.05
+LABELS = {"label:bad": "block", "label:good": "allow"}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,22 +52,28 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(scheme, hosts, F.transform(words, lambda x: F.concat(F.lit("p:"), x)), keys))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules mined from rows (tokens, bad): anchor (rarest token), antecedent, confidence, support. A rule's token set holds
-    in at least min_support of the labelled rows and in min_count of them."""
-    items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
-    items = checkpoint(items.filter(F.size("items") > 0))
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+    """Rules mined from rows (tokens, bad): anchor (rarest token), antecedent, verdict, confidence, support, lift. A rule's tokens
+    and label hold in at least min_support of the labelled rows and in min_count of them."""
+    bad, good = LABELS
+    items = labelled.select(F.array_append("tokens", F.when(F.col("bad"), bad).otherwise(good)).alias("items"))
+    items = checkpoint(items)
     n = items.count()
-    empty = "anchor string, antecedent array<string>, confidence double, support double"
+    empty = "anchor string, antecedent array<string>, verdict string, confidence double, support double, lift double"
     if n < min_count:
         return labelled.sparkSession.createDataFrame([], empty)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter((F.col("consequent")[0] == BAD) & (F.size("antecedent") > 0))
-    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    of = F.element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), F.col("consequent")[0])
+    found = model.associationRules.filter(F.col("consequent")[0].isin(*LABELS) & (F.col("lift") >= min_lift))
+    found = checkpoint(found.select(F.array_sort("antecedent").alias("antecedent"), of.alias("verdict"), "confidence", "support", "lift"))
+    fewer = F.explode(F.transform("antecedent", lambda x: F.array_except("antecedent", F.array(x)))).alias("fewer")
+    wider = found.select(F.col("antecedent").alias("fewer"), "verdict", F.col("lift").alias("wider_lift"))
+    told = found.select("antecedent", "verdict", "lift", fewer).join(wider, ["fewer", "verdict"]).filter("wider_lift >= lift")
+    rules = found.join(told.select("antecedent", "verdict").distinct(), ["antecedent", "verdict"], "left_anti")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     anchor = rules.select("antecedent", F.explode("antecedent").alias("token")).join(single, "token")
     anchor = anchor.groupBy("antecedent").agg(F.min(F.struct("freq", "token"))["token"].alias("anchor"))
-    return rules.join(anchor, "antecedent").select("anchor", "antecedent", "confidence", "support")
+    return rules.join(anchor, "antecedent").select("anchor", "antecedent", "verdict", "confidence", "support", "lift")
 
 
 def explicit(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
@@ -90,10 +99,10 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     hits = (
         sets.select("tokens", F.explode("tokens").alias("anchor")).join(mined, "anchor")
         .filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-        .groupBy("tokens").agg(F.max(F.struct("confidence", "support", "antecedent")).alias("best"))
+        .groupBy("tokens").agg(F.max(F.struct("lift", "support", "antecedent", "verdict", "confidence")).alias("best"))
     )
     out = attach(p, checkpoint(sets.join(hits, "tokens", "left")), "tokens", "n")
-    method = F.when(F.col("best").isNotNull(), "block").otherwise("allow")
+    method = F.coalesce("best.verdict", F.lit("allow"))
     return out.select(
         "page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"),
         F.col("best.antecedent").alias("mined_rule"), F.col("best.confidence").alias("mined_confidence"),

@@ -1,6 +1,7 @@
 """Sharding, exact dedup, mixing, chat formatting and URL filters against brute force and in edge cases."""
 
 import hashlib
+import itertools
 import math
 import zlib
 from collections import defaultdict
@@ -77,6 +78,21 @@ def test_stored_map_takes_other_records(spark, docs):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_copies_of_one_row_fill_slots_in_turn(spark, docs):
+    hot = docs.limit(1).select("doc_id", "text").crossJoin(spark.range(2000).select(F.col("id").alias("k"))).drop("k").repartition(5)
+    both = docs.select("doc_id", "text").unionByName(hot)
+    rows = sharding.shard(both, 16).collect()
+    assert len(rows) == both.count()
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(sizes.values()) - min(sizes.values()) <= max(r.size for r in rows)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    again = sharding.shard(both.repartition(3), 16).collect()
+    assert sorted((r.doc_id, r.virtual_slot) for r in rows) == sorted((r.doc_id, r.virtual_slot) for r in again)
+
+
 def test_sharding_edges(spark):
     df = docs_of(spark, EDGE)
     rows = sharding.shard(df, 3).collect()
@@ -145,6 +161,14 @@ def test_mix_matches_budget(spark, docs, bucket_rows):
     assert {(r.doc_id, r.taken) for r in rows} == {(r.doc_id, r.taken) for r in again}
 
 
+def test_copies_of_one_row_are_spread_over_buckets(spark, docs):
+    hot = spark.range(3000).selectExpr("7L AS doc_id", "'one two three' AS text", "'a' AS source").repartition(5)
+    sized = mixing.sized(hot)
+    assert sized.select("key").distinct().count() == 3000
+    rows = mixing.mix(hot, bucket_rows=100).collect()
+    assert len(rows) == 3000 and sum(r.taken for r in rows) == math.floor(1.5 * 9000) and max(r.taken for r in rows) <= 6
+
+
 def test_mix_edges_and_effect(spark):
     df = docs_of(spark, EDGE)
     rows = mixing.mix(df).collect()
@@ -252,5 +276,33 @@ def test_mined_rules_match_brute_force(spark):
     for r in got:
         if r.mined_rule:
             fit = [i for i in range(600) if set(r.mined_rule) <= toks[i]]
-            bad = sum(1 for i in fit if labels[i][1] == 0)
-            assert r.page_id in fit and math.isclose(bad / len(fit), r.mined_confidence) and bad >= url_filter.MIN_COUNT
+            right = sum(1 for i in fit if (labels[i][1] == 0) == (r.verdict == "block"))
+            assert r.page_id in fit and math.isclose(right / len(fit), r.mined_confidence) and right >= url_filter.MIN_COUNT
+            share = sum((q == 0) == (r.verdict == "block") for _, q, _ in labels) / 600
+            assert r.mined_confidence >= 0.75 and r.mined_confidence / share >= 1.05 - 1e-9
+    assert {r.verdict for r in got if r.mined_rule} == {"block", "allow"}
+
+
+def test_rules_decide_given_pages(spark, sf_dir):
+    """The full set of rules, mined once more by counting, and the best that fits each page."""
+    pages, labels = spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    host, path = url_filter.host_and_path(F.col("url"))
+    toks = {r.page_id: frozenset(r.t) for r in pages.select("page_id", url_filter.tokens(F.col("url"), host, path).alias("t")).collect()}
+    bad = {r.doc_id: r.quality == 0 for r in labels.collect()}
+    known = [i for i in toks if i in bad]
+    base = {True: sum(bad[i] for i in known) / len(known), False: sum(not bad[i] for i in known) / len(known)}
+    counts = defaultdict(lambda: [0, 0])
+    for i in known:
+        for k in range(1, len(toks[i]) + 1):
+            for c in itertools.combinations(sorted(toks[i]), k):
+                counts[c][bad[i]] += 1
+    least = max(0.01 * len(known), 20)
+    rules = {(c, b): n[b] / sum(n) / base[b] for c, n in counts.items() for b in (False, True) if n[b] >= least and n[b] / sum(n) >= 0.75 and n[b] / sum(n) / base[b] >= 1.05}
+    got = url_filter.judge(pages, labels).collect()
+    for r in got:
+        fit = [v for (c, _), v in rules.items() if set(c) <= toks[r.page_id]]
+        assert (r.mined_rule is not None) == bool(fit)
+        if fit:
+            assert math.isclose(rules[tuple(sorted(r.mined_rule)), r.verdict == "block"] if r.rule is None else max(fit), max(fit))
+
+
