@@ -37,6 +37,26 @@ def test_recall_on_the_fixture(spark, sf_dir, scale):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_recall_at_scale(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    got = {}
+    for r in ann.search(df, F.col("id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(found & set(brute(ids, x, q, 20)[0])) for q, found in got.items()) / (20 * len(got)) >= 0.93
+
+
+def test_lists_grow_and_structure_needs_few_probes():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((200, 16)) * 4
+    x = centres[rng.integers(200, size=6000)] + rng.standard_normal((6000, 16)) * 0.2
+    top = float((x**2).sum(axis=1).max())
+    small, large = ann.Index(x, top, 6000, 20), ann.Index(x, top, 60_000, 20)
+    assert len(large.centres) > 3 * len(small.centres)
+    assert small.n_probe < 0.3 * len(small.centres)
+
+
 def test_edges_and_ties(spark):
     bad = [(100, None), (120, [0.0, 0.0]), (140, [1.0, None]), (160, [float("nan"), 1.0]), (180, [float("inf"), 1.0]), (None, [1.0, 0.0]), (101, [1.0, 2.0, 3.0])]
     good = [(0, [1.0, 0.0]), *[(i, [1.0, 0.0]) for i in range(1, 31)], (40, [0.0, 1.0]), (41, [-1.0, 0.0]), (40, [0.0, 1.0])]
