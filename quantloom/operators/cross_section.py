@@ -104,11 +104,12 @@ def neutralize(y, x, least: int = 3) -> Column:
 
 
 def normalize(df: DataFrame, x: str, direction: int = 1, q: float = 0.025, out: str = "value") -> DataFrame:
-    """direction * x, clipped at lower-interpolated quantiles, as centred ranks, as z-scores (0 where all are equal)."""
-    df = df.withColumn("_v", direction * F.col(x)).withColumn("_a", F.array_sort(F.collect_list("_v").over(by_date())))
-    n = F.size("_a")
-    at = lambda p: F.try_element_at("_a", (F.floor(F.lit(p) * (n - 1)) + 1).cast("int"))
-    df = df.withColumn("_v", F.when(F.col("_v").isNotNull(), F.greatest(F.least(F.col("_v"), at(1 - q)), at(q)))).drop("_a")
+    """direction * x, clipped at lower-interpolated quantiles, as centred ranks, as z-scores (0 where all are equal). The
+    quantiles are the values at two places of the date's order."""
+    df = df.withColumn("_v", direction * F.col(x))
+    df = df.withColumn("_i", F.row_number().over(by_date().orderBy(F.asc_nulls_last("_v")))).withColumn("_n", F.count("_v").over(by_date()))
+    at = lambda p: F.max(F.when(F.col("_i") == F.floor(F.lit(p) * (F.col("_n") - 1)) + 1, F.col("_v"))).over(by_date())
+    df = df.withColumn("_v", F.when(F.col("_v").isNotNull(), F.greatest(F.least(F.col("_v"), at(1 - q)), at(q)))).drop("_i", "_n")
     df = df.withColumn("_v", cs_rank("_v") - 0.5)
     sd = F.stddev_pop("_v").over(by_date())
     return df.withColumn(out, F.when(F.col("_v").isNotNull(), F.when(sd > EPS, (F.col("_v") - F.avg("_v").over(by_date())) / sd).otherwise(0.0))).drop("_v")

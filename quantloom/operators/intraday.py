@@ -1,12 +1,17 @@
 """Intraday operators: minutes of one (instrument, period) to one value, and path-dependent daily states.
 
 Minutes are rows (instrument, date, ts, seq, a, b). Statistics are grouped aggregates; those that need the order inside a
-period use one window sorted by time. Recursive states run as folds over an instrument's ordered history.
+period use one window sorted by time. Path-dependent states are carried along an instrument's history, one batch at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quantloom.functions.scalar import EPS, clip, safe_div
 from quantloom.operators import rolling as R
@@ -158,23 +163,49 @@ def technical(bars: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def followed(df: DataFrame, columns: Sequence[str], start: Callable[[], object], step: Callable, outputs: str) -> DataFrame:
+    """instrument, date and `outputs` (a DDL list) of every row: step(state, *columns) -> (state, outputs), called in order of day
+    from start() for each instrument. Instruments are dealt over partitions sorted by day, and the state goes along from batch to
+    batch, so a task holds one batch however long a history is."""
+    names = [x.split()[0] for x in outputs.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), None
+        for b in batches:
+            rows = []
+            for who, *values in zip(*(b.column(c).to_pylist() for c in ("instrument", *columns))):
+                if who != now:
+                    now, state = who, start()
+                state, out = step(state, *values)
+                rows.append(out)
+            cols = [pa.array(v, kinds.field(n).type) for v, n in zip(zip(*rows), names)] if rows else [pa.array([], kinds.field(n).type) for n in names]
+            yield pa.RecordBatch.from_arrays([b.column("instrument"), b.column("date"), *cols], names=[*KEY, *names])
+
+    shape = StructType([df.schema["instrument"], df.schema["date"], *StructType.fromDDL(outputs).fields])
+    kinds = to_arrow_schema(shape)
+    rows = df.select(*KEY, "day", *columns).repartition("instrument").sortWithinPartitions("instrument", "day")
+    return rows.mapInArrow(run, shape)
+
+
 def supertrend(bars: DataFrame, n: int = 5, k: float = 2.0) -> DataFrame:
-    """Trend direction (1, -1) and its trailing stop: bands k ATRs around the middle that only tighten within a trend. An
-    instrument's past is folded in order, one state a day."""
+    """Trend direction (1, -1) and its trailing stop: bands k ATRs around the middle that only tighten within a trend."""
     b = R.recursive(bars.withColumn("tr", true_range()), _atr=("tr", 1 / n))
-    row = F.struct(((F.col("high") + F.col("low")) / 2).cast("double").alias("mid"), F.col("_atr").alias("atr"), F.col("close").cast("double").alias("close"))
-    past = F.collect_list(row).over(R.past())
-    start = F.struct(F.lit(1).alias("side"), F.lit(None).cast("double").alias("up"), F.lit(None).cast("double").alias("down"))
+    b = b.withColumn("_mid", ((F.col("high") + F.col("low")) / 2).cast("double")).withColumn("_close", F.col("close").cast("double"))
+
+    def step(state, mid, atr, close):
+        side, up, down = state
+        low, high = mid - k * (atr or 0.0), mid + k * (atr or 0.0)
+        turned = 1 if close > (high if up is None else up) else -1 if close < (low if down is None else down) else side
+        down = max(low, down) if side == 1 and down is not None else low
+        up = min(high, up) if side == -1 and up is not None else high
+        return (turned, up, down), (turned, down if turned == 1 else up)
+
+    return followed(b, ["_mid", "_atr", "_close"], lambda: (1, None, None), step, "side int, stop double")
 
-    def step(s: Column, x: Column) -> Column:
-        width = k * F.coalesce(x["atr"], F.lit(0.0))
-        down = F.when(s["side"] == 1, F.greatest(x["mid"] - width, s["down"])).otherwise(x["mid"] - width)
-        up = F.when(s["side"] == -1, F.least(x["mid"] + width, s["up"])).otherwise(x["mid"] + width)
-        side = F.when(x["close"] > F.coalesce(s["up"], x["mid"] + width), 1).when(x["close"] < F.coalesce(s["down"], x["mid"] - width), -1).otherwise(s["side"])
-        return F.struct(side.alias("side"), up.alias("up"), down.alias("down"))
 
-    b = b.withColumn("_s", F.aggregate(past, start, step))
-    return b.select(*KEY, F.col("_s.side").alias("side"), F.when(F.col("_s.side") == 1, F.col("_s.down")).otherwise(F.col("_s.up")).alias("stop"))
+def placeholders(bars: DataFrame) -> DataFrame:
+    """Bars without volume whose four prices are one."""
+    return bars.filter("volume = 0 and open = high and high = low and low = close")
 
 
 def days_since_change(df: DataFrame, state: str) -> DataFrame:
@@ -193,22 +224,18 @@ def chandelier(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
 
 
 def parabolic(bars: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
-    """Parabolic stop and reverse: one state a day, folded over an instrument's past in order."""
-    row = F.struct(F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
-    null = F.lit(None).cast("double")
-    start = F.struct(F.lit(1).alias("side"), null.alias("stop"), null.alias("best"), F.lit(step).alias("speed"))
-
-    def fold(s, x):
-        stop = F.coalesce(s["stop"] + s["speed"] * (s["best"] - s["stop"]), x["low"])
-        best = F.coalesce(s["best"], x["high"])
-        turned = F.when(s["side"] == 1, x["low"] < stop).otherwise(x["high"] > stop)
-        side = F.when(turned, -s["side"]).otherwise(s["side"])
-        further = F.when(s["side"] == 1, x["high"] > best).otherwise(x["low"] < best)
-        reached = F.when(s["side"] == 1, F.greatest(best, x["high"])).otherwise(F.least(best, x["low"]))
-        return F.struct(
-            side.alias("side"), F.when(turned, best).otherwise(stop).alias("stop"), F.when(turned, F.when(side == 1, x["high"]).otherwise(x["low"])).otherwise(reached).alias("best"),
-            F.when(turned, step).when(further, F.least(s["speed"] + step, F.lit(most))).otherwise(s["speed"]).alias("speed"),
-        )
-
-    s = F.aggregate(F.collect_list(row).over(R.past()), start, fold)
-    return bars.withColumn("_s", s).select(*KEY, F.col("_s.side").alias("side"), F.col("_s.stop").alias("stop"))
+    """Parabolic stop and reverse, one state a day."""
+
+    def fold(state, high, low):
+        side, stop, best, speed = state
+        stop = low if stop is None else stop + speed * (best - stop)
+        best = high if best is None else best
+        if low < stop if side == 1 else high > stop:  # the stop is hit: the other side starts from the best price so far
+            state = -side, best, high if side == -1 else low, step
+        else:
+            further = high > best if side == 1 else low < best
+            state = side, stop, max(best, high) if side == 1 else min(best, low), min(speed + step, most) if further else speed
+        return state, state[:2]
+
+    b = bars.select(*KEY, "day", F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
+    return followed(b, ["high", "low"], lambda: (1, None, None, step), fold, "side int, stop double")

@@ -140,6 +140,20 @@ def unique_both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return p.withColumn("_a", n_a).withColumn("_b", n_b).filter("_a = 1 and _b = 1").drop("_a", "_b")
 
 
+def monthly_universe(snapshots: DataFrame, n: int) -> DataFrame:
+    """The n heaviest instruments of each month's first snapshot (date, instrument, symbol, weight) that have one symbol, share it
+    with no other and were seen before that date. The table of first dates has a row per month."""
+    rows = snapshots.groupBy("date", "instrument", "symbol").agg(F.sum("weight").alias("weight"))
+    first = rows.groupBy(F.date_trunc("month", "date").alias("_m")).agg(F.min("date").alias("date")).select("date")
+    rows = rows.join(F.broadcast(first), "date", "left_semi")
+    alone = lambda c: F.count("*").over(Window.partitionBy("date", c)) == 1
+    rows = rows.withColumn("_alone", alone("instrument") & alone("symbol")).filter("_alone").drop("_alone")
+    seen = snapshots.groupBy("instrument").agg(F.min("date").alias("_seen"))
+    rows = rows.join(seen, "instrument").filter(F.col("_seen") < F.col("date")).drop("_seen")
+    order = Window.partitionBy("date").orderBy(F.desc("weight"), "instrument")
+    return rows.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+
+
 def settle_funding(positions: DataFrame, events: DataFrame, opens: DataFrame) -> DataFrame:
     """Funding cash of positions at events: -quantity * price * rate, at the event's mark if positive, else the day's open, else
     unresolved."""

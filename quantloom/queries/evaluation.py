@@ -61,8 +61,8 @@ add(
 add("a04_daily_top_ranking", lambda s, d: E.top_n_by_date(be(s, d), "volume", 10).select("instrument", "date", "position", "volume"), f"WITH {BE} SELECT instrument, date, row_number() OVER (PARTITION BY date ORDER BY volume DESC, instrument) AS position, {r('volume', 'volume')} FROM bars QUALIFY row_number() OVER (PARTITION BY date ORDER BY volume DESC, instrument) <= 10")
 add(
     "a05_token_window_universe",
-    lambda s, d: be(s, d).withColumn("seen", F.explode(F.sequence(F.col("day"), F.col("day") + 6))).groupBy(F.col("seen").alias("day")).agg(F.count_distinct("instrument").alias("n_tokens")).filter(F.col("day") <= 19750),
-    f"WITH {BE}, s AS (SELECT instrument, unnest(range(day, day + 7)) AS day FROM bars) SELECT day, count(DISTINCT instrument) AS n_tokens FROM s WHERE day <= 19750 GROUP BY day",
+    lambda s, d: be(s, d).withColumn("seen", F.explode(F.sequence(F.col("day"), F.col("day") + 6))).groupBy(F.col("seen").alias("day")).agg(F.count_distinct("instrument").alias("n_tokens")),
+    f"WITH {BE}, s AS (SELECT instrument, unnest(range(day, day + 7)) AS day FROM bars) SELECT day, count(DISTINCT instrument) AS n_tokens FROM s GROUP BY day",
 )
 add("a06_daily_ic", ic, f"WITH {IC} SELECT date, n, {r('ic', 'ic')}, {r('rank_ic', 'rank_ic')} FROM ic")
 add("a07_daily_spearman", lambda s, d: all_ic(s, d), f"WITH {ALL_IC} SELECT factor, date, {r('ic', 'ic')} FROM ics")
@@ -98,8 +98,8 @@ add(
 )
 add(
     "a16_nav_metrics",
-    lambda s, d: E.return_summary(fp(s, d).filter("ret is not null and instrument % 20 = 0").select("instrument", "date", F.greatest("ret", F.lit(-0.9)).alias("ret")), ["instrument"], periods=12),
-    f"WITH {FP}, t AS (SELECT instrument, date, greatest(ret, -0.9) AS ret FROM panel WHERE ret IS NOT NULL AND instrument % 20 = 0), {summary_sql('instrument', 't', 12)}",
+    lambda s, d: E.return_summary(fp(s, d).filter("ret is not null").select("instrument", "date", F.greatest("ret", F.lit(-0.9)).alias("ret")), ["instrument"], periods=12),
+    f"WITH {FP}, t AS (SELECT instrument, date, greatest(ret, -0.9) AS ret FROM panel WHERE ret IS NOT NULL), {summary_sql('instrument', 't', 12)}",
 )
 add("a18_quarterly_slices", lambda s, d: E.quarterly(market(s, d)), f"""WITH {MARKET}, n AS (SELECT *, exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS nav, date_trunc('quarter', date)::DATE AS quarter FROM series),
   q AS (SELECT quarter, count(*) AS n_days, exp(sum(ln(1 + ret))) - 1 AS qr, max_by(nav, date) AS e FROM n GROUP BY quarter), o AS (SELECT *, coalesce(lag(e) OVER (ORDER BY quarter), 1) AS b FROM q)
@@ -346,8 +346,8 @@ add("b07_composite_targets", lambda s, d: X.target_weights(X.assign_groups(X.com
 add("b08_coin_betas", lambda s, d: P.coin_betas(fp(s, d).withColumn("market", F.avg("ret").over(X.by_date())), 20, 10).select("instrument", "date", "beta"), f"WITH {FP}, m AS (SELECT *, CASE WHEN ret IS NOT NULL THEN avg(ret) OVER {D} END AS mkt FROM panel) SELECT instrument, date, {r('CASE WHEN count(ret) OVER w >= 10 AND var_samp(mkt) OVER w > 1e-12 THEN covar_samp(mkt, ret) OVER w / var_samp(mkt) OVER w END', 'beta')} FROM m WINDOW w AS (PARTITION BY instrument ORDER BY day RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)")
 _LIST = "list(close::DOUBLE) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 add(
-    "b09_trend_score", lambda s, d: P.trend_score(fp(s, d).filter("instrument = 1"), 3, 12).select("instrument", "date", "score"),
-    f"WITH {FP}, l AS (SELECT instrument, date, {_LIST} AS a FROM panel WHERE instrument = 1), e AS (SELECT *, list_reduce(a, lambda s, y: s * 0.5 + y * 0.5) AS f, list_reduce(a, lambda s, y: s * {1 - 2 / 13!r} + y * {2 / 13!r}) AS g FROM l) SELECT instrument, date, {r('tanh(10 * (f - g) / g)', 'score')} FROM e",
+    "b09_trend_score", lambda s, d: P.trend_score(fp(s, d), 3, 12).select("instrument", "date", "score"),
+    f"WITH {FP}, l AS (SELECT instrument, date, {_LIST} AS a FROM panel), e AS (SELECT *, list_reduce(a, lambda s, y: s * 0.5 + y * 0.5) AS f, list_reduce(a, lambda s, y: s * {1 - 2 / 13!r} + y * {2 / 13!r}) AS g FROM l) SELECT instrument, date, {r('tanh(10 * (f - g) / g)', 'score')} FROM e",
 )
 add("b10_exposure_map", lambda s, d: fp(s, d).select("instrument", "date", P.exposure("label", 0.2, 1.0).alias("exposure")), f"WITH {FP} SELECT instrument, date, {r('CASE WHEN label IS NOT NULL THEN greatest(least(0.2 + 0.8 * (label + 1) / 2, 1.0), 0.2) END', 'exposure')} FROM panel")
 add(
@@ -374,7 +374,7 @@ add(
 add("b15_orders", lambda s, d: P.orders(top_weights(s, d), fp(s, d).select("instrument", "date", "close"), 0.0005, 0.001), f"""WITH {FP}, q AS (SELECT x.date, x.instrument, close, weight / close AS q FROM {WX} x JOIN panel USING (date, instrument) WHERE weight IS NOT NULL), o AS (SELECT *, q - coalesce(lag(q) OVER (PARTITION BY instrument ORDER BY date), 0) AS o FROM q)
   SELECT date, instrument, CASE WHEN o > 0 THEN 'buy' ELSE 'sell' END AS side, {r('o', 'order_quantity')}, {r('abs(o) * close', 'notional')}, {r('abs(o) * close * 0.0005', 'fee')}, {r('abs(o) * close * 0.001', 'slippage')} FROM o WHERE abs(o) > 1e-12""")
 add("b16_funding_on_weights", lambda s, d: top_weights(s, d).join(fp(s, d).select("date", "instrument", "funding"), ["date", "instrument"]).groupBy("date").agg(F.sum(-F.col("weight") * F.col("funding")).alias("cash")), f"WITH {FP} SELECT x.date, {r('sum(-weight * funding)', 'cash')} FROM {WX} x JOIN panel USING (date, instrument) WHERE weight IS NOT NULL GROUP BY x.date")
-add("b17_benchmark_comparison", lambda s, d: fp(s, d).filter("instrument = 1 and ret is not null").select("date", F.col("ret").alias("own")).join(market(s, d).withColumnRenamed("ret", "benchmark"), "date").withColumn("excess", F.col("own") - F.col("benchmark")), f"WITH {MARKET} SELECT p.date, {r('p.ret', 'own')}, {r('s.ret', 'benchmark')}, {r('p.ret - s.ret', 'excess')} FROM panel p JOIN series s USING (date) WHERE instrument = 1 AND p.ret IS NOT NULL")
+add("b17_benchmark_comparison", lambda s, d: fp(s, d).filter("ret is not null").select("instrument", "date", F.col("ret").alias("own")).join(market(s, d).withColumnRenamed("ret", "benchmark"), "date").withColumn("excess", F.col("own") - F.col("benchmark")), f"WITH {MARKET} SELECT p.instrument, p.date, {r('p.ret', 'own')}, {r('s.ret', 'benchmark')}, {r('p.ret - s.ret', 'excess')} FROM panel p JOIN series s USING (date) WHERE p.ret IS NOT NULL")
 add(
     "b18_signal_export", lambda s, d: top_weights(s, d).withColumn("last", F.max("date").over(Window.partitionBy())).filter("date = last").select("instrument", F.lit("rebalance").alias("action"), "weight", F.sha2(F.concat_ws("|", F.col("date").cast("string"), F.col("instrument").cast("string")), 256).alias("content_id")),
     f"WITH {FP}, w AS (SELECT * FROM {WX} WHERE weight IS NOT NULL) SELECT instrument, 'rebalance' AS action, {r('weight', 'weight')}, sha256(date::VARCHAR || '|' || instrument::VARCHAR) AS content_id FROM w WHERE date = (SELECT max(date) FROM w)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quantloom import views
-from quantloom.operators import intraday as M, rolling as R
+from quantloom.operators import intraday as M, portfolio as P, rolling as R
 from quantloom.queries.common import add, over, panel, r
 
 K = "instrument, date"
@@ -96,7 +96,16 @@ add(
     {r(f'CASE WHEN count(close) OVER {over(5)} >= 5 THEN 100 * (close - min(low) OVER {over(5)}) / (max(high) OVER {over(5)} - min(low) OVER {over(5)}) END', 'stochastic')},
     {r('CASE WHEN len(w5) >= 5 THEN (tp - list_avg(w5)) / (0.015 * list_avg(list_transform(w5, lambda x: abs(x - list_avg(w5))))) END', 'cci')}, {r(f"macd - {folded('lm', 0.5)}", 'macd')} FROM f""",
 )
-add("m16_supertrend", lambda s, d: M.supertrend(views.bars_mo(s, d)))
+_ATR = f"""{views.BARS_MO}, p AS (SELECT *, max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS pc, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars),
+  t AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM p), l AS (SELECT *, {listed('tr')} AS lt FROM t)"""
+add(
+    "m16_supertrend", lambda s, d: M.supertrend(views.bars_mo(s, d)),
+    f"""WITH RECURSIVE {_ATR}, b AS (SELECT instrument, date, k, close, (high + low) / 2 - 2 * {folded('lt', 0.2)} AS lo, (high + low) / 2 + 2 * {folded('lt', 0.2)} AS hi FROM l),
+    s AS (SELECT instrument, date, k, CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE 1 END AS side, hi AS up, lo AS down FROM b WHERE k = 1
+      UNION ALL SELECT b.instrument, b.date, b.k, CASE WHEN close > s.up THEN 1 WHEN close < s.down THEN -1 ELSE s.side END, CASE WHEN s.side = -1 THEN least(hi, s.up) ELSE hi END, CASE WHEN s.side = 1 THEN greatest(lo, s.down) ELSE lo END
+      FROM s JOIN b ON b.instrument = s.instrument AND b.k = s.k + 1)
+    SELECT instrument, date, side, {r('CASE WHEN side = 1 THEN down ELSE up END', 'stop')} FROM s""",
+)
 add("m16_days_since_change", lambda s, d: M.days_since_change(views.factor_panel(s, d).withColumn("state", F.when(F.col("ret") > 0, 1).otherwise(0)), "state").select("instrument", "date", "since"), f"""WITH {views.FACTOR_PANEL}, t AS (SELECT *, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS st FROM panel), c AS (SELECT *, coalesce(st <> lag(st) OVER w, true)::INT AS ch FROM t WINDOW w AS (PARTITION BY instrument ORDER BY date)), k AS (SELECT *, sum(ch) OVER (PARTITION BY instrument ORDER BY date) AS run FROM c)
   SELECT instrument, date, row_number() OVER (PARTITION BY instrument, run ORDER BY date) - 1 AS since FROM k""")
 add("m17_named_signals", lambda s, d: M.technical(views.bars_mo(s, d)).select("instrument", "date", (F.col("rsi") > 70).cast("int").alias("overbought"), (F.col("rsi") < 30).cast("int").alias("oversold"), F.signum("macd").cast("int").alias("macd_side"), (F.abs("cci") > 100).cast("int").alias("breakout")), f"""{_TECH} SELECT instrument, date, (CASE WHEN ru + rd > 1e-12 THEN 100 * ru / (ru + rd) END > 70)::INT AS overbought, (CASE WHEN ru + rd > 1e-12 THEN 100 * ru / (ru + rd) END < 30)::INT AS oversold, sign(macd - {folded('lm', 0.5)})::INT AS macd_side,
@@ -125,7 +134,20 @@ add(
     f"WITH {views.FACTOR_PANEL} SELECT instrument, date, {r('open / max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) - 1', 'gap')}, {r('avg((ret > 0)::INT) OVER (PARTITION BY date)', 'breadth')}, {r('avg(ret) OVER (PARTITION BY date)', 'market')} FROM panel",
 )
 # projections and filters
-add("p05_placeholder_bars", lambda s, d: views.bars_ev(s, d).filter("(open = close and high = low) or volume = 0").select("instrument", "date"), f"WITH {views.BARS_EV} SELECT instrument, date FROM bars WHERE (open = close AND high = low) OR volume = 0")
+def _padded(s, d):
+    """Bars on every day of the calendar; a day without trades repeats the last close, without volume."""
+    b = views.bars_ev(s, d)
+    p = P.calendar_spine(b).join(b.select("instrument", "date", "open", "high", "low", "close", "volume"), ["instrument", "date"], "left")
+    last = F.last("close", ignorenulls=True).over(Window.partitionBy("instrument").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return p.select("instrument", "date", *[F.coalesce(c, last).alias(c) for c in ("open", "high", "low", "close")], F.coalesce("volume", F.lit(0.0)).alias("volume"))
+
+
+add(
+    "p05_placeholder_bars", lambda s, d: M.placeholders(_padded(s, d)).select("instrument", "date"),
+    f"""WITH {views.BARS_EV}, spine AS (SELECT instrument, date FROM (SELECT DISTINCT instrument FROM bars), (SELECT unnest(generate_series((SELECT min(date) FROM bars), (SELECT max(date) FROM bars), INTERVAL 1 DAY))::DATE AS date)),
+    f AS (SELECT instrument, date, volume, open = high AND high = low AND low = close AS flat, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM spine LEFT JOIN bars USING (instrument, date))
+    SELECT instrument, date FROM f WHERE c IS NOT NULL AND coalesce(volume, 0) = 0 AND coalesce(flat, true)""",
+)
 add("p08_symbol_exclusion", lambda s, d: views.read(s, d, "part").filter(~F.col("p_brand").isin("Brand#11", "Brand#12")).select("p_partkey"), "SELECT p_partkey FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12')")
 add("p11_rebalance_grid", lambda s, d: views.bars_ev(s, d).filter("pmod(day + 1 - 19723, 7) = 0").select("instrument", "date"), f"WITH {views.BARS_EV} SELECT instrument, date FROM bars WHERE (day + 1 - 19723 + 700) % 7 = 0")
 add("p12_liquidity_mask", lambda s, d: _liquid(views.bars_ev(s, d)), f"WITH {views.BARS_EV}, v AS (SELECT *, sum(volume) OVER {over(7)} AS v FROM bars) SELECT instrument, date FROM v QUALIFY count(*) OVER (PARTITION BY date) <= 10 OR v > quantile_cont(v, 0.1) OVER (PARTITION BY date)")

@@ -22,13 +22,18 @@ def _members(spark, d):
     return J.members_by_date(views.members_ev(spark, d), J.calendar_bounds(_bars(spark, d)))
 
 
+def _merged(bars):
+    """Bars of 40 groups of instruments."""
+    return bars.groupBy(F.pmod("instrument", F.lit(40)).alias("instrument"), "date").agg(F.max("close").alias("close"), F.sum("volume").alias("volume"))
+
+
 add("j01_membership_by_date", _members, f"{_MEMBERS} SELECT instrument, date FROM days")
 add("j02_history_of_members", lambda s, d: J.history_of_members(_bars(s, d), _members(s, d)).select("instrument", "date", "close"), f"{_MEMBERS} SELECT instrument, date, {r('close', 'close')} FROM bars WHERE instrument IN (SELECT instrument FROM days)")
 add(
     "j03_complete_universe_days",
-    lambda s, d: J.complete_days(_bars(s, d).filter("instrument % 10 = 0"), _members(s, d).filter("instrument % 10 = 0"), F.col("volume") > 0).select("instrument", "date", "close"),
-    f"""{_MEMBERS}, b AS (SELECT * FROM bars WHERE instrument % 10 = 0), m AS (SELECT * FROM days WHERE instrument % 10 = 0),
-    ok AS (SELECT m.date FROM m LEFT JOIN b ON b.instrument = m.instrument AND b.date = m.date GROUP BY m.date HAVING bool_and(coalesce(b.volume > 0, false)))
+    lambda s, d: J.complete_days(_merged(_bars(s, d)), _members(s, d).select(F.pmod("instrument", F.lit(40)).alias("instrument"), "date").distinct(), F.col("volume") > 20).select("instrument", "date", "close"),
+    f"""{_MEMBERS}, b AS (SELECT instrument % 40 AS instrument, date, max(close) AS close, sum(volume) AS volume FROM bars GROUP BY ALL), m AS (SELECT DISTINCT instrument % 40 AS instrument, date FROM days),
+    ok AS (SELECT m.date FROM m LEFT JOIN b ON b.instrument = m.instrument AND b.date = m.date GROUP BY m.date HAVING bool_and(coalesce(b.volume > 20, false)))
     SELECT b.instrument, b.date, {r('b.close', 'close')} FROM b SEMI JOIN m ON b.instrument = m.instrument AND b.date = m.date WHERE b.date IN (SELECT date FROM ok)""",
 )
 add("j04_filter_factor_output", lambda s, d: J.of_members(_bars(s, d), _members(s, d)).select("instrument", "date", "close"), f"{_MEMBERS} SELECT b.instrument, b.date, {r('close', 'close')} FROM bars b SEMI JOIN days USING (instrument, date)")
@@ -93,21 +98,20 @@ add(
     SELECT w.instrument, w.date, CASE WHEN len(want) = len(got) AND len(list_filter(range(1, len(want) + 1), lambda i: abs(epoch_us(want[i]) - epoch_us(got[i])) > 1000000)) = 0 THEN 'complete'
       WHEN len(got) < len(want) THEN 'missing' ELSE 'schedule_mismatch' END AS status, len(got) AS n_times FROM w JOIN g USING (instrument, date)""",
 )
+def _snapshots(s, d):
+    """Shipments as snapshots: a part is an id, its supplier the symbol, the price its weight."""
+    return views.read(s, d, "lineitem").select(F.to_date("l_shipdate").alias("date"), F.col("l_partkey").alias("instrument"), F.col("l_suppkey").alias("symbol"), F.col("l_extendedprice").alias("weight"))
+
+
 add(
     "j13_monthly_universe",
-    lambda s, d: E.top_n_by_date(J.unique_both_ways(_parts(s, d), "p_brand", "p_type").join(_parts(s, d).groupBy("p_brand", "p_type").agg(F.sum("p_retailprice").alias("w")), ["p_brand", "p_type"]).select(F.lit(1).alias("date"), F.concat_ws("/", "p_brand", "p_type").alias("instrument"), "w"), "w", 20).select("instrument", "w", "position"),
-    f"""WITH p AS (SELECT DISTINCT p_brand, p_type || p_size // 10 AS p_type, p_retailprice FROM part WHERE p_partkey % 9 = 0), q AS (SELECT DISTINCT p_brand, p_type FROM p),
-    u AS (SELECT p_brand, p_type FROM q QUALIFY count(*) OVER (PARTITION BY p_brand) = 1 AND count(*) OVER (PARTITION BY p_type) = 1),
-    w AS (SELECT p_brand || '/' || p_type AS instrument, sum(p_retailprice) AS w FROM p JOIN u USING (p_brand, p_type) GROUP BY ALL)
-    SELECT instrument, {r('w', 'w')}, position FROM (SELECT *, row_number() OVER (ORDER BY w DESC, instrument) AS position FROM w) WHERE position <= 20""",
+    lambda s, d: J.monthly_universe(_snapshots(s, d), 20).select("date", "instrument", "weight", "position"),
+    f"""WITH l AS (SELECT l_shipdate::DATE AS date, l_partkey AS instrument, l_suppkey AS symbol, sum(l_extendedprice) AS weight FROM lineitem GROUP BY ALL), f AS (SELECT min(date) AS date FROM l GROUP BY date_trunc('month', date)),
+    u AS (SELECT * FROM l SEMI JOIN f USING (date) QUALIFY count(*) OVER (PARTITION BY date, instrument) = 1 AND count(*) OVER (PARTITION BY date, symbol) = 1), e AS (SELECT instrument, min(date) AS seen FROM l GROUP BY instrument)
+    SELECT date, instrument, {r('weight', 'weight')}, row_number() OVER (PARTITION BY date ORDER BY weight DESC, instrument) AS position FROM u JOIN e USING (instrument) WHERE seen < date QUALIFY row_number() OVER (PARTITION BY date ORDER BY weight DESC, instrument) <= 20""",
 )
 
 
-def _parts(s, d):
-    p = views.read(s, d, "part").filter("p_partkey % 9 = 0")
-    return p.select("p_brand", F.concat("p_type", F.floor(F.col("p_size") / 10).cast("string")).alias("p_type"), "p_retailprice").distinct()
-
-
 add("j14_interval_ends", lambda s, d: J.interval_ends(views.members_ev(s, d)).select("instrument", "effective_date", "interval_end"), f"WITH {views.MEMBERS_EV}, n AS (SELECT effective_date, lead(effective_date) OVER (ORDER BY effective_date) - 1 AS interval_end FROM (SELECT DISTINCT effective_date FROM members)) SELECT instrument, effective_date, interval_end FROM members JOIN n USING (effective_date)")
 add(
     "j15_mapping_with_fallback",

@@ -89,7 +89,15 @@ add(
 add("m12_style_residual_features", lambda s, d: X.regress(fp(s, d), "ret", ["x", "y", "w"], ridge=1e-6).select("instrument", "date", "value"))
 add("m16_chandelier", lambda s, d: M.chandelier(views.bars_mo(s, d)), f"""WITH {MO}, t AS (SELECT *, greatest(high - low, abs(high - p), abs(low - p)) AS tr FROM (SELECT *, max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS p FROM bars)), a AS (SELECT *, CASE WHEN count(tr) OVER {over(10)} >= 10 THEN avg(tr) OVER {over(10)} END AS atr, CASE WHEN count(high) OVER {over(10)} >= 10 THEN max(high) OVER {over(10)} END AS hh, CASE WHEN count(low) OVER {over(10)} >= 10 THEN min(low) OVER {over(10)} END AS ll FROM t)
   SELECT instrument, date, {r('hh - 3 * atr', 'long_stop')}, {r('ll + 3 * atr', 'short_stop')} FROM a""")
-add("m16_parabolic_stop", lambda s, d: M.parabolic(views.bars_mo(s, d)))
+add(
+    "m16_parabolic_stop", lambda s, d: M.parabolic(views.bars_mo(s, d)),
+    f"""WITH RECURSIVE {MO}, b AS (SELECT instrument, date, high::DOUBLE AS h, low::DOUBLE AS l, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars),
+    s AS (SELECT instrument, date, k, 1 AS side, l AS stop, h AS best, 0.02::DOUBLE AS speed FROM b WHERE k = 1
+      UNION ALL SELECT instrument, date, k, CASE WHEN hit THEN -side ELSE side END, CASE WHEN hit THEN best ELSE nx END,
+        CASE WHEN hit AND side = -1 THEN h WHEN hit THEN l WHEN side = 1 THEN greatest(best, h) ELSE least(best, l) END, CASE WHEN hit THEN 0.02 WHEN CASE WHEN side = 1 THEN h > best ELSE l < best END THEN least(speed + 0.02, 0.2) ELSE speed END
+      FROM (SELECT b.instrument, b.date, b.k, h, l, side, best, speed, stop + speed * (best - stop) AS nx, CASE WHEN side = 1 THEN l < stop + speed * (best - stop) ELSE h > stop + speed * (best - stop) END AS hit FROM s JOIN b ON b.instrument = s.instrument AND b.k = s.k + 1))
+    SELECT instrument, date, side, {r('stop', 'stop')} FROM s""",
+)
 add(
     "a45_five_objective_score",
     lambda s, d: _objectives(s, d),
@@ -186,7 +194,15 @@ def _folds(s, d):
     return j.groupBy("train_from", "test_from").agg(F.sum(F.when(F.col("date") < F.col("test_from"), F.col("k")).otherwise(0)).alias("n_train"), F.sum(F.when(F.col("date") >= F.col("test_from"), F.col("k")).otherwise(0)).alias("n_test"))
 
 
-add("x01_high_watermark", lambda s, d: E.longest_prefix(be(s, d).filter("instrument % 10 < 5").groupBy("day").agg(F.count("*").alias("n")).filter("n >= 40").select("day")).select(F.date_add(F.date_from_unix_date(F.col("last_day").cast("int")), 1).alias("next_fetch"), "n_days"), f"WITH {BE}, g AS (SELECT day FROM bars WHERE instrument % 10 < 5 GROUP BY day HAVING count(*) >= 40), i AS (SELECT day, day - row_number() OVER (ORDER BY day) AS i FROM g), q AS (SELECT min(day) AS a, max(day) AS b, count(*) AS n_days FROM i GROUP BY i) SELECT DATE '1970-01-01' + b + 1 AS next_fetch, n_days FROM q WHERE a = (SELECT min(day) FROM g)")
+add("x01_high_watermark", lambda s, d: E.longest_prefix(_full_days(be(s, d))).select(F.date_add(F.date_from_unix_date(F.col("last_day").cast("int")), 1).alias("next_fetch"), "n_days"), f"WITH {BE}, c AS (SELECT day, count(*) AS n FROM bars GROUP BY day), g AS (SELECT day FROM c WHERE n >= 0.9 * (SELECT avg(n) FROM c)), i AS (SELECT day, day - row_number() OVER (ORDER BY day) AS i FROM g), q AS (SELECT min(day) AS a, max(day) AS b, count(*) AS n_days FROM i GROUP BY i) SELECT DATE '1970-01-01' + b + 1 AS next_fetch, n_days FROM q WHERE a = (SELECT min(day) FROM g)")
+
+
+def _full_days(bars):
+    """Days with at least nine tenths of the mean number of bars: one row per day at any size."""
+    n = bars.groupBy("day").agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.avg("n").alias("mean")))).filter("n >= 0.9 * mean").select("day")  # one row
+
+
 add("x08_stream_checkpoints", lambda s, d: _checkpoints(s, d), "SELECT user_id AS instrument, max(event_id) AS last_event, count(*) AS n FROM events GROUP BY user_id")
 
 

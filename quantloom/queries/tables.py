@@ -13,19 +13,24 @@ from quantloom.sources import payloads, tables
 from quantloom.streaming import jobs
 
 BE = views.BARS_EV
+FACTORS = ["x", "y", "w"]
 
 
 def _symbol(c):
     return F.concat(F.lit("S"), F.lpad(c.cast("string"), 4, "0"))
 
 
+#: Rows of a landed page, at most.
+PAGE = 500
+
+
 def kline_pages(s, d):
     """The bars as landed pages of positional arrays of strings, each bar twice."""
     b = views.bars_ev(s, d)
     t = lambda c: c.cast("string")
     ms = F.col("day").cast("long") * 86_400_000
     k = F.array(t(ms), *[t(F.col(c)) for c in ("open", "high", "low", "close", "volume")], t(ms + 86_399_999), *[t(F.col(c)) for c in ("quote_volume", "trade_count", "taker_volume", "taker_volume")], F.lit("0"))
-    pages = b.groupBy(_symbol(F.col("instrument")).alias("symbol")).agg(F.to_json(F.collect_list(k)).alias("payload"))
+    pages = b.groupBy(_symbol(F.col("instrument")).alias("symbol"), F.floor(F.col("day") / PAGE)).agg(F.to_json(F.collect_list(k)).alias("payload")).select("symbol", "payload")
     return pages.unionByName(pages)
 
 
@@ -40,7 +45,7 @@ def funding_pages(s, d):
         _symbol(F.col("user_id")).alias("symbol"), (F.col("value") / 1000).cast("string").alias("fundingRate"), (F.col("event_id") * 1000).alias("fundingTime"),
         F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("value").cast("string")).alias("markPrice"), F.when(F.col("event_id") % 4 == 0, "Special").alias("rateType"),
     )
-    return e.groupBy(F.pmod("event_id", F.lit(5))).agg(F.to_json(F.collect_list(one)).alias("payload"))
+    return e.groupBy(F.floor(F.col("event_id") / PAGE)).agg(F.to_json(F.collect_list(one)).alias("payload"))
 
 
 add(
@@ -55,21 +60,21 @@ def contract_pages(s, d):
         F.col("c_name").alias("symbol"), F.col("c_mktsegment").alias("baseAsset"), F.when(F.col("c_nationkey") % 2 == 0, "USDT").otherwise("BUSD").alias("quoteAsset"),
         F.when(F.col("c_custkey") % 3 == 0, "PERPETUAL").otherwise("CURRENT_QUARTER").alias("contractType"), (F.col("c_custkey") * 86_400_000).alias("onboardDate"), F.lit("TRADING").alias("status"),
     )
-    return c.groupBy(F.pmod("c_custkey", F.lit(7))).agg(F.collect_list(one).alias("symbols")).select(F.to_json(F.struct("symbols")).alias("payload"))
+    return c.groupBy(F.floor(F.col("c_custkey") / PAGE)).agg(F.collect_list(one).alias("symbols")).select(F.to_json(F.struct("symbols")).alias("payload"))
 
 
 add("s04_exchange_info", lambda s, d: payloads.exchange_info(contract_pages(s, d)), "SELECT c_name AS symbol, c_mktsegment AS base_asset, DATE '1970-01-01' + c_custkey::INT AS onboard_date, 'TRADING' AS status FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey % 3 = 0")
 
 
 def index_pages(s, d):
-    o = views.read(s, d, "orders").filter("o_custkey % 20 = 0")
+    o = views.read(s, d, "orders")
     c = o.groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("symbol"), F.col("o_totalprice").alias("weight"), F.when(F.col("o_orderkey") % 2 == 0, (F.col("o_custkey") + 1) * 86_400_000).alias("update_time"))).alias("constituents"), F.round(F.sum("o_totalprice"), 2).alias("value"))
     point = F.struct((F.col("o_custkey") * 86_400_000).alias("update_time"), "value", "constituents")
     return c.select(F.to_json(F.struct(F.struct(F.lit(0).alias("error_code")).alias("status"), F.array(point).alias("data"))).alias("payload"))
 
 
-add("s05_index_constituents", lambda s, d: payloads.index_history(index_pages(s, d))[1], f"SELECT DATE '1970-01-01' + (o_custkey + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::INT AS date, o_orderkey AS id, o_orderpriority AS symbol, {r('o_totalprice', 'weight')} FROM orders WHERE o_custkey % 20 = 0")
-add("s05_index_values", lambda s, d: payloads.index_history(index_pages(s, d))[0], f"SELECT DATE '1970-01-01' + o_custkey::INT AS date, {r('round(sum(o_totalprice), 2)', 'index_value')} FROM orders WHERE o_custkey % 20 = 0 GROUP BY o_custkey")
+add("s05_index_constituents", lambda s, d: payloads.index_history(index_pages(s, d))[1], f"SELECT DATE '1970-01-01' + (o_custkey + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::INT AS date, o_orderkey AS id, o_orderpriority AS symbol, {r('o_totalprice', 'weight')} FROM orders")
+add("s05_index_values", lambda s, d: payloads.index_history(index_pages(s, d))[0], f"SELECT DATE '1970-01-01' + o_custkey::INT AS date, {r('round(sum(o_totalprice), 2)', 'index_value')} FROM orders GROUP BY o_custkey")
 
 
 def stored(s, d, name, df):
@@ -115,7 +120,7 @@ def rate_csvs(s, d):
 
 add("s15_glob_of_csv_files", lambda s, d: rate_csvs(s, d).groupBy("symbol", F.to_date(F.substring("time", 1, 10)).alias("date")).agg(F.sum("rate").alias("rate")), f"SELECT 'S' || lpad(user_id::VARCHAR, 4, '0') AS symbol, ts::DATE AS date, {r('sum(value / 1000)', 'rate')} FROM events WHERE event_type = 'error' GROUP BY ALL")
 add("s16_checked_factor_scan", lambda s, d: tables.check_factor(fp(s, d).select("date", "instrument", F.when(F.col("instrument") % 9 == 0, float("nan")).otherwise(F.col("x")).alias("factor"))), f"WITH {FP} SELECT date, instrument, {r('x', 'factor')} FROM panel WHERE instrument % 9 > 0")
-add("s17_matrix_long_reshape", lambda s, d: (w := fp(s, d).filter("instrument < 8").groupBy("date").pivot("instrument", list(range(1, 6))).agg(F.max("x"))).unpivot("date", [str(i) for i in range(1, 6)], "instrument", "value").filter("value is not null").select("date", F.col("instrument").cast("long").alias("instrument"), "value"), f"WITH {FP} SELECT date, instrument, {r('x')} FROM panel WHERE instrument BETWEEN 1 AND 5")
+add("s17_matrix_long_reshape", lambda s, d: long_table(s, d).groupBy("instrument", "date").pivot("factor", FACTORS).agg(F.max("value")).unpivot(["instrument", "date"], FACTORS, "factor", "value").filter("value is not null"), f"WITH {FP} SELECT instrument, date, unnest(['x', 'y', 'w']) AS factor, {r("unnest([x, y, w])")} FROM panel")
 
 
 def sink(s, d):
@@ -140,7 +145,7 @@ add("x02_deduplicate_within_watermark", lambda s, d: jobs.run(jobs.deduplicated(
 add("x04_tumbling_daily", lambda s, d: jobs.run(jobs.tumbling(jobs.source(s, f"{d}/events.parquet")), "tumbling"), f"SELECT ts::DATE AS date, user_id AS instrument, {r('sum(value)', 'total')}, {r('avg(value)', 'mean')}, count(*) AS n FROM events WHERE ts::DATE + INTERVAL 1 DAY <= {_PAST} GROUP BY ALL")
 add("x05_sliding_windows", lambda s, d: jobs.run(jobs.sliding(jobs.source(s, f"{d}/events.parquet")), "sliding"), f"WITH e AS (SELECT *, unnest(list_transform(range(0, 5), lambda k: ts::DATE - k::INT))::DATE AS f FROM events) SELECT f AS from_date, event_type AS kind, count(*) AS n, {r('max(value)', 'high')} FROM e WHERE f + INTERVAL 5 DAY <= {_PAST} GROUP BY ALL")
 add("x06_tick_bars", lambda s, d: jobs.run(jobs.bars(jobs.source(s, f"{d}/events.parquet")), "bars"), f"SELECT ts::DATE AS date, user_id AS instrument, {r('min_by(value, (ts, event_id))', 'open')}, {r('max(value)', 'high')}, {r('min(value)', 'low')}, {r('max_by(value, (ts, event_id))', 'close')}, {r('sum(value)', 'volume')} FROM events WHERE ts::DATE + INTERVAL 1 DAY <= {_PAST} GROUP BY ALL")
-add("x07_stateful_running_mean", lambda s, d: jobs.run(jobs.running_mean(jobs.source(s, f"{d}/events.parquet"), 0.2), "state"), f"WITH l AS (SELECT user_id AS instrument, list(value ORDER BY ts, event_id) AS a FROM events GROUP BY user_id) SELECT instrument, {r('list_reduce(a, lambda s, y: 0.2 * y + 0.8 * s)', 'level')}, len(a) AS n FROM l")
+add("x07_stateful_running_mean", lambda s, d: jobs.newest(s, jobs.run_batches(jobs.source(s, f"{d}/events.parquet"), "state", lambda df, i, at: jobs.running_mean(df, 0.2, i, at))), f"WITH l AS (SELECT user_id AS instrument, list(value ORDER BY ts, event_id) AS a FROM events GROUP BY user_id) SELECT instrument, {r('list_reduce(a, lambda s, y: 0.2 * y + 0.8 * s)', 'level')}, len(a) AS n FROM l")
 
 
 def batched(s, d):
@@ -151,9 +156,6 @@ def batched(s, d):
 add("x09_idempotent_batches", batched, f"SELECT event_id % 10 AS part, count(*) AS n, {r('sum(value)', 'total')} FROM events GROUP BY 1")
 
 # feature panels and models
-FACTORS = ["x", "y", "w"]
-
-
 def built(s, d):
     return L.build_panel(fp(s, d).filter("eligible"), long_table(s, d), FACTORS)
 
@@ -184,7 +186,7 @@ def bounds(s, d):
 def predictions(s, d, names=("linear", "ridge")):
     folds = L.quarter_folds(*bounds(s, d), 12)
     models = {k: v for k, v in L.candidates().items() if k in names}
-    return L.walk_forward(model_data(s, d).cache(), folds[:: max(1, len(folds) // 3)][:3], models)
+    return L.walk_forward(model_data(s, d).cache(), folds, models)
 
 
 add("l07_walk_forward_predictions", predictions)

@@ -3,11 +3,9 @@ file-backed stream to its end and reads its sink back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quantloom.sources.tables import scratch
 
@@ -46,21 +44,26 @@ def bars(stream: DataFrame, delay: str = DELAY) -> DataFrame:
     return b.select(F.to_date("w.start").alias("date"), "instrument", "open", "high", "low", "close", "volume")
 
 
-def running_mean(stream: DataFrame, weight: float) -> DataFrame:
-    """Recursive mean per instrument, carried in state from batch to batch; one row per instrument and batch. Rows of a batch
-    are folded in event time, so that a late row counts when it comes."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level, n = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for v in rows["value"]:
-            level = v if level is None else weight * v + (1 - weight) * level
-        n += len(rows)
-        state.update((float(level), int(n)))
-        yield pd.DataFrame({"instrument": [key[0]], "level": [level], "n": [n]})
-
-    g = stream.select(F.col("user_id").alias("instrument"), "ts", "event_id", "value").groupBy("instrument")
-    return g.applyInPandasWithState(fold, "instrument long, level double, n long", "level double, n long", "append", GroupStateTimeout.NoTimeout)
+def running_mean(df: DataFrame, weight: float, batch: int, path: str) -> None:
+    """Writes a batch's new states (instrument, level, n) of a recursive mean per instrument: the newest states of earlier batches,
+    carried over the batch's rows in event time. A row's weight follows from the number of rows after it, so the batch is one
+    window and one sum. Written again after a failure, a batch gives the same states."""
+    spark = df.sparkSession
+    w = Window.partitionBy("instrument").orderBy("ts", "event_id")
+    rows = df.select(F.col("user_id").alias("instrument"), "ts", "event_id", "value").withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("instrument")))
+    left = F.pow(F.lit(1 - weight), F.col("_n") - F.col("_i"))
+    new = rows.groupBy("instrument").agg(F.sum(weight * left * F.col("value")).alias("_sum"), F.max(F.when(F.col("_i") == 1, (1 - weight) * left * F.col("value"))).alias("_first"), F.count("*").alias("_k"))
+    shape = "instrument long, level double, n long, batch long"
+    old = (spark.read.schema(shape).parquet(path) if batch else spark.createDataFrame([], shape)).filter(F.col("batch") < batch)
+    old = old.groupBy("instrument").agg(F.max_by(F.struct("level", "n"), "batch").alias("_s"))
+    met = new.join(old, "instrument", "left")
+    level = F.col("_sum") + F.coalesce(F.col("_s.level") * F.pow(F.lit(1 - weight), "_k"), F.col("_first"))
+    overwrite_batch(met.select("instrument", level.alias("level"), (F.coalesce("_s.n", F.lit(0)) + F.col("_k")).alias("n")), batch, path)
+
+
+def newest(spark: SparkSession, path: str) -> DataFrame:
+    """Each instrument's newest state."""
+    return spark.read.parquet(path).groupBy("instrument").agg(F.max_by(F.struct("level", "n"), "batch").alias("s")).select("instrument", "s.level", "s.n")
 
 
 def run(stream: DataFrame, name: str) -> DataFrame:
