@@ -34,8 +34,8 @@ TARGET, MEASURED = 0.97, 256
 #: Dimensions in a column block; the test's width in standard deviations.
 COLUMNS, WIDTH = 16, 2.6
 #: Share of living pairs below which they are followed one by one: about where that is faster than whole blocks.
-SPARSE = 0.1
-CANDIDATE_BLOCK, QUERY_BLOCK = 1024, 512
+SPARSE = 0.03
+CANDIDATE_BLOCK, QUERY_BLOCK = 1024, 2048
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, int]:
@@ -125,13 +125,17 @@ def _scan(index: Index, k: int):
         qids, qv, bound = q["id"].to_numpy(), np.stack([np.frombuffer(x) for x in q["v"]]), q["bound"].to_numpy(dtype=float)
         y = index.queries(qv)
         lists, at = np.unique(c["list"].to_numpy()[first], return_inverse=True)
-        live = np.stack([np.isin(lists, x) for x in q["lists"]])[:, at] & (qids[:, None] != ids[None, :])
+        asked = np.concatenate(q["lists"].to_list())
+        place = np.minimum(np.searchsorted(lists, asked), len(lists) - 1)
+        probed = np.zeros((len(q), len(lists)), dtype=bool)
+        probed[np.repeat(np.arange(len(q)), q["lists"].map(len))[lists[place] == asked], place[lists[place] == asked]] = True
+        live = probed[:, at] & (qids[:, None] != ids[None, :])
         part, i, j = np.zeros(live.shape), None, None
         for n, (s, e) in enumerate(index.blocks()):
-            a, b = y[:, s:e], np.frombuffer(b"".join(c[f"x{n}"].iloc[first])).reshape(len(ids), e - s)
+            a, b = y[:, s:e], np.frombuffer(b"".join(c[f"x{n}"].iloc[first]), np.float32).reshape(len(ids), e - s).astype(float)
             # of a rotated difference, e of all dimensions hold about e / total of the squared length
             limit = bound * (e / total) * (1 + WIDTH / np.sqrt(e)) ** 2 if e < total else bound
-            limit = limit * (1 + 1e-9) + 1e-9
+            limit = limit + 1e-5 * (limit + index.top)  # blocks are stored in single precision
             if i is None:  # many pairs live: whole blocks
                 part += np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2 * (a @ b.T)
                 live &= part <= limit[:, None]
@@ -187,7 +191,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 m = _matrix(b.column("v"), d)
                 x = index.rows(m)
                 at = Index._nearest(x, index.centres)
-                raw = [pa.array([r.tobytes() for r in y], pa.binary()) for y in (m, *(np.ascontiguousarray(x[:, s:e]) for s, e in spans))]
+                raw = [pa.array([r.tobytes() for r in y], pa.binary()) for y in (m, *(np.ascontiguousarray(x[:, s:e], np.float32) for s, e in spans))]
                 yield pa.RecordBatch.from_arrays([pa.array(at // index.grouped, pa.int32()), pa.array(at, pa.int32()), b.column("id"), *raw], names=["grp", "list", "id", "v", *(f"x{i}" for i in range(len(spans)))])
 
     def probe(turns: slice):
