@@ -6,11 +6,12 @@ fields follow from the formula. Windows are in rows of the panel's calendar.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from quantloom.plans.formula import Node, call, const, field, history_days, required_fields
 
-EPS = 1e-8
+EPS, TINY = 1e-8, 1e-12
 
 
 @dataclass(frozen=True)
@@ -38,7 +39,7 @@ def factor(name: str, formula: Node, direction: int = 1, preprocessing: str = "m
 
 o, h, lo, c, v = field("open"), field("high"), field("low"), field("close"), field("volume")
 qv, tc, tb, tq, fund = field("quote_volume"), field("trade_count"), field("taker_volume"), field("taker_quote_volume"), field("funding")
-oi, mark, index = field("open_interest"), field("mark_close"), field("index_close")
+oi, mark, index, venue, standard = field("open_interest"), field("mark_close"), field("index_close"), field("venue_quote_volume"), field("standard")
 
 
 def ts(op):
@@ -127,6 +128,29 @@ def gauge(x):
     return rank(x) - 0.5
 
 
+def carry(x):
+    return call("carry", x)
+
+
+def fill(x, value):
+    return call("fill", x, params=(float(value),))
+
+
+def residual(y, *xs):
+    """Residual of y on xs with an intercept, by date, where all have a value: one regressor after the other, each cleared of
+    those before it."""
+    known = sum((x * 0 for x in xs), y * 0)
+    held = lambda e: call("column", e)
+    y, cleared = held((y + known) - call("cs_mean", y + known)), []
+    for x in xs:
+        x = held((x + known) - call("cs_mean", x + known))
+        for z_ in cleared:
+            x = held(x - z_ * (call("cs_mean", x * z_) / call("cs_mean", z_ * z_)))
+        y = held(y - x * (call("cs_mean", x * y) / call("cs_mean", x * x)))
+        cleared.append(x)
+    return y
+
+
 ret = roc(c, 1)
 logret = log(c / lag(c, 1))
 vwap = qv / v
@@ -174,7 +198,7 @@ factor("momentum_volume_extreme", top(_mom20, v, 20, 10) / bottom(_mom20, v, 20,
 factor("n_day_momentum", log(c / lag(c, 1)))
 factor("net_order_flow", total(2 * tq - qv, 20) / total(qv, 20))
 factor("price_momentum_60", log(c / lag(c, 60)))
-factor("price_momentum_70", log(c / lag(c, 70)))
+factor("price_momentum_120", log(c / lag(c, 120)))
 factor("price_path_efficiency", roc(c, 10) / (total(absolute(ret), 10) + EPS))
 factor("price_retail_correlation_divergence", corr(ret, roc(tc, 1), 20) - corr(ret, roc(qv, 1), 20), -1)
 _gain, _loss = mean(larger(delta(c, 1), const(0)), 14), mean(larger(-delta(c, 1), const(0)), 14)
@@ -205,29 +229,29 @@ factor("example_momentum", log(c / lag(c, 20)))
 
 # formula trees found by search
 _none = "none"
-factor("tree_01", mean(hi(low(hi(return_1d, 5), 20), 20), 10), -1, _none)
-factor("tree_02", mean(mean(std(hi(range_relative, 20), 20), 10), 10), -1, _none)
-factor("tree_03", mean(std(hi(range_relative, 5), 10), 20), -1, _none)
+factor("tree_01", mean(hi(low(hi(return_1d, 5), 20), 60), 60), -1, _none)
+factor("tree_02", mean(mean(std(hi(range_relative, 40), 60), 10), 10), -1, _none)
+factor("tree_03", mean(std(hi(range_relative, 5), 10), 60), -1, _none)
 factor("tree_04", mean(mean(taker_quote_ratio, 40), 20), 1, _none)
-factor("tree_05", mean(median(call("rolling_max_drawdown", tc, params=(20,)), 20), 10), -1, _none)
-factor("tree_06", low(hi(low(hi(body_relative, 10), 20), 20), 10), -1, _none)
+factor("tree_05", mean(median(call("rolling_max_drawdown", tc, params=(40,)), 60), 10), -1, _none)
+factor("tree_06", low(hi(low(hi(body_relative, 10), 60), 60), 40), -1, _none)
 factor("tree_07", low(range_relative, 40) * std(range_relative, 40), -1, _none)
 factor("tree_08", -mean(body_relative + hi(range_relative, 20), 3), 1, _none)
-factor("tree_09", std(delta(hi(low(quote_per_trade, 10), 20), 3), 20), 1, _none)
-factor("tree_10", low(low(tc, 40) / quote_per_trade, 10), -1, _none)
+factor("tree_09", std(delta(hi(low(quote_per_trade, 10), 60), 3), 60), 1, _none)
+factor("tree_10", low(low(tc, 60) / quote_per_trade, 10), -1, _none)
 factor("tree_11", low(lag(std(quote_per_trade, 5), 1), 40), 1, _none)
-factor("tree_12", std(std(quote_per_trade, 30), 20), 1, _none)
-factor("tree_13", mean(std(body_relative, 30), 20), -1, _none)
+factor("tree_12", std(std(quote_per_trade, 60), 40), 1, _none)
+factor("tree_13", mean(std(body_relative, 60), 40), -1, _none)
 factor("tree_14", low(low(mean(taker_quote_ratio, 20), 20), 5), 1, _none)
 factor("tree_15", mean(range_relative, 60) * mean(mean(range_relative, 5), 20), -1, _none)
-factor("tree_16", mean(mean(std(range_relative, 30), 5), 20), -1, _none)
-factor("tree_17", lag(hi(corr(lo, h, 10), 40), 3), -1, _none)
+factor("tree_16", mean(mean(std(range_relative, 60), 5), 20), -1, _none)
+factor("tree_17", lag(hi(corr(lo, lo, 10), 40), 3), -1, _none)
 factor("tree_18", hi(hi(range_relative, 20), 3), -1, _none)
-factor("tree_19", hi(range_relative, 60) * mean(hi(range_relative, 3), 20), -1, _none)
+factor("tree_19", hi(range_relative, 60) * mean(hi(range_relative, 3), 60), -1, _none)
 
 # formulaic alphas
 A = "alpha_{:03d}".format
-factor(A(1), rank(argmax(call("signed_sqrt", where(ret < 0, std(ret, 20), c)), 5)) - 0.5)
+factor(A(1), rank(1 - argmax(call("signed_sqrt", where(ret < 0, std(ret, 20), c)), 5)) - 0.5)
 factor(A(2), -corr(rank(delta(log(v), 3)), rank((c - o) / o), 7))
 factor(A(3), -corr(rank(o / mean(o, 20)), rank(v), 20))
 factor(A(4), -tsrank(rank(lo / mean(lo, 20)), 9))
@@ -253,7 +277,7 @@ _signal21 = where(_m2 - (_m8 + _s8) > 0, const(-1), where((_m8 - _s8) - _m2 > 0,
 factor(A(21), clip(_signal21 * (0.5 + absolute((c - (_m8 - _s8)) / (2 * _s8) - 0.5) + absolute((_m2 - _m8) / _m8)), -2, 2))
 factor(A(22), -delta(corr(h, v, 10), 10) * rank(std(c, 10)))
 factor(A(23), where(h - mean(h, 20) > 0, -delta(h, 2), const(0)))
-factor(A(24), where(delta(mean(c, 20), 20) / lag(c, 20) > 0.05, -delta(c, 3), -(c - low(c, 20))))
+factor(A(24), where(delta(mean(c, 30), 30) / lag(c, 30) > 0.05, -delta(c, 3), -(c - low(c, 30))))
 factor(A(25), -ret * mean(tq, 7) * (vwap / c) * ((h - c) / c))
 factor(A(26), -hi(corr(tsrank(v, 10), tsrank(h, 10), 10), 5))
 factor(A(27), where(rank(mean(corr(rank(v), rank(vwap), 20), 10)) > 0.5, const(-1), const(1)))
@@ -266,35 +290,48 @@ factor(A(32), scale(mean(c, 7) - c) + 20 * scale(corr(buy_price, lag(c, 8), 30))
 factor(A(33), (o - c) / c)
 factor(A(34), rank((1 - rank(std(ret, 5) / std(ret, 10))) + (1 - rank(delta(c, 5)))))
 factor(A(35), tsrank(tq, 30) * (1 - tsrank((c + h - lo) / c, 10)) * (1 - tsrank(ret, 10)))
+_turmoil = std(c, 20) / mean(c, 20)
+
+
+def _by_turmoil(short, medium, long):
+    """The short base in turmoil, the long one in calm, the medium one otherwise."""
+    return call("fill", where(_turmoil > 0.1, short, where(_turmoil < 0.05, long, medium)), params=(0.0,)) + where(call("fill", _turmoil * 0 + 1, params=(0.0,)), const(0), medium)
+
+
+_base36 = _by_turmoil(mean(c, 20, 1), mean(c, 60, 1), mean(c, 120, 1))
+_c36, _v36 = c / _base36, v / _by_turmoil(mean(v, 10, 1), mean(v, 30, 1), mean(v, 60, 1))
+_move36 = log(_c36 / (o / _base36))
 factor(
     A(36),
-    2.21 * rank(corr(nc - no, lag(v, 5), 10)) + 0.7 * rank(no - nc) + 0.73 * rank(tsrank(lag(-ret, 6), 5)) + rank(absolute(corr(vwap, mean(v, 20), 5))) + 0.6 * rank((mean(c, 50) / base - no) * (nc - no)),
+    2.21 * rank(corr(_move36, lag(_v36, 1), 10)) + 0.7 * rank(-_move36) + 0.73 * rank(tsrank(lag(-log(_c36 / lag(_c36, 1)), 5), 5))
+    + rank(absolute(corr(typical / _base36, mean(_v36, 20), 5))) + 0.6 * rank((mean(_c36, 50) - o / _base36) * (_c36 - o / _base36)),
 )
-factor(A(37), rank(corr(lag(no - nc, 5), nc, 40)) + rank(no - nc))
+factor(A(37), rank(corr(lag(nc - no, 5), nc, 50)) + rank(nc - no))
 factor(A(38), -rank(tsrank(nc, 10)) * rank(nc / no))
-factor(A(39), -rank(delta(nc, 10) * (1 - rank(wma(v / mean(v, 10), 10)))) * (1 + rank(total(ret, 60))))
+factor(A(39), -rank(delta(nc, 10) * (1 - rank(wma(v / mean(v, 10), 10)))) * (1 + rank(total(ret, 90))))
 factor(A(40), -rank(std(nh, 10)) * corr(nh, nv, 20))
 factor(A(41), call("sqrt", nh * nl) - mean(buy_price, 20, 1) / base)
 _vw42 = total(c * v, 20) / total(v, 20) / base
 factor(A(42), rank(_vw42 - nc) / (rank(_vw42 + nc) + EPS))
 factor(A(43), tsrank(v / mean(v, 20), 20) * tsrank(-delta(nc, 7), 8))
 factor(A(44), -corr(nh, tsrank(v, 20), 20))
-factor(A(45), -rank(mean(lag(nc, 5), 20)) * corr(nc, nv, 4) * rank(corr(total(nc, 5), total(nc, 20), 4)))
+factor(A(45), -rank(mean(lag(nc, 5), 20)) * corr(nc, nv, 2) * rank(corr(total(nc, 5), total(nc, 20), 2)))
 _turn46 = (lag(nc, 20) - lag(nc, 10)) / 10 - (lag(nc, 10) - nc) / 10
 factor(A(46), where(_turn46 > 0.25, const(-1), where(_turn46 < 0, const(1), -delta(nc, 1))))
 factor(A(47), rank(1 / nc) * nv * (nh * rank(nh - nc)) / (total(nh, 5) / 5) - rank(vwap / base - lag(vwap / base, 5)))
 factor(A(48), corr(delta(nc, 1), delta(lag(nc, 1), 1), 20) * delta(nc, 1) / nc / total(power(delta(nc, 1) / lag(nc, 1), 2), 20))
 factor(A(50), -hi(rank(corr(rank(v), rank(vwap / base), 10)), 10))
-factor(A(52), (-low(nl, 7) + lag(low(nl, 7), 7)) * ((total(ret, 60) - total(ret, 21)) / 39) * tsrank(v, 14))
+factor(A(52), (-low(nl, 7) + lag(low(nl, 7), 7)) * ((total(ret, 140) - total(ret, 21)) / 119) * tsrank(v, 14))
 factor(A(53), -delta(((nc - nl) - (nh - nc)) / ((nc - nl) + EPS), 9))
 factor(A(54), -(lo - c) * power(o, 3) / ((lo - h) * power(c, 3) + EPS))
 factor(A(55), -corr(rank((c - low(lo, 12)) / (hi(h, 12) - low(lo, 12) + EPS)), rank(v), 6))
 factor(A(56), -(rank(total(ret, 21) / (total(total(ret, 3), 7) + EPS)) * rank(ret * tq)))
-factor(A(57), -((c - buy_price) / (wma(rank(argmax(c, 14)), 2) + EPS)))
-factor(A(60), -(2 * scale(rank(clv * tq)) - scale(rank(argmax(c, 49)))))
+factor(A(57), -((c - buy_price) / (wma(rank(1 - argmax(c, 14)), 2) + EPS)))
+factor(A(60), -(2 * 2 * gauge(clv * tq) - 2 * gauge(1 - argmax(c, 49))))
 
 # wider library
 W = "lib_{}".format
+NONE = const(0) / const(0)
 _mid = (h + lo) / 2
 factor(W("volume_body_corr"), -corr(rank(delta(log(v), 1)), rank((c - o) / o), 6))
 factor(W("clv_delta"), -delta(clv, 1))
@@ -306,68 +343,111 @@ factor(W("open_high_turn"), -rank(sgn(delta(o * 0.85 + h * 0.15, 4))))
 factor(W("vwap_gap_volume"), (rank(hi(vwap - c, 3)) + rank(low(vwap - c, 3))) * rank(delta(v, 3)))
 factor(W("mid_vwap_delta"), rank(-delta(_mid * 0.2 + vwap * 0.8, 4)))
 factor(W("mid_move_ewm"), ema((_mid - lag(_mid, 1)) * (h - lo) / v, 6))
-factor(W("down_vol_or_close"), rank(hi(power(where(ret < 0, std(ret, 20), c), 2), 5)))
-factor(W("acceleration_reversal"), -ewm(mean(delta(ret, 3) / std(ret, 45), 5), 10))
+factor(W("down_vol_or_close"), rank(hi(power(where(ret < 0, std(ret, 20) * (19 / 20) ** 0.5, c), 2), 5)))
+_accel = (log(c / lag(c, 3)) - lag(log(c / lag(c, 3)), 3)) / std(logret, 45, 11)
+_liquid = qv / mean(qv, 45, 11)
+factor(W("acceleration_reversal"), ema(mean(-where(_liquid - 0.2, where(5 - _liquid, _accel, NONE), NONE), 5, 2), 10))
 factor(W("accumulation_distribution_dif"), -total(where(c - _pc > 0, c - smaller(lo, _pc), where(_pc - c > 0, c - larger(h, _pc), const(0))), 20) / 20)
 factor(W("activity_burst"), -gauge(std(tc, 20) / mean(tc, 20)))
 factor(W("ad_volume_momentum"), total(clv * v, 5))
 _amp = (h - lo) / c
 factor(W("amplitude_sorted_momentum"), top(ret, _amp, 20, 10) / bottom(ret, _amp, 20, 10))
+benchmark = call("exp", total(log1p(market), 20)) - 1  # of the equally weighted market
 factor(W("basis_reversion"), lag(-gauge(mark / index - 1), 1))
-_multi_ma = (mean(c, 10) + 0.74 * mean(c, 20) + 0.55 * mean(c, 30) + 0.41 * mean(c, 40)) / 2.7
-factor(W("bias_zscore"), -(c - _multi_ma) / std(c, 40))
-_place = (c - low(c, 20)) / (hi(c, 20) - low(c, 20)) * 2 - 1
-_kaufman = absolute(delta(c, 20)) / total(absolute(delta(c, 1)), 20)
-_confirm = mean(qv, 5) / mean(qv, 20)
-_crowd = 1 / (1 + absolute(mean(fund, 5)))
+_weights = [math.exp(-0.3 * i) for i in range(5)]
+_multi_ma = sum((w * mean(c, n) for w, n in zip(_weights[1:], (40, 60, 90, 120))), _weights[0] * mean(c, 20)) / sum(_weights)
+factor(W("bias_zscore"), -residual(-(c - _multi_ma) / std(c, 120), log1p(qv)))
+_place = 2 * (c - low(c, 20)) / (hi(c, 20) - low(c, 20) + EPS) - 1
+_kaufman = clip(absolute(delta(c, 20)) / (total(absolute(ret), 20) * lag(c, 20) + EPS), 0, 1)
+_confirm = clip(mean(qv, 5) / (mean(qv, 20) + EPS), 0, 2) / 2
 _breakout = _place * _kaufman * _confirm
 factor(W("breakout_quality"), _breakout)
-factor(W("breakout_funding"), ewm(_breakout * _crowd, 5))
-_trend = total(market, 20)
-factor(W("breakout_funding_market_gate"), ewm(_breakout * _crowd, 5) * where(_trend > 0, const(1), const(0)))
-factor(W("breakout_funding_market_damp"), ewm(_breakout * _crowd, 5) * where(_trend > -0.03, const(1), const(0.5)))
-factor(W("breakout_funding_split"), where(absolute(_place) > 0.6, _breakout, -_breakout) * _crowd)
-_beta = call("rolling_beta", ret, market, params=(30,))
-factor(W("breakout_funding_residual"), ewm(_breakout * _crowd, 5) - _beta * call("cs_mean", ewm(_breakout * _crowd, 5)))
+
+
+def _crowded(side):
+    return 1 + 0.5 * sgn(side) * (2 * rank(mean(fund, 5)) - 1)
+
+
+_score = _breakout * _crowded(_place)
+_smooth = ema(_score, 5)
+factor(W("breakout_funding"), _smooth)
+factor(W("breakout_funding_market_gate"), where(fill(benchmark < 0, 0), NONE, _smooth))
+_open = fill(carry(where(benchmark > 0.02, const(1), where(benchmark < -0.03, const(0), NONE))), 1)
+factor(W("breakout_funding_market_hysteresis"), where(_open, _smooth, NONE))
+factor(W("breakout_funding_market_hysteresis_long"), where((1 - _open) * (_smooth > 0), NONE, _smooth))
+factor(W("breakout_funding_market_damp"), where(_open, _smooth, 0.2 * _smooth))
+_turned = _place * where(0.6 - absolute(_place), const(-1), const(1))
+factor(W("breakout_funding_split"), ema(_turned * _kaufman * _confirm * _crowded(_turned), 5))
+_beta = call("rolling_beta", ret, market, params=(60,))
+_beta_c, _score_c = _beta - call("cs_mean", _beta), _score - call("cs_mean", _score)
+factor(W("breakout_funding_residual"), ema(_score - _beta * (call("cs_mean", _score_c * _beta_c) / call("cs_mean", _beta_c * _beta_c)), 5))
 _vol20 = std(ret, 20)
-_squeeze = (_vol20 - low(_vol20, 40)) / (hi(_vol20, 40) - low(_vol20, 40))
-factor(W("breakout_funding_squeeze_filter"), where(_squeeze > 0.8, const(0), ewm(_breakout * _crowd, 5)))
-factor(W("breakout_squeeze_release"), wma(_place * _confirm * (1 - lag(_squeeze, 1)), 5))
-factor(W("heat_premium"), -gauge(mean(qv, 20) / mean(qv, 60)))
+_squeeze = (_vol20 - low(_vol20, 120)) / (hi(_vol20, 120) - low(_vol20, 120))
+factor(W("breakout_funding_squeeze_filter"), ema(_score * (1 - 0.5 * absolute(2 * _squeeze - 1)), 5))
+
+
+def _fading(event, days=5, half=2.0):
+    """The last days' events, older ones weighted down."""
+    return sum((math.exp(-k / half) * fill(lag(event, k), 0) for k in range(1, days)), fill(event, 0))
+
+
+_level = mean((h - lo) / (lag(c, 1) + TINY), 20)
+_tight = clip(1 - _level / (median(_level, 120, 60) + TINY), 0, 1)
+_out = larger(c / (lag(hi(c, 20), 1) + TINY) - 1, const(0)) - larger(lag(low(c, 20), 1) / (c + TINY) - 1, const(0))
+factor(W("breakout_squeeze_release"), _fading(_out * _tight * (0.5 + 0.5 * clip(qv / (mean(qv, 20) + TINY) / 2, 0, 1))))
+_heat = mean(qv, 20) / (mean(qv, 120) + EPS)
+factor(W("heat_premium"), -gauge(_heat))
+factor(W("heat_standard_tier"), lag(-gauge(where(standard - 0.5, _heat, NONE)), 1))
 factor(W("close_location_extreme_short"), -absolute(gauge(mean((2 * c - h - lo) / (h - lo), 20))))
 factor(W("close_location_premium"), gauge(mean((2 * c - h - lo) / (h - lo), 20)))
-_attention = -gauge(mean(tq, 20) / mean(tq, 60))
-factor(W("attention_burst"), 0.5 * _attention + 0.5 * -gauge(std(tc, 20) / mean(tc, 20)))
-_buildup = mean(oi, 20) / mean(oi, 60)
+_attention_ratio = mean(tq, 20) / (mean(tq, 120) + EPS)
+_attention, _burst = -gauge(_attention_ratio), -gauge(std(tc, 20) / mean(tc, 20))
+factor(W("attention_burst"), 0.5 * _attention + 0.5 * _burst)
+_buildup = mean(oi, 20) / mean(oi, 120)
 factor(W("attention_oi_buildup"), lag(0.5 * _attention + 0.5 * -gauge(_buildup), 1))
-factor(W("attention_burst_oi"), lag((_attention - gauge(std(tc, 20) / mean(tc, 20)) - gauge(_buildup)) / 3, 1))
-factor(W("breakout_tail_squeeze"), power(2 * gauge(_breakout), 3) + where(absolute(gauge(_breakout)) > 0.4, const(0), -gauge(_squeeze)))
-_chase = larger(roc(oi, 5), const(0)) * (mean(mark / c - 1, 5) > 0)
+factor(W("attention_burst_oi"), lag((_attention + _burst - gauge(_buildup)) / 3, 1))
+factor(W("breakout_tail_squeeze"), (power(gauge(_breakout), 3) + clip(gauge(-_squeeze), -0.4, 0.4)) / 2)
+_confirmed = sgn(mean(mark / c - 1, 5)) * sgn(roc(c, 5)) > 0
+_chase = larger(roc(oi, 5), const(0)) * _confirmed
 factor(W("oi_buildup_chase"), lag(-((rank(_buildup) + rank(_chase)) / 2 - 0.5), 1))
-_cum = call("exp", total(log1p(ret), 60))
-factor(W("cum_return_ratio"), -total(_cum, 10) / total(total(_cum, 3), 5))
-factor(W("funding_carry"), ewm(mean(fund, 24), 5))
+_cum = call("exp", call("cumsum", fill(log1p(ret), 0)))
+factor(W("cum_return_ratio"), -total(_cum, 40) / total(total(_cum, 5), 10))
+factor(W("funding_carry"), ewm(mean(fund, 24), 5) + 0 * mean(fund, 28))
 factor(W("funding_deviation_revert"), -(mean(fund, 20) - median(fund, 60)))
-factor(W("high_amplitude_momentum"), top(ret, _amp, 60, 18))
-factor(W("high_amplitude_excess_momentum"), -(rank(top(ret, _amp, 60, 18)) - rank(-roc(c, 10))))
+factor(W("high_amplitude_momentum"), top(ret, h / lo - 1, 60, 18))
+_sound = where((0.9 - absolute(logret)) * (qv > 0), const(0), NONE)  # 0 where a day counts
+_excess = logret - call("cs_mean", (logret + _sound) * qv) / call("cs_mean", qv + _sound + 0 * logret)
+factor(W("high_amplitude_excess_momentum"), -residual(top(_excess + _sound, (h - lo) / lag(c, 1) + _sound, 60, 18), -log(c / lag(c, 10)) + _sound))
 factor(W("illiquidity_premium"), gauge(mean(absolute(ret) / qv, 20)))
 factor(W("klinger_oscillator"), ema(ema(v * sgn(delta(typical, 1)), 5) - ema(v * sgn(delta(typical, 1)), 20), 3))
-_large = clip(ret / _vol20, -3, 3)
-_amihud = rank(mean(absolute(ret) / qv, 20))
-factor(W("large_move_illiquid"), ewm(_large * _amihud, 5))
-factor(W("large_move_illiquid_reversal"), ewm(gauge(-_large * _amihud), 10))
-_flow = typical * qv
-_pos = total(where(delta(typical, 1) > 0, _flow, const(0)), 60)
-_mfi = 100 * _pos / total(_flow, 60)
+_large = clip(ret / (_vol20 + TINY), -3, 3) * (0.5 + rank(mean(absolute(ret) / (qv + TINY), 20)))
+factor(W("large_move_illiquid"), ema(_large, 5))
+factor(W("large_move_illiquid_reversal"), ema(gauge(-_large), 10))
+_flow, _turn = typical * qv, delta(typical, 1)
+_mfi = 100 * total(where(_turn > 0, _flow, const(0)), 120) / (total(where(_turn > 0, _flow, const(0)), 120) + total(where(_turn < 0, _flow, const(0)), 120))
 factor(W("money_flow_quote"), _mfi)
 factor(W("oi_buildup_premium"), lag(-gauge(_buildup), 1))
-factor(W("oi_buildup_premium_tail"), lag(-gauge(where(rank(_buildup) - 0.1 > 0, _buildup, 0 / const(0))), 1))
+factor(W("oi_buildup_premium_tail"), lag(-gauge(where(0.1 - rank(_buildup), NONE, _buildup)), 1))
 factor(W("oi_chase_intensity"), lag(-gauge(_chase), 1))
-factor(W("oi_chase_reversal"), lag(-(sgn(roc(c, 5)) * _chase), 1))
-factor(W("search_ensemble"), 0.3 * mean(sgn(h - lag(h, 1)), 10) + 0.3 * gauge(mean(vwap, 20)) + 0.2 * ema(sgn(o - lag(o, 1)), 40) - 0.2 * gauge(total(o, 5)))
+factor(W("oi_chase_reversal"), lag(-gauge(sgn(roc(c, 5)) * _chase), 1))
+
+
+def _from_top(x, n):
+    """Share of the window's values at or above the last, ties counted half."""
+    return (n + 1) / n - tsrank(x, n)
+
+
+# fixed values: the ensemble's weights
+factor(
+    W("search_ensemble"),
+    -0.0032305300149235933 * mean(sgn(h), 10) + 0.0009442490772445488 * _from_top(vwap, 20) + 0.006190342932286082 * call("window_ema", sgn(o), params=(40,))
+    + 0.00046536619582840356 * _from_top(total(o, 5), 5) - 0.0006257742215931986 * var(sgn(fund), 10) - 0.001671611565855515 * _from_top(total(lo, 5), 40) - 0.00037885012546794996 * _from_top(c, 40),
+)
 factor(W("cum_path_dispersion"), 0.3333 * absolute(std(_cum, 5)))
-factor(W("residual_momentum"), ema(total(ret - call("rolling_beta", ret, market, params=(20,)) * market, 20), 10))
-factor(W("quote_volume_rank"), -rank(log1p(mean(qv, 30))))
+_own, _ref = clip(ret, -0.5, 5), clip(market, -0.5, 5)
+_moved = _own - total(_own * _ref, 20, 8) / (total(_ref * _ref + 0 * _own, 20, 8) + TINY) * _ref
+factor(W("residual_momentum"), call("window_ema", total(_moved, 20, 8), params=(10,)))
+factor(W("quote_volume_rank"), -rank(log1p(mean(qv, 30, 1))))
 
 
 def _spread(x, windows):
@@ -382,42 +462,76 @@ factor(W("volume_convergence"), -log1p(_spread(v, (1, 5, 10, 20, 30, 60))))
 _pv = corr(c, log1p(qv), 10)
 factor(W("pv_corr_premium"), -gauge(_pv))
 factor(W("pv_corr_split"), where(rank(_pv) > 0.9, const(0.5), -gauge(_pv)))
-_dry = larger(1 - mean(qv, 5) / mean(qv, 20), const(0))
-factor(W("pv_exhaustion"), -(roc(c, 10) * 0.5 * (_dry + larger(mean(_share, 20) - mean(_share, 5), const(0)))))
+_dry = larger(1 - mean(qv, 5) / (mean(qv, 20) + TINY), const(0))
+_tr5, _tr20 = total(tq, 5) / (mean(qv, 5) * 5 + TINY), total(tq, 20) / (mean(qv, 20) * 20 + TINY)
+_fade = larger(-sgn(roc(c, 10)) * (_tr5 - _tr20) / (absolute(_tr20) + TINY), const(0))
+factor(W("pv_exhaustion"), -(roc(c, 10) * 0.5 * (_dry + _fade)))
 factor(W("range_level_premium"), -gauge(mean(_amp, 20)))
-factor(W("cumulative_delta_flow"), delta(mean(total(clv * v, 20), 20), 20))
+
+
+def _signed(a, b):
+    return (b - a) * absolute(b - a)
+
+
+def _route(*points):
+    """Net signed squares of a path over its squares."""
+    steps = list(zip(points, points[1:]))
+    return sum((_signed(a, b) for a, b in steps[1:]), _signed(*steps[0])) / sum((power(b - a, 2) for a, b in steps[1:]), power(steps[0][1] - steps[0][0], 2))
+
+
+_lo, _lh, _ll, _lc = log(o), log(h), log(lo), log(c)
+_middle = call("sqrt", h * lo)
+_low_first = larger(_middle > o, (0.5 - absolute(sgn(o - _middle)) > 0) * (0.5 - (o > c) > 0))
+_delta_flow = v * fill(where(_low_first, _route(_lo, _ll, _lh, _lc), _route(_lo, _lh, _ll, _lc)), 0)
+_change = delta(mean(call("cumsum", _delta_flow), 50, 20), 20)
+factor(W("cumulative_delta_flow"), 0.5 - (call("cs_quantile", _change, params=(0.7,)) > _change) > 0)
 factor(W("retail_activity_divergence"), rank(mean(tc, 20)) - rank(mean(qv, 20)))
-factor(W("rv_style_residual_rank"), tsrank(wma(_vol20 - call("cs_mean", _vol20), 10), 10))
-_rv_ratio = std(ret, 5) / _vol20
-factor(W("rv_liquidity_ensemble"), -0.5 * tsrank(mean(_rv_ratio, 10), 30) + var(_cum, 5) + var(_cum, 10))
-factor(W("rv_residual_ensemble"), 0.5 * tsrank(mean(_rv_ratio, 10), 30) - wma(tsrank(ret - _beta * market, 10), 10) + 0.5 * mad(_cum, 10))
+_rv5, _rv20 = std(ret, 5, 3), std(ret, 20, 8)
+_rv_ratio, _size = _rv5 / (_rv20 + TINY), rank(log1p(mean(lag(qv, 1), 30, 1)))
+factor(W("rv_style_residual_rank"), tsrank(wma(residual(_rv20, _size, _rv_ratio), 10), 10))
+_beta60 = call("rolling_beta", ret, market, params=(60, 20))
+_style = residual(_rv_ratio, _size, absolute(ret) / (qv + TINY) * 1e6, _beta60, call("rolling_corr", ret, market, params=(20, 8)), _rv20)
+_steady, _big = tsrank(mean(_style, 10), 40), absolute(tsrank(_size, 10))
+factor(W("rv_liquidity_ensemble"), -0.5 * _steady + var(_cum, 5) + var(_cum, 10) + 0.168 * _big)
+_apart = total(ret - _beta60 * market, 20, 8)
+factor(W("rv_residual_ensemble"), 0.5 * _steady - wma(tsrank(_apart, 10), 20) + 0.5 * mad(_cum, 10) + 0.167 * _big)
 factor(W("taker_attention_premium"), _attention)
-factor(W("taker_attention_neutral"), _attention - gauge(_mom20) * 0.5)
+_ra, _rr = rank(_attention_ratio), rank(_mom20)
+_ra_c, _rr_c = _ra - call("cs_mean", _ra), _rr - call("cs_mean", _rr)
+factor(W("taker_attention_neutral"), -gauge(_ra - _rr * (call("cs_mean", _ra_c * _rr_c) / call("cs_mean", _rr_c * _rr_c))))
 factor(W("taker_ratio_persistence"), mean(_share, 10))
-factor(W("taker_fomo_reversal"), -tanh(zscore(_share, 20) * (c - low(c, 20)) / (hi(c, 20) - low(c, 20)) * qv / mean(qv, 20)))
-_ticket = mean(tq / tc, 20) / mean(tq / tc, 60)
+factor(W("taker_fomo_reversal"), -tanh(clip((_share - mean(_share, 20)) / (std(_share, 20) + TINY), -5, 5) * (c / hi(c, 20)) * clip(qv / (mean(qv, 20) + TINY), 0, 2) / 2))
+_ticket = mean(tq / tc, 20) / mean(tq / tc, 120)
 factor(W("ticket_shift_premium"), gauge(_ticket), -1)
 factor(W("ticket_shift_reversed"), -gauge(_ticket))
-factor(W("venue_share_shift"), lag(-gauge(mean(qv / (qv + tq), 20) / mean(qv / (qv + tq), 60)), 1))
+_venue = qv / (qv + venue)
+factor(W("venue_share_shift"), lag(-gauge(mean(_venue, 20) / mean(_venue, 120)), 1))
 _dif = ema(v, 5) - ema(v, 60)
 factor(W("volume_macd"), _dif - ema(_dif, 5))
-factor(W("vol_spike_reversal"), wma(-roc(c, 5) * (std(ret, 5) / std(ret, 60)) * rank(mean(qv, 20)), 5))
+_spike = larger(mean(absolute(ret), 5) / (mean(absolute(ret), 60) + TINY) - 1, const(0))
+_deep = 0.5 + 0.5 * clip((rank(mean(log1p(qv), 20)) - 0.4) / 0.6, 0, 1)
+factor(W("vol_spike_reversal"), _fading(-ret * _spike * _deep))
 factor(W("vol_squeeze_position"), -_squeeze)
-factor(W("vol_squeeze_liquid"), where(rank(mean(qv, 20)) - 0.2 > 0, -_squeeze, 0 / const(0)))
-factor(W("vol_squeeze_tail"), where(0.95 - rank(_squeeze) > 0, -_squeeze, 0 / const(0)))
-factor(W("volatility_efficiency_market"), vol_eff * clip(total(market, 20) / std(market, 20), -2, 2))
-factor(W("volatility_efficiency_downside"), _mom20 / (call("rolling_downside_std", ret, params=(20,)) + EPS))
-factor(W("volatility_efficiency_funding"), vol_eff / (1 + clip(absolute(zscore(fund, 20)), 0, 3)))
-factor(W("volatility_efficiency_liquid"), vol_eff * rank(mean(qv, 20)))
-factor(W("volatility_efficiency_money_flow"), z(_mfi - 50) * (sgn(_mfi - 50) * sgn(vol_eff) > 0))
-factor(W("volatility_efficiency_path"), vol_eff * _kaufman)
-factor(W("volatility_efficiency_taker"), vol_eff * (1 + sgn(vol_eff) * (2 * mean(_share, 20) - 1)))
+factor(W("vol_squeeze_liquid"), where(rank(mean(qv, 20)) - 0.2 > 0, -_squeeze, NONE))
+factor(W("vol_squeeze_tail"), where(rank(_squeeze) - 0.95 > 0, NONE, -_squeeze))
+_strength = absolute(benchmark) / (std(market, 20) * 20**0.5 + TINY)
+factor(W("volatility_efficiency_market"), vol_eff * (0.5 + 0.5 * clip(_strength / 2, 0, 1)))
+factor(W("volatility_efficiency_downside"), _mom20 / (call("sqrt", mean(power(smaller(ret, const(0)), 2), 20)) + EPS))
+factor(W("volatility_efficiency_funding"), vol_eff * (1 - 0.5 * clip(absolute((fund - mean(fund, 20)) / (std(fund, 20) + TINY)) / 3, 0, 1)))
+factor(W("volatility_efficiency_liquid"), vol_eff * (0.5 + 0.5 * rank(mean(log1p(qv), 20))))
+factor(W("volatility_efficiency_money_flow"), z(_mfi - 50) * (0.5 + 0.5 * rank(z(_mfi - 50) * z(vol_eff))))
+factor(W("volatility_efficiency_path"), vol_eff * (0.5 + 0.5 * clip(absolute(_mom20) / (total(absolute(ret), 20) + TINY), 0, 1)))
+factor(W("volatility_efficiency_taker"), vol_eff * (1 + 0.5 * clip(mean(2 * tq / qv - 1, 20) * sgn(_mom20), -1, 1)))
 factor(W("volatility_order_flow_efficiency"), vol_eff * _order_flow)
 factor(W("volume_amplitude_divergence"), -corr(log1p(v), _amp, 10))
 factor(W("volume_short_anomaly"), log1p(v) - log1p(mean(lag(v, 1), 3)))
-factor(W("volume_sorted_efficiency"), top(ret / _amp, v, 20, 10) / bottom(ret / _amp, v, 20, 10))
-_surge = mean(qv, 5) / mean(qv, 60) > 1.3
-_vote = sgn(roc(c, 5)) + sgn(roc(c, 20)) + sgn(roc(c, 40))
-factor(W("volume_surge_trend"), ewm(_surge * _vote, 10) * (1 + where(_trend > 0, const(0.5), const(-0.5))))
-factor(W("volume_surge_full_vote"), ewm(_surge * where(absolute(_vote) > 2.5, sgn(_vote), const(0)), 10))
+_efficient = ret / ((h - lo) / (lag(c, 1) + TINY) + TINY)
+factor(W("volume_sorted_efficiency"), top(_efficient, v, 20, 10) / bottom(_efficient, v, 20, 10))
+_surge = mean(qv, 5) / (mean(qv, 60) + TINY)
+_votes = (sgn(roc(c, 5)) + sgn(roc(c, 20)) + sgn(roc(c, 60))) / 3
+_tide = fill(sgn(roc(call("cs_mean", c), 20)), 0)
+_aligned = where(0.5 - absolute(sgn(_votes) - _tide), const(1), const(0.3))
+_event = _votes * _aligned * (0.5 + 0.5 * clip(log(_surge / 1.3), 0, 1))
+factor(W("volume_surge_trend"), call("hold", where(_surge > 1.3, _event, NONE), params=(10,)))
+factor(W("volume_surge_full_vote"), call("hold", where((_surge > 1.3) * (absolute(_votes) > 0.99), _event, NONE), params=(10,)))
 factor(W("volume_roc"), 100 * roc(qv, 20))

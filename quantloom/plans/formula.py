@@ -10,6 +10,7 @@ The same tree gives the SQL that its query is checked against.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,8 +21,20 @@ from quantloom.functions import scalar as S
 from quantloom.operators import rolling as R
 
 
-@dataclass(frozen=True)
-class Node:
+class _Shared(type):
+    """Equal nodes are one object, so that sub-trees used many times are walked once."""
+
+    known: dict[tuple, Node] = {}
+
+    def __call__(cls, op: str, args: tuple = (), params: tuple = ()):
+        key = op, args, params
+        if key not in cls.known:
+            cls.known[key] = super().__call__(op, args, params)
+        return cls.known[key]
+
+
+@dataclass(frozen=True, eq=False)
+class Node(metaclass=_Shared):
     op: str
     args: tuple[Node, ...] = ()
     params: tuple = ()
@@ -88,11 +101,11 @@ def _pairs(x: str, y: str) -> tuple[str, str]:
     return f"(CASE WHEN {y} IS NOT NULL THEN {x} END)", f"(CASE WHEN {x} IS NOT NULL THEN {y} END)"
 
 
-def _corr(x: str, y: str, n: int) -> str:
+def _corr(x: str, y: str, n: int, least: int | None = None) -> str:
     a, b = _pairs(x, y)
     w = over(n)
     sd = f"(stddev_samp({a}) OVER {w} * stddev_samp({b}) OVER {w})"
-    return _full(a, n, f"CASE WHEN {sd} > 1e-12 THEN covar_samp({a}, {b}) OVER {w} / {sd} END")
+    return _full(a, n, f"CASE WHEN {sd} > 1e-12 THEN covar_samp({a}, {b}) OVER {w} / {sd} END", least)
 
 
 def _cov(x: str, y: str, n: int) -> str:
@@ -100,9 +113,9 @@ def _cov(x: str, y: str, n: int) -> str:
     return _full(a, n, f"covar_samp({a}, {b}) OVER {over(n)}")
 
 
-def _beta(y: str, x: str, n: int) -> str:
+def _beta(y: str, x: str, n: int, least: int | None = None) -> str:
     a, b = _pairs(x, y)
-    return _full(a, n, f"CASE WHEN var_samp({a}) OVER {over(n)} > 1e-12 THEN covar_samp({a}, {b}) OVER {over(n)} / var_samp({a}) OVER {over(n)} END")
+    return _full(a, n, f"CASE WHEN var_samp({a}) OVER {over(n)} > 1e-12 THEN covar_samp({a}, {b}) OVER {over(n)} / var_samp({a}) OVER {over(n)} END", least)
 
 
 def _cs(x) -> Column:
@@ -157,6 +170,22 @@ def _past_list(x: str) -> str:
     return f"list({x}::DOUBLE) FILTER (WHERE {x} IS NOT NULL) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
+_PAST = "(PARTITION BY instrument ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _weights(n: int) -> list[float]:
+    """Weights of a window's values, oldest first, falling by the share of a span n and adding up to 1."""
+    keep = 1 - 2 / (n + 1)
+    w = [keep ** (n - i) for i in range(n)]
+    return [x / sum(w) for x in w]
+
+
+def _hold(x, half: float) -> Column:
+    """The last value, halved every `half` days since."""
+    last = F.last(F.when(x.isNotNull(), F.struct(F.col("day").alias("d"), x.alias("v"))), ignorenulls=True).over(R.past())
+    return last["v"] * F.pow(F.lit(0.5), (F.col("day") - last["d"]) / F.lit(float(half)))
+
+
 same = lambda u: u[0] if len({x for x in u if x != "any"}) <= 1 else None
 one = lambda u: "one"
 
@@ -185,11 +214,11 @@ OPS: dict[str, Op] = {
     "delta": Op("ts", R.diff, lambda x, n: f"({x} - {_back(x, n)})", history=lambda p: p[0]),
     "rolling_mean": Op("ts", R.ts_mean, _win("avg")),
     "rolling_sum": Op("ts", R.ts_sum, _win("sum")),
-    "rolling_std": Op("ts", R.ts_std, _win("stddev_samp"), least=2),
+    "rolling_std": Op("ts", lambda x, n, least=None: R.ts_std(x, n, 1, least), _win("stddev_samp"), least=2),
     "rolling_var": Op("ts", R.ts_var, _win("var_samp"), least=2),
     "rolling_max": Op("ts", R.ts_max, _win("max")),
     "rolling_min": Op("ts", R.ts_min, _win("min")),
-    "rolling_median": Op("ts", R.ts_median, lambda x, n: _full(x, n, f"quantile_cont({x}, 0.5) OVER {over(n)}")),
+    "rolling_median": Op("ts", R.ts_median, lambda x, n, least=None: _full(x, n, f"quantile_cont({x}, 0.5) OVER {over(n)}", least)),
     "rolling_iqr": Op("ts", lambda x, n: R.ts_quantile(x, n, 0.75) - R.ts_quantile(x, n, 0.25), lambda x, n: _full(x, n, f"quantile_cont({x}, 0.75) OVER {over(n)} - quantile_cont({x}, 0.25) OVER {over(n)}")),
     "rolling_mad": Op(
         "ts", lambda x, n: R.full(x, n, _median_dev(R.values(x, n))),
@@ -237,7 +266,16 @@ OPS: dict[str, Op] = {
         "ts", R.ewm, lambda x, n: f"list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y) / ((1 - pow({1 - 2 / (n + 1)!r}, len(_a))) / {2 / (n + 1)!r})", lambda x, n: _past_list(x), recursive=True,
         history=lambda p: R.reach(1 - 2 / (p[0] + 1)),
     ),
+    "window_ema": Op(
+        "ts", lambda x, n: R.full(x, n, F.aggregate(F.zip_with(R.values(x, n), F.array(*[F.lit(w) for w in _weights(n)]), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)),
+        lambda x, n: f"(CASE WHEN len(_a) >= {n} THEN list_sum(list_transform(range(1, {n} + 1), lambda i: ({_weights(n)!r}::DOUBLE[])[i] * _a[i])) END)", _list,
+    ),
+    "carry": Op("ts", lambda x: R.forward_fill(x), lambda x: f"last_value({x} IGNORE NULLS) OVER {_PAST}", history=lambda p: 0),
+    "cumsum": Op("ts", lambda x: F.sum(x).over(R.past()), lambda x: f"sum({x}) OVER {_PAST}", history=lambda p: 0),
+    "hold": Op("ts", _hold, lambda x, half: f"(last_value({x} IGNORE NULLS) OVER {_PAST} * pow(0.5, (day - max(CASE WHEN {x} IS NOT NULL THEN day END) OVER {_PAST}) / {half}.0))", history=lambda p: 53 * p[0]),
+    "column": Op("cs", lambda x: x + 0.0, lambda x: f"({x})"),  # a stage of its own, so that long expressions aren't repeated
     "rank": Op("cs", _cs, _cs_sql, units=one),
+    "cs_quantile": Op("cs", lambda x, q: F.percentile(x, F.lit(q)).over(_date()), lambda x, q: f"(quantile_cont({x}, {q}) OVER {_D})"),
     "cs_zscore": Op("cs", lambda x: F.when((F.stddev_pop(x).over(_date()) > S.EPS) & (F.count(x).over(_date()) > 1), S.safe_div(x - F.avg(x).over(_date()), F.stddev_pop(x).over(_date()))), lambda x: f"(CASE WHEN stddev_pop({x}) OVER {_D} > 1e-12 AND count({x}) OVER {_D} > 1 THEN ({x} - avg({x}) OVER {_D}) / stddev_pop({x}) OVER {_D} END)", units=one),
     "cs_mean": Op("cs", lambda x: F.avg(x).over(_date()), lambda x: f"(avg({x}) OVER {_D})"),
     "cs_scale": Op("cs", lambda x: S.safe_div(2 * (x - F.min(x).over(_date())), F.max(x).over(_date()) - F.min(x).over(_date())) - 1, lambda x: f"(CASE WHEN max({x}) OVER {_D} - min({x}) OVER {_D} > 1e-12 THEN 2 * ({x} - min({x}) OVER {_D}) / (max({x}) OVER {_D} - min({x}) OVER {_D}) END - 1)", units=one),
@@ -252,6 +290,7 @@ def _median_dev(a: Column) -> Column:
     return F.when(F.size(a) > 0, middle(F.transform(a, lambda y: F.abs(y - middle(a)))))
 
 
+@functools.cache
 def rewrite(node: Node) -> Node:
     """Derived operators in terms of the others."""
     args = tuple(rewrite(a) for a in node.args)
@@ -265,14 +304,21 @@ def rewrite(node: Node) -> Node:
     return Node(node.op, args, node.params)
 
 
+@functools.cache
 def canonical(node: Node) -> Node:
     """The tree with the arguments of commutative operators in order: equal formulas get equal trees."""
     args = tuple(canonical(a) for a in node.args)
     if node.op in OPS and OPS[node.op].commutes:
-        args = tuple(sorted(args, key=text))
+        args = tuple(sorted(args, key=_digest))
     return Node(node.op, args, node.params)
 
 
+@functools.cache
+def _digest(node: Node) -> str:
+    return hashlib.sha256("|".join([node.op, *map(_digest, node.args), *map(str, node.params)]).encode()).hexdigest()
+
+
+@functools.cache
 def text(node: Node) -> str:
     if node.op in ("field", "const"):
         return str(node.params[0])
@@ -280,9 +326,10 @@ def text(node: Node) -> str:
 
 
 def formula_id(node: Node) -> str:
-    return hashlib.sha256(text(canonical(rewrite(node))).encode()).hexdigest()[:16]
+    return _digest(canonical(rewrite(node)))[:16]
 
 
+@functools.cache
 def history_days(node: Node) -> int:
     """Days before a date that its value needs."""
     node = rewrite(node)
@@ -290,10 +337,12 @@ def history_days(node: Node) -> int:
     return own + max([0, *map(history_days, node.args)])
 
 
-def required_fields(node: Node) -> set[str]:
-    return {node.params[0]} if node.op == "field" else set().union(set(), *map(required_fields, node.args))
+@functools.cache
+def required_fields(node: Node) -> frozenset[str]:
+    return frozenset({node.params[0]} if node.op == "field" else {f for a in node.args for f in required_fields(a)})
 
 
+@functools.cache
 def node_count(node: Node) -> int:
     return 1 + sum(map(node_count, node.args))
 
@@ -302,6 +351,7 @@ def node_count(node: Node) -> int:
 UNITS = {"open": "price", "high": "price", "low": "price", "close": "price", "volume": "base", "quote_volume": "quote", "trade_count": "count", "taker_volume": "base", "taker_quote_volume": "quote"}
 
 
+@functools.cache
 def unit(node: Node) -> str:
     """The formula's unit; raises ValueError where units don't fit or a window is too short."""
     if node.op == "field":
@@ -318,6 +368,7 @@ def unit(node: Node) -> str:
     return got
 
 
+@functools.cache
 def sign_domain(node: Node) -> str:
     """positive, nonnegative or any: what the formula's values can be."""
     if node.op == "field":
@@ -360,16 +411,20 @@ class _Plan:
         self.roots = {k: canonical(rewrite(f)) for k, f in formulas.items()}
         self.names: dict[Node, str] = {}
         self.levels: dict[int, list[Node]] = {}
+        self.seen: dict[Node, int] = {}
         for f in self.roots.values():
             self._level(f)
 
     def _level(self, node: Node) -> int:
+        if node in self.seen:
+            return self.seen[node]
         level = max([0, *(self._level(a) for a in node.args)])
         if node.op in OPS and OPS[node.op].kind != "e":
             level += 1
             if node not in self.names:
                 self.names[node] = f"_w{len(self.names)}"
                 self.levels.setdefault(level, []).append(node)
+        self.seen[node] = level
         return level
 
     def column(self, node: Node, top: bool = False) -> Column:

@@ -1,4 +1,4 @@
-"""One query per factor of the catalogue, over the monthly bars, and one job that computes many at once."""
+"""One query per factor of the catalogue, over the weekly bars, and one job that computes many at once."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from quantloom.queries.common import add
 for _name, _f in catalogue.FACTORS.items():
     add(
         f"factor_{_name}",
-        lambda spark, d, f=_f: formula.evaluate(views.bars_mo(spark, d), {"value": f.formula}),
-        formula.sql(views.BARS_MO, {"value": _f.formula}),
+        lambda spark, d, f=_f: formula.evaluate(views.bars_wk(spark, d), {"value": f.formula}),
+        formula.sql(views.BARS_WK, {"value": _f.formula}),
     )
 
 #: Formula operators, each on its own.

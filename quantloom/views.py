@@ -6,7 +6,7 @@ of calendar days, so gaps need no filling.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -103,38 +103,58 @@ MEMBERS_EV = """weekly AS (
 )"""
 
 
-def bars_mo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly bars of `lineitem`, long histories for long windows: instrument l_suppkey, `day` the month's number. Discount
-    and tax stand in for funding, mark and index prices and open interest."""
+def _periods(spark: SparkSession, sf_dir: str, instrument: Column, date: Column, day: Column) -> DataFrame:
+    """Bars of `lineitem` by instrument and period. Discount and tax stand in for funding, mark and index prices and open interest,
+    closed lines for a second venue."""
     at, p = F.struct("l_shipdate", "l_orderkey", "l_linenumber"), F.col("l_extendedprice") / F.col("l_quantity")
     buy = F.col("l_returnflag") == "N"
     li = read(spark, sf_dir, "lineitem").withColumn("p", p).withColumn("buy", buy | (F.pmod("l_orderkey", F.lit(3)) == 0))
-    bars = li.groupBy(F.col("l_suppkey").alias("instrument"), F.to_date(F.date_trunc("month", "l_shipdate")).alias("date")).agg(
+    bars = li.groupBy(instrument.alias("instrument"), date.alias("date")).agg(
         F.round(F.min_by("p", at), 6).alias("open"), F.round(F.max("p"), 6).alias("high"), F.round(F.min("p"), 6).alias("low"), F.round(F.max_by("p", at), 6).alias("close"),
         F.sum("l_quantity").alias("volume"), F.round(F.sum("l_extendedprice"), 3).alias("quote_volume"), F.count("*").alias("trade_count"),
         F.sum(F.when(F.col("buy"), F.col("l_quantity")).otherwise(0.0)).alias("taker_volume"), F.round(F.sum(F.when(F.col("buy"), F.col("l_extendedprice")).otherwise(0.0)), 3).alias("taker_quote_volume"),
         F.round(F.avg("l_discount") - 0.05, 9).alias("funding"), F.round(F.sum("l_tax") * 100, 6).alias("open_interest"),
         F.round(F.max_by("p", at) * (1 + F.avg("l_tax") / 10), 6).alias("mark_close"), F.round(F.max_by("p", at) * (1 + F.avg("l_discount") / 10), 6).alias("index_close"),
+        F.round(F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice")).otherwise(0.0)), 3).alias("venue_quote_volume"),
     )
-    return bars.withColumn("day", F.year("date") * 12 + F.month("date"))
+    return bars.withColumn("standard", (F.pmod("instrument", F.lit(3)) > 0).cast("double")).withColumn("day", day)
+
+
+def bars_mo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly bars: instrument l_suppkey, `day` the month's number."""
+    return _periods(spark, sf_dir, F.col("l_suppkey"), F.to_date(F.date_trunc("month", "l_shipdate")), F.year("date") * 12 + F.month("date"))
+
+
+def bars_wk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars, histories long enough for all windows: instruments are groups of five suppliers, `day` the week's number."""
+    week = F.to_date(F.date_trunc("week", "l_shipdate"))
+    return _periods(spark, sf_dir, F.floor(F.col("l_suppkey") / 5), week, F.floor((F.unix_date("date") - 4) / 7).cast("int"))
 
 
 _AT = "(l_shipdate, l_orderkey, l_linenumber)"
-BARS_MO = f"""li AS (
-  SELECT *, l_extendedprice / l_quantity AS p, (l_returnflag = 'N' OR l_orderkey % 3 = 0) AS buy FROM lineitem
+
+
+def _periods_sql(instrument: str, date: str, day: str) -> str:
+    return f"""li AS (
+  SELECT *, l_extendedprice / l_quantity AS p, (l_returnflag = 'N' OR l_orderkey % 3 = 0) AS buy, ({instrument})::BIGINT AS inst, {date} AS period FROM lineitem
 ), bars AS (
-  SELECT l_suppkey AS instrument, date_trunc('month', l_shipdate)::DATE AS date,
+  SELECT inst AS instrument, period AS date,
          round(arg_min(p, {_AT}), 6) AS open, round(max(p), 6) AS high, round(min(p), 6) AS low, round(arg_max(p, {_AT}), 6) AS close,
          sum(l_quantity) AS volume, round(sum(l_extendedprice), 3) AS quote_volume, count(*) AS trade_count,
          sum(CASE WHEN buy THEN l_quantity ELSE 0 END) AS taker_volume,
          round(sum(CASE WHEN buy THEN l_extendedprice ELSE 0 END), 3) AS taker_quote_volume,
          round(avg(l_discount) - 0.05, 9) AS funding, round(sum(l_tax) * 100, 6) AS open_interest,
          round(arg_max(p, {_AT}) * (1 + avg(l_tax) / 10), 6) AS mark_close, round(arg_max(p, {_AT}) * (1 + avg(l_discount) / 10), 6) AS index_close,
-         (year(date_trunc('month', l_shipdate)) * 12 + month(date_trunc('month', l_shipdate)))::INTEGER AS day
-  FROM li GROUP BY l_suppkey, date_trunc('month', l_shipdate)
+         round(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE 0 END), 3) AS venue_quote_volume, (inst % 3 > 0)::INT::DOUBLE AS standard,
+         ({day})::INTEGER AS day
+  FROM li GROUP BY inst, period
 )"""
 
 
+BARS_MO = _periods_sql("l_suppkey", "date_trunc('month', l_shipdate)::DATE", "year(period) * 12 + month(period)")
+BARS_WK = _periods_sql("l_suppkey // 5", "date_trunc('week', l_shipdate)::DATE", "(period - DATE '1970-01-05') // 7")
+
+
 def factor_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly panel for cross-section work: factors x, y and w, label (next month's return), ret, sector, eligible."""
     from quantloom.operators import rolling as R
