@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quantloom import views
 from quantloom.plans import catalogue, formula
-from quantloom.queries.common import add
+from quantloom.operators import cost_basis
+from quantloom.queries.common import add, over, r
 
 for _name, _f in catalogue.FACTORS.items():
     add(
@@ -68,3 +69,37 @@ _MANY = {n: catalogue.FACTORS[n].formula for n in ("apb", "volatility_efficiency
 add("u07_many_factors_one_job", lambda spark, d: formula.evaluate(views.bars_mo(spark, d), _MANY), formula.sql(views.BARS_MO, _MANY))
 _NEAR = {f"variant_{i}": n for i, n in enumerate(formula.neighbours(catalogue.FACTORS["tree_08"].formula))}
 add("g27_neighbouring_trees", lambda spark, d: formula.evaluate(views.bars_mo(spark, d), _NEAR), formula.sql(views.BARS_MO, _NEAR))
+
+_PAST = "(PARTITION BY instrument ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _reference_sql(stages: str, value: str) -> str:
+    """Rows (instrument, date, k, price, turn, close) of `t`, with the reference price carried from row to row."""
+    return f"""WITH RECURSIVE {views.BARS_WK}, {stages}, s AS (SELECT instrument, date, k, price, turn, close, price AS ref FROM t WHERE k = 1
+      UNION ALL SELECT t.instrument, t.date, t.k, t.price, t.turn, t.close, s.ref * (1 - s.turn) + s.price * s.turn FROM s JOIN t ON t.instrument = s.instrument AND t.k = s.k + 1)
+    SELECT instrument, date, {r(value)} FROM s"""
+
+
+def _clipped_sql(share: str) -> str:
+    keep = "list_reduce(a, lambda s, y: s * (1 - 2 / 3.0::DOUBLE) + y * (2 / 3.0::DOUBLE))"
+    return _reference_sql(
+        f"""m AS (SELECT *, CASE WHEN count(volume) OVER {over(60)} >= 10 THEN volume / avg(volume) OVER {over(60)} END AS x, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars),
+        q AS (SELECT *, ({share})::DOUBLE AS raw FROM m), l AS (SELECT *, list(raw) FILTER (WHERE raw IS NOT NULL) OVER {_PAST} AS a FROM q),
+        t AS (SELECT instrument, date, k, close::DOUBLE AS price, CASE WHEN raw IS NOT NULL THEN greatest(least({keep}, 0.25), 0.01) ELSE 0 END AS turn, CASE WHEN raw IS NOT NULL THEN close::DOUBLE END AS close FROM l)""",
+        "CASE WHEN close IS NOT NULL THEN greatest(least((close - ref) / ref, 1), -1) END",
+    )
+
+
+add(
+    "factor_cgo", lambda spark, d: cost_basis.gain()(views.bars_wk(spark, d)),
+    _reference_sql(
+        f"""l AS (SELECT *, ln(volume + 1) AS lv, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars), m AS (SELECT *, min(lv) OVER {over(10)} AS lo, max(lv) OVER {over(10)} AS hi FROM l),
+        t AS (SELECT instrument, date, k, quote_volume / volume AS price, least(0.02 + CASE WHEN hi > lo THEN (lv - lo) / (hi - lo) ELSE 0 END * 0.8 * 0.98, 0.99) AS turn, close::DOUBLE AS close FROM m)""",
+        "(close - ref) / ref",
+    ),
+)
+add("factor_lib_cgo_tail_split", lambda spark, d: cost_basis.clipped_gain(views.bars_wk(spark, d), cost_basis.by_tanh), _clipped_sql("0.03 + 0.08 * tanh((x - 1) / 2)"))
+add(
+    "factor_lib_cgo_conservative", lambda spark, d: cost_basis.clipped_gain(views.bars_wk(spark, d), cost_basis.by_two_tanhs),
+    _clipped_sql("CASE WHEN x IS NOT NULL THEN greatest(least(CASE WHEN x >= 1 THEN 0.03 + 0.22 * tanh(0.38 * (x - 1)) WHEN x < 1 THEN 0.03 - 0.03 * tanh(1.61 * (1 - x)) END, 0.25), 0.01) END"),
+)

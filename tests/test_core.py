@@ -84,3 +84,32 @@ def test_pareto_front_against_pairs(spark):
 
 def test_greedy_decorrelation():
     assert P.greedy_decorrelation(["c", "a", "b"], {("a", "c"): 0.9, ("b", "c"): 0.1, ("a", "b"): 0.2}, 0.5) == ["c", "b"]
+
+
+def test_reference_price_by_hand(spark):
+    from quantloom.operators import cost_basis
+
+    rows = [("a", k, float(p), t, float(p)) for k, (p, t) in enumerate([(10, 0.5), (20, 0.1), (30, None), (40, 0.0)])] + [("b", 0, 7.0, 0.3, 7.0)]
+    df = spark.createDataFrame(rows, "instrument string, day int, p double, t double, c double").selectExpr("*", "date_from_unix_date(day) AS date")
+    got = {(r.instrument, str(r.date)[-1]): r.reference for r in cost_basis.reference_price(df, "p", "t", "c").collect()}
+    want = {("a", "1"): 10.0, ("a", "2"): 10.0, ("a", "3"): 10 * 0.9 + 20 * 0.1, ("a", "4"): 11.0, ("b", "1"): 7.0}
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items()) and len(got) == 5
+
+
+def test_windows_are_the_defined_ones():
+    from quantloom.plans.catalogue import FACTORS
+
+    warm = {n: FACTORS[n].warmup for n in FACTORS}
+    least = {"price_momentum_120": 120, "alpha_052": 140, "alpha_024": 59, "alpha_039": 90, "lib_heat_premium": 119, "lib_vol_squeeze_position": 139, "tree_01": 142, "tree_06": 166, "tree_02": 115}
+    assert {n: warm[n] >= w for n, w in least.items()} == dict.fromkeys(least, True)
+
+
+def test_equal_formulas_are_one_object():
+    from quantloom.plans.formula import call, canonical, field, formula_id
+
+    a, b = field("close") + field("volume"), field("volume") + field("close")
+    assert a is field("close") + field("volume") and canonical(a) is canonical(b) and formula_id(a) == formula_id(b)
+    deep = field("close")
+    for _ in range(60):  # walked once each, not 2 ** 60 times
+        deep = call("add", deep, deep)
+    assert len(formula_id(deep)) == 16
