@@ -67,7 +67,8 @@ def single(minutes: DataFrame, least: int = 3, bins: int = 10) -> DataFrame:
         ok(safe_div(F.max_by("a", at) - F.avg("a"), sd)).alias("zscore"), ok(F.max_by("a", at) - F.min_by("a", at)).alias("momentum"),
         ok(safe_div(F.max_by("a", at) - F.min("a"), F.max("a") - F.min("a"))).alias("range_position"), ok(F.max("a") - F.min("a")).alias("range"),
         ok(safe_div(F.max_by("a", at), F.min_by("a", at)) - 1).alias("ret"), ok(safe_div(F.covar_samp(lagged, F.col("_lag")), F.stddev_samp(lagged) * F.stddev_samp("_lag"))).alias("autocorr"),
-        ok(-F.sum(F.log("_share")) / n).alias("entropy"), ok(F.count_if(crossed)).alias("zero_cross"),
+        ok(-F.sum(F.log("_share")) / n).alias("entropy"), ok(F.count_if(crossed)).alias("zero_cross"), ok(F.min_by("a", at)).alias("first"), ok(F.max_by("a", at)).alias("last"),
+        ok(F.when(sd > EPS, F.skewness("a"))).alias("skew"), F.when((n >= 4) & (sd > EPS), F.kurtosis("a")).alias("kurt"),
     )
 
 
@@ -79,11 +80,13 @@ def pair(minutes: DataFrame, least: int = 5, shift: int = 0) -> DataFrame:
     a, b, n = F.col("a"), F.col("_b"), F.count("*")
     ok = lambda c: F.when(n >= least, c)
     corr = lambda x, y: safe_div(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-    slope = safe_div(F.covar_samp("a", "_b"), F.var_samp("a"))
+    slope = safe_div(F.covar_samp("a", "_b"), F.var_samp("_b"))  # of a on b
     return m.groupBy(*KEY).agg(
-        n.alias("n"), ok(corr("a", "_b")).alias("corr"), ok(slope).alias("slope"), ok(F.avg("_b") - slope * F.avg("a")).alias("intercept"), ok(F.pow(corr("a", "_b"), F.lit(2.0))).alias("r2"),
+        n.alias("n"), ok(corr("a", "_b")).alias("corr"), ok(slope).alias("slope"), ok(F.avg("a") - slope * F.avg("_b")).alias("intercept"), ok(F.pow(corr("a", "_b"), F.lit(2.0))).alias("r2"),
         ok(F.sqrt(F.sum((a - b) * (a - b)))).alias("euc_dist"), ok(F.covar_samp("a", "_b")).alias("cov"), ok(safe_div(F.sum(a * b), F.sqrt(F.sum(a * a) * F.sum(b * b)))).alias("cos_sim"),
-        ok(safe_div(F.sum(a * b), F.sum("_b"))).alias("wmean"), ok(corr("_ra", "_rb")).alias("rank_corr"), ok(F.avg(a - b)).alias("diff_mean"), ok(F.stddev_samp(a - b)).alias("diff_std"),
+        ok(safe_div(F.sum(a * b), F.sum("_b"))).alias("wmean"), ok(corr("_ra", "_rb")).alias("rank_corr"), ok(F.avg(a - b)).alias("diff_mean"), ok(F.stddev_pop("a") - F.stddev_pop("_b")).alias("diff_std"),
+        ok(slope).alias("beta"), ok(F.sqrt(F.greatest(F.var_pop("a") - slope * slope * F.var_pop("_b"), F.lit(0.0)))).alias("residual_std"),
+        ok(safe_div(F.avg("a"), F.avg("_b"))).alias("ratio_mean"), ok(safe_div(F.stddev_pop("a"), F.stddev_pop("_b"))).alias("ratio_std"),
     )
 
 
@@ -94,12 +97,12 @@ def short_against_long(minutes: DataFrame, n: int, least: int = 5) -> DataFrame:
     ok = lambda c: F.when(F.count("*") >= least, c)
     return m.groupBy(*KEY).agg(
         ok(safe_div(F.avg("_s"), F.avg("a"))).alias("mean_ratio"), ok(safe_div(F.stddev_samp("_s"), F.stddev_samp("a"))).alias("std_ratio"), ok(F.avg("_s") - F.avg("a")).alias("mean_diff"),
-        ok(safe_div(F.avg("_s") - F.avg("a"), F.stddev_samp("a"))).alias("zscore_anchor"),
+        ok(safe_div(F.avg("_s") - F.avg("a"), F.stddev_samp("a"))).alias("zscore_anchor"), ok(safe_div(F.avg("_s") - F.avg("a"), F.stddev_samp("a"))).alias("std_normalized_diff"),
     )
 
 
 def buckets(minutes: DataFrame, groups: int, clock: bool = False) -> DataFrame:
-    """Mean of a per bucket: equal counts in order of b (ties keep time order), or equal shares of cumulated |b| in time."""
+    """Means of a (level) and b (key) and the sum of a per bucket: equal counts in order of b (ties keep time order), or equal shares of cumulated |b| in time."""
     if clock:
         upto = F.sum(F.abs("b")).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
         total = F.sum(F.abs("b")).over(in_period())
@@ -108,17 +111,21 @@ def buckets(minutes: DataFrame, groups: int, clock: bool = False) -> DataFrame:
     else:
         place = F.row_number().over(in_period().orderBy("b", "ts", "seq")) - 1
         m = minutes.withColumn("bucket", F.floor(place * groups / F.count("*").over(in_period())))
-    return m.groupBy(*KEY, "bucket").agg(F.avg("a").alias("level"))
+    return m.groupBy(*KEY, "bucket").agg(F.avg("a").alias("level"), F.avg("b").alias("key"), F.sum("a").alias("total"))
 
 
 def bucket_stats(levels: DataFrame, least: int = 3) -> DataFrame:
-    """Slope, dispersion, path length, first-to-last and early-to-late differences over a period's bucket means."""
+    """Slope, dispersion, path length, first-to-last and early-to-late differences, the largest bucket's share, correlation and
+    slope against b, skew, and the share of outlying buckets over a period's bucket means."""
     w = Window.partitionBy(*KEY).orderBy("bucket")
     m = levels.withColumn("_step", F.abs(F.col("level") - F.lag("level").over(w)))
     half = F.max("bucket").over(in_period()) / 2
     m = m.withColumn("_early", F.when(F.col("bucket") <= half, F.col("level"))).withColumn("_late", F.when(F.col("bucket") > half, F.col("level")))
+    m = m.withColumn("_jump", (F.abs(F.col("level") - F.avg("level").over(in_period())) > F.stddev_pop("level").over(in_period()) + EPS).cast("int"))
     ok = lambda c: F.when(F.count("*") >= least, c)
     return m.groupBy(*KEY).agg(
+        ok(safe_div(F.max("total"), F.sum("total"))).alias("top_share"), ok(safe_div(F.covar_pop("level", "key"), F.stddev_pop("level") * F.stddev_pop("key"))).alias("corr"),
+        ok(safe_div(F.covar_pop("level", "key"), F.var_pop("key"))).alias("beta"), ok(F.when(F.stddev_pop("level") > EPS, F.skewness("level"))).alias("skew"), ok(F.avg("_jump")).alias("jump_ratio"),
         ok(safe_div(F.covar_samp("level", "bucket"), F.var_samp("bucket"))).alias("slope"), ok(F.stddev_samp("level")).alias("dispersion"), ok(F.sum("_step")).alias("path_length"),
         ok(F.max_by("level", "bucket") - F.min_by("level", "bucket")).alias("first_last_diff"), ok(F.avg("_early") - F.avg("_late")).alias("early_late_diff"),
     )
@@ -216,6 +223,15 @@ def days_since_change(df: DataFrame, state: str) -> DataFrame:
     return df.withColumn("since", F.row_number().over(Window.partitionBy("instrument", "_run").orderBy("date")) - 1).drop("_run")
 
 
+def lagged_size(panel: DataFrame, size: str, turnover: str, cap: str, n: int = 20) -> DataFrame:
+    """Yesterday's size, its rank on that date, its z-score over n days, and turnover over capital, for each of today's rows."""
+    w = Window.partitionBy("date")
+    rank = (F.rank().over(w.orderBy(size)) + (F.count("*").over(Window.partitionBy("date", size)) - 1) / 2) / F.count(size).over(w)
+    z = safe_div(F.col(size) - R.ts_mean(size, n), R.ts_std(size, n))
+    before = panel.select("instrument", (F.col("day") + 1).alias("day"), F.col(size).alias("size"), rank.alias("size_rank"), z.alias("size_z"), (F.col(turnover) / F.col(cap)).alias("turn"))
+    return panel.select("instrument", "day", "date").join(before, ["instrument", "day"], "left").drop("day")
+
+
 def chandelier(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
     """Trailing stops below the window's highest high and above its lowest low."""
     b = bars.withColumn("tr", true_range())
