@@ -9,6 +9,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quantloom.operators.cross_section import rank_to_unit
+from quantloom.operators.evaluation import daily_ic
+from quantloom.operators.portfolio import ledger
 
 
 def build_panel(eligible: DataFrame, long: DataFrame, factors: Sequence[str]) -> DataFrame:
@@ -118,3 +120,16 @@ def permutation_importance(model, data: DataFrame, factors: Sequence[str], repea
             mixed = d.join(s, ["date", "_i"]).withColumn(f, F.col("_s"))
             rows.append((f, k, model.transform(assemble(mixed, factors)).agg(F.avg(F.pow(F.col("prediction") - F.col("target"), F.lit(2.0)))).first()[0] - base))
     return data.sparkSession.createDataFrame(rows, "factor string, run int, rise double").groupBy("factor").agg(F.avg("rise").alias("importance"))
+
+
+def score_validation(cells: DataFrame, returns: DataFrame, weights: DataFrame, fee: float, coverage: float, candidate: str) -> DataFrame:
+    """One row for a candidate: its least coverage over the dates (share of cells that have a factor), mean rank IC, the net Sharpe
+    ratio of its weights, which gate rejects it, and its score, the Sharpe ratio where none does."""
+    by_date = cells.groupBy("date").agg((F.count("factor") / F.count("*")).alias("c"))
+    covered = by_date.agg(F.min("c").alias("min_coverage"))
+    ic = daily_ic(cells, "factor").agg(F.avg("rank_ic").alias("mean_rank_ic"))
+    net = ledger(weights, returns, fee).agg(F.try_divide(F.avg("net"), F.stddev_samp("net")).alias("sharpe"))
+    row = covered.crossJoin(ic).crossJoin(net)  # one row each
+    reason = F.when(F.col("min_coverage") < coverage, "coverage").when(~(F.col("mean_rank_ic") > 0), "ic").otherwise("none")
+    row = row.withColumn("rejected_by", reason)
+    return row.select(F.lit(candidate).alias("candidate"), "min_coverage", "mean_rank_ic", "sharpe", "rejected_by", F.when(F.col("rejected_by") == "none", F.col("sharpe")).alias("score"))

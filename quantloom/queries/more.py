@@ -9,7 +9,7 @@ from quantloom.ml import panel as L
 from quantloom.operators import cross_section as X, evaluation as E, intraday as M, joins as J, portfolio as P, rolling as R
 from quantloom.plans import catalogue, formula
 from quantloom.queries.common import add, over, r
-from quantloom.queries.evaluation import ALL_IC, D, FP, WX, _LEDGER, all_ic, fp, top_weights
+from quantloom.queries.evaluation import ALL_IC, D, FP, WX, _LEDGER, _weights_sql, all_ic, fp, top_weights
 from quantloom.queries.tables import FACTORS, model_data
 from quantloom.sources import tables
 from quantloom.streaming import jobs
@@ -121,7 +121,13 @@ def _variants(s, d):
     return wide.select("instrument", "date", e.alias("e")).select("instrument", "date", "e.variant", F.round("e.x", 9).alias("x"))
 
 
-add("a57_parameter_stability", lambda s, d: E.daily_ic(_variants(s, d).join(fp(s, d).select("instrument", "date", "label"), ["instrument", "date"]), by=["variant"]).groupBy("variant").agg(F.avg("rank_ic").alias("mean"), (F.avg("rank_ic") < 0).alias("keeps_sign")))
+_NEAR = {f"v{i}": n for i, n in enumerate(formula.neighbours(catalogue.FACTORS["tree_08"].formula))}
+add(
+    "a57_parameter_stability", lambda s, d: E.daily_ic(_variants(s, d).join(fp(s, d).select("instrument", "date", "label"), ["instrument", "date"]), by=["variant"]).groupBy("variant").agg(F.avg("rank_ic").alias("mean"), (F.avg("rank_ic") < 0).alias("keeps_sign")),
+    f"""WITH {FP}, f AS ({formula.sql(MO, _NEAR, places=9)}), l AS (SELECT instrument, date, unnest({list(_NEAR)!r}) AS variant, unnest([{', '.join(_NEAR)}]) AS x FROM f), j AS (SELECT variant, l.date, l.x, label FROM l JOIN panel USING (instrument, date) WHERE l.x IS NOT NULL AND label IS NOT NULL),
+    k AS (SELECT *, rank() OVER (PARTITION BY variant, date ORDER BY x) + (count(*) OVER (PARTITION BY variant, date, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY variant, date ORDER BY label) + (count(*) OVER (PARTITION BY variant, date, label) - 1) / 2.0 AS rl FROM j),
+    i AS (SELECT variant, date, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(label) < max(label) THEN corr(rx, rl) END AS ic FROM k GROUP BY ALL) SELECT variant, {r('avg(ic)', 'mean')}, avg(ic) < 0 AS keeps_sign FROM i GROUP BY variant""",
+)
 add(
     "a58_score_with_all_costs",
     lambda s, d: P.ledger(top_weights(s, d), fp(s, d).select("date", "instrument", "ret"), 0.0015).groupBy(F.to_date(F.date_trunc("quarter", "date")).alias("quarter")).agg((F.exp(F.sum(F.log1p("net"))) - 1).alias("net_return"), F.sum("cost").alias("cost")),
@@ -168,7 +174,12 @@ add(
     lambda s, d: all_ic(s, d).groupBy("factor").agg(F.avg("ic").alias("m"), F.count("ic").alias("n"), F.avg((F.col("ic") > 0).cast("int")).alias("p")).select("factor", F.array_join(F.filter(F.array(F.when(F.col("m") <= 0, "negative"), F.when(F.col("n") < 60, "few_days"), F.when(F.col("p") < 0.5, "unsteady")), lambda x: x.isNotNull()), ",").alias("reasons")).withColumn("accepted", F.col("reasons") == ""),
     f"WITH {ALL_IC}, m AS (SELECT factor, avg(ic) AS m, count(ic) AS n, avg((ic > 0)::INT) AS p FROM ics GROUP BY factor), q AS (SELECT factor, concat_ws(',', CASE WHEN m <= 0 THEN 'negative' END, CASE WHEN n < 60 THEN 'few_days' END, CASE WHEN p < 0.5 THEN 'unsteady' END) AS reasons FROM m) SELECT factor, reasons, reasons = '' AS accepted FROM q",
 )
-add("k10_farthest_points", lambda s, d: _farthest(s, d, 3))
+add(
+    "k10_farthest_points", lambda s, d: _farthest(s, d, 3),
+    f"""WITH {ALL_IC}, g AS (SELECT a.factor AS f, b.factor AS o, sqrt(sum((a.ic - b.ic) * (a.ic - b.ic))) AS gap FROM ics a JOIN ics b USING (date) GROUP BY ALL), one AS (SELECT min(f) AS f FROM g),
+    two AS (SELECT f FROM g WHERE o = (SELECT f FROM one) AND f <> o ORDER BY gap DESC, f DESC LIMIT 1)
+    SELECT 0 AS place, f AS factor FROM one UNION ALL SELECT 1, f FROM two UNION ALL SELECT 2, f FROM (SELECT DISTINCT f FROM g) WHERE f NOT IN (SELECT f FROM one UNION ALL SELECT f FROM two)""",
+)
 
 
 def _farthest(s, d, k):
@@ -182,7 +193,12 @@ def _farthest(s, d, k):
     return s.createDataFrame(list(enumerate(chosen)), "place int, factor string")
 
 
-add("g28_walk_forward_folds", lambda s, d: _folds(s, d), None)
+add(
+    "g28_walk_forward_folds", lambda s, d: _folds(s, d),
+    f"""WITH {FP}, q AS (SELECT unnest(generate_series(date_trunc('quarter', (SELECT min(date) FROM panel)), (SELECT max(date) FROM panel), INTERVAL 3 MONTH))::DATE AS q),
+    f AS (SELECT q AS test_from, (q - INTERVAL 36 MONTH)::DATE AS train_from FROM q WHERE q - INTERVAL 36 MONTH >= (SELECT min(q) FROM q))
+    SELECT train_from, test_from, count(*) FILTER (WHERE date < test_from) AS n_train, count(*) FILTER (WHERE date >= test_from) AS n_test FROM f JOIN panel ON date >= train_from AND date < test_from + INTERVAL 3 MONTH GROUP BY ALL""",
+)
 
 
 def _folds(s, d):
@@ -233,3 +249,64 @@ add(
     f"WITH {BE} SELECT count(*) AS n_rows, count(*) FILTER (WHERE close IS NULL) AS missing_close, count(*) FILTER (WHERE rate IS NULL) AS missing_rate, count(*) FILTER (WHERE high = low) AS flat, count(*) FILTER (WHERE day < 19728) AS warmup FROM bars",
 )
 add("l11_expanding_splits", lambda s, d: fp(s, d).withColumn("split", F.explode(F.array(*[F.lit(y) for y in (1995, 1996, 1997)]))).groupBy("split").agg(F.count_if(F.year("date") < F.col("split")).alias("n_train"), F.count_if(F.year("date") == F.col("split")).alias("n_test")), f"WITH {FP} SELECT k.split, count(*) FILTER (WHERE year(date) < k.split) AS n_train, count(*) FILTER (WHERE year(date) = k.split) AS n_test FROM panel, (SELECT unnest([1995, 1996, 1997]) AS split) k GROUP BY k.split")
+
+
+def _validated(s, d):
+    cells = lambda x: fp(s, d).select("date", "instrument", "label", F.col(x).alias("factor")).withColumn("factor", F.when(F.col("instrument") % 50 > 0, F.col("factor")))
+    returns = fp(s, d).select("date", "instrument", "ret")
+    one, two = (L.score_validation(cells(x), returns, top_weights(s, d, x), 0.0015, 0.9, x) for x in ("x", "y"))
+    return one.unionByName(two)
+
+
+def _validated_sql(x):
+    return f"""SELECT * FROM (WITH {_LEDGER.replace(WX, _weights_sql(x))}, cov AS (SELECT min(c) AS min_coverage FROM (SELECT count(*) FILTER (WHERE instrument % 50 > 0 AND {x} IS NOT NULL)::DOUBLE / count(*) AS c FROM panel GROUP BY date)),
+    v AS (SELECT date, {x} AS v, label FROM panel WHERE instrument % 50 > 0 AND {x} IS NOT NULL AND label IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY date ORDER BY v) + (count(*) OVER (PARTITION BY date, v) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date ORDER BY label) + (count(*) OVER (PARTITION BY date, label) - 1) / 2.0 AS rl FROM v),
+    ic AS (SELECT avg(c) AS mean_rank_ic FROM (SELECT CASE WHEN count(*) >= 3 AND min(v) < max(v) AND min(label) < max(label) THEN corr(rx, rl) END AS c FROM k GROUP BY date)), sh AS (SELECT avg(net) / stddev_samp(net) AS sharpe FROM wl),
+    g AS (SELECT *, CASE WHEN min_coverage < 0.9 THEN 'coverage' WHEN NOT coalesce(mean_rank_ic > 0, false) THEN 'ic' ELSE 'none' END AS rejected_by FROM cov, ic, sh)
+    SELECT '{x}' AS candidate, {r('min_coverage', 'min_coverage')}, {r('mean_rank_ic', 'mean_rank_ic')}, {r('sharpe', 'sharpe')}, rejected_by, {r("CASE WHEN rejected_by = 'none' THEN sharpe END", 'score')} FROM g)"""
+
+
+add("l08_score_validation", _validated, f"{_validated_sql('x')} UNION ALL {_validated_sql('y')}")
+
+
+def _evaluation_tables(s, d):
+    """The evaluation's tables written, read again and joined."""
+    at, ic = tables.scratch(s, "evaluation"), all_ic(s, d)
+    tables.save_tables({"ic": ic, "summary": ic.groupBy("factor").agg(F.avg("ic").alias("mean"), F.count("ic").alias("n"))}, at)
+    return s.read.parquet(f"{at}/ic").join(s.read.parquet(f"{at}/summary"), "factor").select("factor", "date", (F.col("ic") - F.col("mean")).alias("centred"), "n")
+
+
+add("s20_evaluation_tables", _evaluation_tables, f"WITH {ALL_IC} SELECT factor, date, {r('ic - avg(ic) OVER (PARTITION BY factor)', 'centred')}, count(ic) OVER (PARTITION BY factor) AS n FROM ics")
+
+
+def _dated_csv(s, d):
+    at = tables.scratch(s, "dated")
+    tables.save_dated_csv(fp(s, d).select("date", "instrument", F.col("x").alias("factor")), at)
+    return tables.read_csvs(s, at, "instrument long, factor double, date date")
+
+
+add("s21_dated_factor_csv", _dated_csv, f"WITH {FP} SELECT instrument, date, {r('x', 'factor')} FROM panel")
+
+
+def _style_outputs(s, d):
+    """The residual factor as Parquet, the exposures as CSV, both read again."""
+    at = tables.scratch(s, "style")
+    p = X.regress(fp(s, d), "x", ["w"], out="res")
+    tables.save_tables({"residual": p.select("date", "instrument", F.col("res").alias("factor"))}, at)
+    p.select("date", "instrument", F.col("w").alias("exposure")).write.csv(f"{at}/exposures", header=True)
+    return s.read.parquet(f"{at}/residual").join(tables.read_csvs(s, f"{at}/exposures", "date date, instrument long, exposure double"), ["date", "instrument"])
+
+
+add("s22_style_outputs", _style_outputs, f"WITH {FP}, {_RES} SELECT date, instrument, {r('res', 'factor')}, {r('w', 'exposure')} FROM u")
+add(
+    "x03_timestamp_drift",
+    lambda s, d: _drifted(s, d).withColumn("second", tables.same_second(F.col("ts"))).dropDuplicates(["user_id", "second", "value"]).groupBy("user_id").agg(F.count("*").alias("n")),
+    "SELECT user_id, count(DISTINCT (date_trunc('second', ts), value)) AS n FROM events GROUP BY user_id",
+)
+
+
+def _drifted(s, d):
+    """Events on the full second, and once more up to 0.4 seconds early or late."""
+    e = views.read(s, d, "events").select("user_id", "value", "event_id", F.date_trunc("second", "ts").alias("ts"))
+    late = F.when(F.col("event_id") % 2 == 0, F.col("ts") + F.expr("interval 400 milliseconds")).otherwise(F.col("ts") - F.expr("interval 400 milliseconds"))
+    return e.unionByName(e.withColumn("ts", late))

@@ -147,3 +147,19 @@ def incremental(cached: DataFrame, recomputed: DataFrame, keys: Sequence[str]) -
     j = cached.withColumnRenamed("value", "_old").join(recomputed.withColumnRenamed("value", "_new"), list(keys), "full_outer")
     bad = F.col("_old").isNotNull() & F.col("_new").isNotNull() & (F.abs(F.col("_old") - F.col("_new")) > 1e-9)
     return j.select(*keys, F.when(bad, F.raise_error(F.lit("the recomputed tail differs from the stored values")).cast("double")).otherwise(F.coalesce("_old", "_new")).alias("value"))
+
+
+def save_tables(tables: dict[str, DataFrame], at: str) -> None:
+    """Each table of an evaluation as Parquet under its name."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{at}/{name}")
+
+
+def save_dated_csv(factor: DataFrame, at: str) -> None:
+    """A factor (date, instrument, factor) as CSV files, a folder a date."""
+    factor.repartition("date").write.partitionBy("date").mode("errorifexists").csv(at, header=True)
+
+
+def same_second(ts):
+    """Timestamps within half a second of a full second as that second."""
+    return F.date_trunc("second", ts + F.expr("interval 500 milliseconds"))
