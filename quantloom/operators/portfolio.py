@@ -180,3 +180,16 @@ def greedy_decorrelation(order: Sequence[str], pairs: dict[tuple[str, str], floa
         if all(abs(pairs.get((min(name, k), max(name, k)), 0.0)) < limit for k in kept):
             kept.append(name)
     return kept
+
+
+def average_linkage(names: Sequence[str], pairs: dict[tuple[str, str], float], limit: float) -> list[list[str]]:
+    """Clusters of factors by average linkage on 1 - |correlation|: the closest two are merged while their mean distance is at most
+    the limit; ties go to the names first in order. Pairs without a correlation are 1 apart; the table has a row per pair."""
+    gap = lambda a, b: 1 - abs(pairs.get((min(a, b), max(a, b)), 0.0) or 0.0)
+    groups = [[n] for n in sorted(names)]
+    while len(groups) > 1:
+        d, i, j = min((sum(gap(a, b) for a in g for b in h) / (len(g) * len(h)), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+        if d > limit:
+            break
+        groups[i] = sorted(groups[i] + groups.pop(j))
+    return groups

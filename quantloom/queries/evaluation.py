@@ -207,6 +207,22 @@ add(
     lambda s, d: long_table(s, d).groupBy("factor").agg(F.count("value").alias("covered")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("covered"), "factor"))),
     f"WITH {_LONG}, c AS (SELECT f AS factor, count(v) AS covered FROM l GROUP BY f) SELECT factor, covered, row_number() OVER (ORDER BY covered DESC, factor) AS place FROM c",
 )
+WIDE = ("x", "y", "w", "ret", "funding", "volume", "quote_volume")
+
+
+def _clustered(s, d):
+    """The factor of most values in each cluster of like ones; rows at the driver are factors and pairs of factors."""
+    e = F.explode(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("value")) for c in WIDE]))
+    long = fp(s, d).select("instrument", "date", e.alias("e")).select("instrument", "date", "e.factor", "e.value").filter("value is not null")
+    covered = {r_.factor: r_.n for r_ in long.groupBy("factor").agg(F.count("*").alias("n")).collect()}
+    a, b = (long.select("instrument", "date", F.col("factor").alias(f"factor_{k}"), F.col("value").alias(k)) for k in "ab")
+    pairs = a.join(b, ["instrument", "date"]).filter("factor_a < factor_b").groupBy("factor_a", "factor_b").agg(E.pearson("a", "b").alias("c")).collect()
+    groups = P.average_linkage(list(covered), {(p.factor_a, p.factor_b): p.c for p in pairs}, 0.5)
+    rows = [(k, f, covered[f], f == min(g, key=lambda n: (-covered[n], n))) for k, g in enumerate(groups) for f in g]
+    return s.createDataFrame(rows, "cluster int, factor string, covered long, represents boolean")
+
+
+add("a32_clusters_by_linkage", _clustered)
 add("a33_greedy_decorrelation", lambda s, d: _greedy(s, d), f"WITH {_LONG}, c AS (SELECT a.f AS a, b.f AS b, abs(corr(a.v, b.v)) AS c FROM l a JOIN l b ON a.instrument = b.instrument AND a.date = b.date AND a.f < b.f GROUP BY ALL) SELECT f AS factor FROM (SELECT unnest(['w', 'x', 'y']) AS f) q WHERE f = 'w' OR f = 'x' AND (SELECT c FROM c WHERE a = 'w' AND b = 'x') < 0.3 OR f = 'y' AND (SELECT c FROM c WHERE a = 'w' AND b = 'y') < 0.3 AND ((SELECT c FROM c WHERE a = 'x' AND b = 'y') < 0.3 OR (SELECT c FROM c WHERE a = 'w' AND b = 'x') >= 0.3)")
 
 

@@ -113,3 +113,13 @@ def test_equal_formulas_are_one_object():
     for _ in range(60):  # walked once each, not 2 ** 60 times
         deep = call("add", deep, deep)
     assert len(formula_id(deep)) == 16
+
+
+def test_average_linkage_by_hand():
+    from quantloom.operators.portfolio import average_linkage
+
+    pairs = {("a", "b"): 0.9, ("a", "c"): -0.6, ("b", "c"): 0.4, ("c", "d"): 0.1, ("a", "d"): 0.2, ("b", "d"): None}
+    assert average_linkage("dcba", pairs, 0.2) == [["a", "b"], ["c"], ["d"]]
+    assert average_linkage("dcba", pairs, 0.5) == [["a", "b", "c"], ["d"]]  # c is 0.4 and 0.6 away: 0.5 on average
+    assert average_linkage("dcba", pairs, 1.0) == [["a", "b", "c", "d"]]
+    assert average_linkage([], {}, 0.5) == []
