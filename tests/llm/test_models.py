@@ -164,3 +164,16 @@ def test_pipeline(spark, sf_dir):
     assert abs(words(mixed) - 1.5 * words(near)) <= 30
     final = corpus_pipeline.run(spark, sf_dir)
     assert final.agg(F.max("offset")).first()[0] < 2048 and final.count() >= near.count()
+
+
+def test_pipeline_edges(spark, sf_dir):
+    """Empty tables, null and repeated ids, null texts and columns with the operators' inner names go through every stage."""
+    shape = "doc_id long, text string, lang string, source string, n_chars int, size string, key string, row string, root string"
+    rows = [(None, None, None, None, None), (None, "a b c", "en", "s", 5), (7, "x " * 3000, "en", "s", 6000), (7, "y " * 40, "en", None, 80), (7, "y " * 40, "en", None, 80), (8, "", "de", "t", 0)]
+    for docs in (spark.createDataFrame([], shape), spark.createDataFrame([(*r, "c", "c", "c", "c") for r in rows], shape)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns, name
+            assert out.count() <= 2 * docs.count() and (out.count() > 0) == (docs.count() > 0), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert packed.filter("start = 0").count() == docs.count()
