@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import ann, chat, exact_dedup, filter_audit, mixing, packing, quality, sharding, simhash, token_files, url_filter
+from quantloom.llm import ann, chat, exact_dedup, filter_audit, line_dedup, mixing, packing, quality, sharding, simhash, token_alignment, token_files, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
@@ -22,5 +24,6 @@ ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.OP2_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op8_chat_formatting": chat.OP8_SQL,
+    "op11_line_dedup": line_dedup.OP11_SQL,
     "op13_filter_audit": filter_audit.OP13_SQL,
 }
