@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quantloom.functions.scalar import EPS, clip, safe_div
+from quantloom.functions.scalar import clip, safe_div
 from quantloom.operators import rolling as R
 
 KEY = ("instrument", "date")
@@ -50,87 +50,6 @@ def quantile_mask(minutes: DataFrame, field: str, q: float, high: bool = True) -
     return m.filter(F.col("_p") >= q if high else F.col("_p") <= 1 - q).drop("_p")
 
 
-def single(minutes: DataFrame, least: int = 3, bins: int = 10) -> DataFrame:
-    """Statistics of one variable per period."""
-    at = F.struct("ts", "seq")
-    m = minutes.withColumn("_lag", F.lag("a").over(in_time())).withColumn("_mean", F.avg("a").over(in_period()))
-    low, high = F.min("a").over(in_period()), F.max("a").over(in_period())
-    m = m.withColumn("_bin", F.when(high > low, F.least(F.floor((F.col("a") - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0))
-    share = F.count("*").over(Window.partitionBy(*KEY, "_bin")) / F.count("*").over(in_period())
-    m = m.withColumn("_share", share)
-    crossed = (F.col("a") - F.col("_mean")) * (F.col("_lag") - F.col("_mean")) < 0
-    n, sd = F.count("a"), F.stddev_samp("a")
-    ok = lambda c: F.when(n >= least, c)
-    lagged = F.when(F.col("_lag").isNotNull(), F.col("a"))
-    return m.groupBy(*KEY).agg(
-        n.alias("n"), ok(F.avg("a")).alias("mean"), ok(sd).alias("std"), ok(F.percentile("a", F.lit(0.5))).alias("median"), ok(F.sum("a")).alias("sum"), ok(F.max("a")).alias("max"), ok(F.min("a")).alias("min"),
-        ok(safe_div(F.max_by("a", at) - F.avg("a"), sd)).alias("zscore"), ok(F.max_by("a", at) - F.min_by("a", at)).alias("momentum"),
-        ok(safe_div(F.max_by("a", at) - F.min("a"), F.max("a") - F.min("a"))).alias("range_position"), ok(F.max("a") - F.min("a")).alias("range"),
-        ok(safe_div(F.max_by("a", at), F.min_by("a", at)) - 1).alias("ret"), ok(safe_div(F.covar_samp(lagged, F.col("_lag")), F.stddev_samp(lagged) * F.stddev_samp("_lag"))).alias("autocorr"),
-        ok(-F.sum(F.log("_share")) / n).alias("entropy"), ok(F.count_if(crossed)).alias("zero_cross"), ok(F.min_by("a", at)).alias("first"), ok(F.max_by("a", at)).alias("last"),
-        ok(F.when(sd > EPS, F.skewness("a"))).alias("skew"), F.when((n >= 4) & (sd > EPS), F.kurtosis("a")).alias("kurt"),
-    )
-
-
-def pair(minutes: DataFrame, least: int = 5, shift: int = 0) -> DataFrame:
-    """Statistics of two variables per period; b may be shifted by rows."""
-    m = minutes.withColumn("_b", F.lag("b", shift).over(in_time()) if shift >= 0 else F.lead("b", -shift).over(in_time())).filter("_b is not null and a is not null")
-    for c, r in (("a", "_ra"), ("_b", "_rb")):
-        m = m.withColumn(r, F.rank().over(in_period().orderBy(c)) + (F.count("*").over(Window.partitionBy(*KEY, c)) - 1) / 2)
-    a, b, n = F.col("a"), F.col("_b"), F.count("*")
-    ok = lambda c: F.when(n >= least, c)
-    corr = lambda x, y: safe_div(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
-    slope = safe_div(F.covar_samp("a", "_b"), F.var_samp("_b"))  # of a on b
-    return m.groupBy(*KEY).agg(
-        n.alias("n"), ok(corr("a", "_b")).alias("corr"), ok(slope).alias("slope"), ok(F.avg("a") - slope * F.avg("_b")).alias("intercept"), ok(F.pow(corr("a", "_b"), F.lit(2.0))).alias("r2"),
-        ok(F.sqrt(F.sum((a - b) * (a - b)))).alias("euc_dist"), ok(F.covar_samp("a", "_b")).alias("cov"), ok(safe_div(F.sum(a * b), F.sqrt(F.sum(a * a) * F.sum(b * b)))).alias("cos_sim"),
-        ok(safe_div(F.sum(a * b), F.sum("_b"))).alias("wmean"), ok(corr("_ra", "_rb")).alias("rank_corr"), ok(F.avg(a - b)).alias("diff_mean"), ok(F.stddev_pop("a") - F.stddev_pop("_b")).alias("diff_std"),
-        ok(slope).alias("beta"), ok(F.sqrt(F.greatest(F.var_pop("a") - slope * slope * F.var_pop("_b"), F.lit(0.0)))).alias("residual_std"),
-        ok(safe_div(F.avg("a"), F.avg("_b"))).alias("ratio_mean"), ok(safe_div(F.stddev_pop("a"), F.stddev_pop("_b"))).alias("ratio_std"),
-    )
-
-
-def short_against_long(minutes: DataFrame, n: int, least: int = 5) -> DataFrame:
-    """The last n rows of a period against all of it."""
-    back = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("ts"), F.desc("seq")))
-    m = minutes.withColumn("_s", F.when(back <= n, F.col("a")))
-    ok = lambda c: F.when(F.count("*") >= least, c)
-    return m.groupBy(*KEY).agg(
-        ok(safe_div(F.avg("_s"), F.avg("a"))).alias("mean_ratio"), ok(safe_div(F.stddev_samp("_s"), F.stddev_samp("a"))).alias("std_ratio"), ok(F.avg("_s") - F.avg("a")).alias("mean_diff"),
-        ok(safe_div(F.avg("_s") - F.avg("a"), F.stddev_samp("a"))).alias("zscore_anchor"), ok(safe_div(F.avg("_s") - F.avg("a"), F.stddev_samp("a"))).alias("std_normalized_diff"),
-    )
-
-
-def buckets(minutes: DataFrame, groups: int, clock: bool = False) -> DataFrame:
-    """Means of a (level) and b (key) and the sum of a per bucket: equal counts in order of b (ties keep time order), or equal shares of cumulated |b| in time."""
-    if clock:
-        upto = F.sum(F.abs("b")).over(in_time().rowsBetween(Window.unboundedPreceding, 0))
-        total = F.sum(F.abs("b")).over(in_period())
-        at = F.least(F.floor((upto - F.abs("b")) / total * groups), F.lit(groups - 1))
-        m = minutes.withColumn("bucket", F.when(total > EPS, at).otherwise(0))
-    else:
-        place = F.row_number().over(in_period().orderBy("b", "ts", "seq")) - 1
-        m = minutes.withColumn("bucket", F.floor(place * groups / F.count("*").over(in_period())))
-    return m.groupBy(*KEY, "bucket").agg(F.avg("a").alias("level"), F.avg("b").alias("key"), F.sum("a").alias("total"))
-
-
-def bucket_stats(levels: DataFrame, least: int = 3) -> DataFrame:
-    """Slope, dispersion, path length, first-to-last and early-to-late differences, the largest bucket's share, correlation and
-    slope against b, skew, and the share of outlying buckets over a period's bucket means."""
-    w = Window.partitionBy(*KEY).orderBy("bucket")
-    m = levels.withColumn("_step", F.abs(F.col("level") - F.lag("level").over(w)))
-    half = F.max("bucket").over(in_period()) / 2
-    m = m.withColumn("_early", F.when(F.col("bucket") <= half, F.col("level"))).withColumn("_late", F.when(F.col("bucket") > half, F.col("level")))
-    m = m.withColumn("_jump", (F.abs(F.col("level") - F.avg("level").over(in_period())) > F.stddev_pop("level").over(in_period()) + EPS).cast("int"))
-    ok = lambda c: F.when(F.count("*") >= least, c)
-    return m.groupBy(*KEY).agg(
-        ok(safe_div(F.max("total"), F.sum("total"))).alias("top_share"), ok(safe_div(F.covar_pop("level", "key"), F.stddev_pop("level") * F.stddev_pop("key"))).alias("corr"),
-        ok(safe_div(F.covar_pop("level", "key"), F.var_pop("key"))).alias("beta"), ok(F.when(F.stddev_pop("level") > EPS, F.skewness("level"))).alias("skew"), ok(F.avg("_jump")).alias("jump_ratio"),
-        ok(safe_div(F.covar_samp("level", "bucket"), F.var_samp("bucket"))).alias("slope"), ok(F.stddev_samp("level")).alias("dispersion"), ok(F.sum("_step")).alias("path_length"),
-        ok(F.max_by("level", "bucket") - F.min_by("level", "bucket")).alias("first_last_diff"), ok(F.avg("_early") - F.avg("_late")).alias("early_late_diff"),
-    )
-
-
 def indicators(minutes: DataFrame) -> DataFrame:
     """Per row: return, log of b, b against the period's mean, return so far, and signed flow."""
     before = F.lag("a").over(in_time())
@@ -194,22 +113,6 @@ def followed(df: DataFrame, columns: Sequence[str], start: Callable[[], object],
     return rows.mapInArrow(run, shape)
 
 
-def supertrend(bars: DataFrame, n: int = 5, k: float = 2.0) -> DataFrame:
-    """Trend direction (1, -1) and its trailing stop: bands k ATRs around the middle that only tighten within a trend."""
-    b = R.recursive(bars.withColumn("tr", true_range()), _atr=("tr", 1 / n))
-    b = b.withColumn("_mid", ((F.col("high") + F.col("low")) / 2).cast("double")).withColumn("_close", F.col("close").cast("double"))
-
-    def step(state, mid, atr, close):
-        side, up, down = state
-        low, high = mid - k * (atr or 0.0), mid + k * (atr or 0.0)
-        turned = 1 if close > (high if up is None else up) else -1 if close < (low if down is None else down) else side
-        down = max(low, down) if side == 1 and down is not None else low
-        up = min(high, up) if side == -1 and up is not None else high
-        return (turned, up, down), (turned, down if turned == 1 else up)
-
-    return followed(b, ["_mid", "_atr", "_close"], lambda: (1, None, None), step, "side int, stop double")
-
-
 def placeholders(bars: DataFrame) -> DataFrame:
     """Bars without volume whose four prices are one."""
     return bars.filter("volume = 0 and open = high and high = low and low = close")
@@ -230,28 +133,3 @@ def lagged_size(panel: DataFrame, size: str, turnover: str, cap: str, n: int = 2
     z = safe_div(F.col(size) - R.ts_mean(size, n), R.ts_std(size, n))
     before = panel.select("instrument", (F.col("day") + 1).alias("day"), F.col(size).alias("size"), rank.alias("size_rank"), z.alias("size_z"), (F.col(turnover) / F.col(cap)).alias("turn"))
     return panel.select("instrument", "day", "date").join(before, ["instrument", "day"], "left").drop("day")
-
-
-def chandelier(bars: DataFrame, n: int = 10, k: float = 3.0) -> DataFrame:
-    """Trailing stops below the window's highest high and above its lowest low."""
-    b = bars.withColumn("tr", true_range())
-    atr = R.ts_mean("tr", n)
-    return b.select(*KEY, (R.ts_max("high", n) - k * atr).alias("long_stop"), (R.ts_min("low", n) + k * atr).alias("short_stop"))
-
-
-def parabolic(bars: DataFrame, step: float = 0.02, most: float = 0.2) -> DataFrame:
-    """Parabolic stop and reverse, one state a day."""
-
-    def fold(state, high, low):
-        side, stop, best, speed = state
-        stop = low if stop is None else stop + speed * (best - stop)
-        best = high if best is None else best
-        if low < stop if side == 1 else high > stop:  # the stop is hit: the other side starts from the best price so far
-            state = -side, best, high if side == -1 else low, step
-        else:
-            further = high > best if side == 1 else low < best
-            state = side, stop, max(best, high) if side == 1 else min(best, low), min(speed + step, most) if further else speed
-        return state, state[:2]
-
-    b = bars.select(*KEY, "day", F.col("high").cast("double").alias("high"), F.col("low").cast("double").alias("low"))
-    return followed(b, ["high", "low"], lambda: (1, None, None, step), fold, "side int, stop double")

@@ -1,4 +1,4 @@
 """All queries over the panel views, and their SQL."""
 
-from quantloom.queries import cross_section, evaluation, factors, intraday, joins, more, rolling, tables  # noqa: F401
+from quantloom.queries import cross_section, daily, evaluation, factors, intraday, joins, minute_stats, models, more, rolling, stores, tables  # noqa: F401
 from quantloom.queries.common import QUERIES, SQL  # noqa: F401

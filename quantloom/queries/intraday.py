@@ -27,37 +27,7 @@ add("m01_period_resample", lambda s, d: M.resample(minutes(s, d)), f"""WITH {MIN
   SELECT {K}, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')}, n, CASE WHEN lag(close) OVER w IS NOT NULL THEN {r('greatest(least(close / lag(close) OVER w - 1, 5.0), -0.5)', 'x').removesuffix(' AS x')} END AS ret FROM g WINDOW w AS (PARTITION BY instrument ORDER BY date)""")
 add("m02_last_minutes", lambda s, d: M.last_minutes(minutes(s, d), 3).groupBy("instrument", "date").agg(F.avg("a").alias("mean")), f"WITH {MIN}, l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY {K} ORDER BY ts DESC, seq DESC) <= 3) SELECT {K}, {r('avg(a)', 'mean')} FROM l GROUP BY ALL")
 add("m03_quantile_mask", lambda s, d: M.quantile_mask(minutes(s, d), "b", 0.7).groupBy("instrument", "date").agg(F.count("*").alias("n"), F.sum("a").alias("total")), f"WITH {MIN}, l AS (SELECT * FROM m QUALIFY percent_rank() OVER (PARTITION BY {K} ORDER BY b, ts, seq) >= 0.7) SELECT {K}, count(*) AS n, {r('sum(a)', 'total')} FROM l GROUP BY ALL")
-_SD, _LAST, _FIRST = "stddev_samp(a)", "max_by(a, (ts, seq))", "min_by(a, (ts, seq))"
-add(
-    "m04_single_variable_statistics", lambda s, d: M.single(minutes(s, d)),
-    f"""WITH {MIN}, l AS (SELECT *, lag(a) OVER (PARTITION BY {K} ORDER BY ts, seq) AS p, avg(a) OVER (PARTITION BY {K}) AS mu, min(a) OVER (PARTITION BY {K}) AS lo, max(a) OVER (PARTITION BY {K}) AS hi FROM m),
-    b AS (SELECT *, CASE WHEN hi > lo THEN least(floor((a - lo) / (hi - lo) * 10), 9) ELSE 0 END AS bin FROM l), q AS (SELECT *, count(*) OVER (PARTITION BY {K}, bin)::DOUBLE / count(*) OVER (PARTITION BY {K}) AS sh, CASE WHEN p IS NOT NULL THEN a END AS y FROM b)
-    SELECT {K}, count(a) AS n, {r(ok('avg(a)'), 'mean')}, {r(ok(_SD), 'std')}, {r(ok('median(a)'), 'median')}, {r(ok('sum(a)'), 'sum')}, {r(ok('max(a)'), 'max')}, {r(ok('min(a)'), 'min')},
-    {r(ok(f'CASE WHEN {_SD} > 1e-12 THEN ({_LAST} - avg(a)) / {_SD} END'), 'zscore')}, {r(ok(f'{_LAST} - {_FIRST}'), 'momentum')}, {r(ok(f'CASE WHEN max(a) - min(a) > 1e-12 THEN ({_LAST} - min(a)) / (max(a) - min(a)) END'), 'range_position')}, {r(ok('max(a) - min(a)'), 'range')},
-    {r(ok(f'{_LAST} / {_FIRST} - 1'), 'ret')}, {r(ok('CASE WHEN stddev_samp(y) * stddev_samp(p) > 1e-12 THEN covar_samp(y, p) / (stddev_samp(y) * stddev_samp(p)) END'), 'autocorr')}, {r(ok('-sum(ln(sh)) / count(a)'), 'entropy')}, {ok('count(*) FILTER (WHERE (a - mu) * (p - mu) < 0)')} AS zero_cross,
-    {r(ok(_FIRST), 'first')}, {r(ok(_LAST), 'last')}, {r(ok(f'CASE WHEN {_SD} > 1e-12 THEN avg(pow(a - mu, 3)) / pow(var_pop(a), 1.5) END'), 'skew')}, {r(ok(f'CASE WHEN {_SD} > 1e-12 THEN avg(pow(a - mu, 4)) / pow(var_pop(a), 2) - 3 END', 4), 'kurt')} FROM q GROUP BY ALL""",
-)
-_CORR = "covar_samp({0}, {1}) / (stddev_samp({0}) * stddev_samp({1}))"
-_SLOPE = "CASE WHEN var_samp(q) > 1e-12 THEN covar_samp(a, q) / var_samp(q) END"
-for _name, _shift, _lagged in (("m05_pair_statistics", 0, "b"), ("m05_pair_statistics_shifted", 2, f"lag(b, 2) OVER (PARTITION BY {K} ORDER BY ts, seq)")):
-    add(
-        _name, lambda s, d, k=_shift: M.pair(minutes(s, d), 5, k),
-        f"""WITH {MIN}, v AS (SELECT *, {_lagged} AS q FROM m), l AS (SELECT * FROM v WHERE q IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY {K} ORDER BY a) + (count(*) OVER (PARTITION BY {K}, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY {K} ORDER BY q) + (count(*) OVER (PARTITION BY {K}, q) - 1) / 2.0 AS rb FROM l)
-        SELECT {K}, count(*) AS n, {r(ok(_CORR.format('a', 'q'), 5), 'corr')}, {r(ok(_SLOPE, 5), 'slope')}, {r(ok(f'avg(a) - ({_SLOPE}) * avg(q)', 5), 'intercept')}, {r(ok('pow(' + _CORR.format('a', 'q') + ', 2)', 5), 'r2')}, {r(ok('sqrt(sum((a - q) * (a - q)))', 5), 'euc_dist')},
-        {r(ok('covar_samp(a, q)', 5), 'cov')}, {r(ok('sum(a * q) / sqrt(sum(a * a) * sum(q * q))', 5), 'cos_sim')}, {r(ok('sum(a * q) / sum(q)', 5), 'wmean')}, {r(ok(_CORR.format('ra', 'rb'), 5), 'rank_corr')}, {r(ok('avg(a - q)', 5), 'diff_mean')}, {r(ok('stddev_pop(a) - stddev_pop(q)', 5), 'diff_std')},
-        {r(ok(_SLOPE, 5), 'beta')}, {r(ok(f'sqrt(greatest(var_pop(a) - pow({_SLOPE}, 2) * var_pop(q), 0))', 5), 'residual_std')}, {r(ok('CASE WHEN abs(avg(q)) > 1e-12 THEN avg(a) / avg(q) END', 5), 'ratio_mean')}, {r(ok('CASE WHEN stddev_pop(q) > 1e-12 THEN stddev_pop(a) / stddev_pop(q) END', 5), 'ratio_std')} FROM k GROUP BY ALL""",
-    )
-add(
-    "m06_short_against_long", lambda s, d: M.short_against_long(minutes(s, d), 3),
-    f"WITH {MIN}, l AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY {K} ORDER BY ts DESC, seq DESC) <= 3 THEN a END AS s FROM m) SELECT {K}, {r(ok('avg(s) / avg(a)', 5), 'mean_ratio')}, {r(ok('stddev_samp(s) / stddev_samp(a)', 5), 'std_ratio')}, {r(ok('avg(s) - avg(a)', 5), 'mean_diff')}, {r(ok('(avg(s) - avg(a)) / stddev_samp(a)', 5), 'zscore_anchor')}, {r(ok('(avg(s) - avg(a)) / stddev_samp(a)', 5), 'std_normalized_diff')} FROM l GROUP BY ALL",
-)
-_STATS = f"""k AS (SELECT *, abs(level - lag(level) OVER (PARTITION BY {K} ORDER BY bucket)) AS step, max(bucket) OVER (PARTITION BY {K}) / 2.0 AS half, avg(level) OVER (PARTITION BY {K}) AS mu, stddev_pop(level) OVER (PARTITION BY {K}) AS sd FROM g)
-  SELECT {K}, {r(ok('CASE WHEN var_samp(bucket) > 1e-12 THEN covar_samp(level, bucket) / var_samp(bucket) END'), 'slope')}, {r(ok('stddev_samp(level)'), 'dispersion')}, {r(ok('sum(step)'), 'path_length')}, {r(ok('max_by(level, bucket) - min_by(level, bucket)'), 'first_last_diff')},
-  {r(ok('avg(CASE WHEN bucket <= half THEN level END) - avg(CASE WHEN bucket > half THEN level END)'), 'early_late_diff')},
-  {r(ok('CASE WHEN abs(sum(total)) > 1e-12 THEN max(total) / sum(total) END'), 'top_share')}, {r(ok('CASE WHEN stddev_pop(level) * stddev_pop(key) > 1e-12 THEN covar_pop(level, key) / (stddev_pop(level) * stddev_pop(key)) END'), 'corr')},
-  {r(ok('CASE WHEN var_pop(key) > 1e-12 THEN covar_pop(level, key) / var_pop(key) END'), 'beta')}, {r(ok('CASE WHEN stddev_pop(level) > 1e-12 THEN avg(pow(level - mu, 3)) / pow(var_pop(level), 1.5) END'), 'skew')}, {r(ok('avg((abs(level - mu) > sd + 1e-12)::INT)'), 'jump_ratio')} FROM k GROUP BY ALL"""
-add("m07_sorted_bucket_statistics", lambda s, d: M.bucket_stats(M.buckets(minutes(s, d), 4)), f"WITH {MIN}, l AS (SELECT *, (row_number() OVER (PARTITION BY {K} ORDER BY b, ts, seq) - 1) * 4 // count(*) OVER (PARTITION BY {K}) AS bucket FROM m), g AS (SELECT {K}, bucket, avg(a) AS level, avg(b) AS key, sum(a) AS total FROM l GROUP BY ALL), {_STATS}")
-add("m08_volume_clock_statistics", lambda s, d: M.bucket_stats(M.buckets(minutes(s, d), 4, True)), f"WITH {MIN}, l AS (SELECT *, least(floor((sum(b) OVER (PARTITION BY {K} ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) - b) / sum(b) OVER (PARTITION BY {K}) * 4), 3) AS bucket FROM m), g AS (SELECT {K}, bucket, avg(a) AS level, avg(b) AS key, sum(a) AS total FROM l GROUP BY ALL), {_STATS}")
+_LAST, _FIRST = "max_by(a, (ts, seq))", "min_by(a, (ts, seq))"
 add("m09_minute_indicators", lambda s, d: M.indicators(minutes(s, d)).select("seq", "ret", "log_b", "intensity", "cum_return", "signed_flow"), f"""WITH {MIN}, l AS (SELECT *, a / lag(a) OVER t - 1 AS ret, first_value(a) OVER t AS f FROM m WINDOW t AS (PARTITION BY {K} ORDER BY ts, seq))
   SELECT seq, {r('ret', 'ret')}, {r('ln(1 + b)', 'log_b')}, {r(f'b / avg(b) OVER (PARTITION BY {K})', 'intensity')}, {r('a / f - 1', 'cum_return')}, {r('sign(coalesce(ret, 0)) * b', 'signed_flow')} FROM l""")
 _H = "hour(ts) + minute(ts) / 60.0"
@@ -100,16 +70,6 @@ add(
     {r(f'CASE WHEN count(close) OVER {over(5)} >= 5 THEN 100 * (close - min(low) OVER {over(5)}) / (max(high) OVER {over(5)} - min(low) OVER {over(5)}) END', 'stochastic')},
     {r('CASE WHEN len(w5) >= 5 THEN (tp - list_avg(w5)) / (0.015 * list_avg(list_transform(w5, lambda x: abs(x - list_avg(w5))))) END', 'cci')}, {r(f"macd - {folded('lm', 0.5)}", 'macd')} FROM f""",
 )
-_ATR = f"""{views.BARS_MO}, p AS (SELECT *, max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS pc, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars),
-  t AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM p), l AS (SELECT *, {listed('tr')} AS lt FROM t)"""
-add(
-    "m16_supertrend", lambda s, d: M.supertrend(views.bars_mo(s, d)),
-    f"""WITH RECURSIVE {_ATR}, b AS (SELECT instrument, date, k, close, (high + low) / 2 - 2 * {folded('lt', 0.2)} AS lo, (high + low) / 2 + 2 * {folded('lt', 0.2)} AS hi FROM l),
-    s AS (SELECT instrument, date, k, CASE WHEN close > hi THEN 1 WHEN close < lo THEN -1 ELSE 1 END AS side, hi AS up, lo AS down FROM b WHERE k = 1
-      UNION ALL SELECT b.instrument, b.date, b.k, CASE WHEN close > s.up THEN 1 WHEN close < s.down THEN -1 ELSE s.side END, CASE WHEN s.side = -1 THEN least(hi, s.up) ELSE hi END, CASE WHEN s.side = 1 THEN greatest(lo, s.down) ELSE lo END
-      FROM s JOIN b ON b.instrument = s.instrument AND b.k = s.k + 1)
-    SELECT instrument, date, side, {r('CASE WHEN side = 1 THEN down ELSE up END', 'stop')} FROM s""",
-)
 add("m16_days_since_change", lambda s, d: M.days_since_change(views.factor_panel(s, d).withColumn("state", F.when(F.col("ret") > 0, 1).otherwise(0)), "state").select("instrument", "date", "since"), f"""WITH {views.FACTOR_PANEL}, t AS (SELECT *, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS st FROM panel), c AS (SELECT *, coalesce(st <> lag(st) OVER w, true)::INT AS ch FROM t WINDOW w AS (PARTITION BY instrument ORDER BY date)), k AS (SELECT *, sum(ch) OVER (PARTITION BY instrument ORDER BY date) AS run FROM c)
   SELECT instrument, date, row_number() OVER (PARTITION BY instrument, run ORDER BY date) - 1 AS since FROM k""")
 add("m17_named_signals", lambda s, d: M.technical(views.bars_mo(s, d)).select("instrument", "date", (F.col("rsi") > 70).cast("int").alias("overbought"), (F.col("rsi") < 30).cast("int").alias("oversold"), F.signum("macd").cast("int").alias("macd_side"), (F.abs("cci") > 100).cast("int").alias("breakout")), f"""{_TECH} SELECT instrument, date, (CASE WHEN ru + rd > 1e-12 THEN 100 * ru / (ru + rd) END > 70)::INT AS overbought, (CASE WHEN ru + rd > 1e-12 THEN 100 * ru / (ru + rd) END < 30)::INT AS oversold, sign(macd - {folded('lm', 0.5)})::INT AS macd_side,

@@ -87,17 +87,6 @@ add(
     i AS (SELECT date, corr(rx, rl) AS a, corr(rr, rl) AS b FROM k GROUP BY date) SELECT date_trunc('quarter', date)::DATE AS quarter, {r('avg(a)', 'raw')}, {r('avg(b)', 'residual')} FROM i GROUP BY 1""",
 )
 add("m12_style_residual_features", lambda s, d: X.regress(fp(s, d), "ret", ["x", "y", "w"], ridge=1e-6).select("instrument", "date", "value"))
-add("m16_chandelier", lambda s, d: M.chandelier(views.bars_mo(s, d)), f"""WITH {MO}, t AS (SELECT *, greatest(high - low, abs(high - p), abs(low - p)) AS tr FROM (SELECT *, max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS p FROM bars)), a AS (SELECT *, CASE WHEN count(tr) OVER {over(10)} >= 10 THEN avg(tr) OVER {over(10)} END AS atr, CASE WHEN count(high) OVER {over(10)} >= 10 THEN max(high) OVER {over(10)} END AS hh, CASE WHEN count(low) OVER {over(10)} >= 10 THEN min(low) OVER {over(10)} END AS ll FROM t)
-  SELECT instrument, date, {r('hh - 3 * atr', 'long_stop')}, {r('ll + 3 * atr', 'short_stop')} FROM a""")
-add(
-    "m16_parabolic_stop", lambda s, d: M.parabolic(views.bars_mo(s, d)),
-    f"""WITH RECURSIVE {MO}, b AS (SELECT instrument, date, high::DOUBLE AS h, low::DOUBLE AS l, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars),
-    s AS (SELECT instrument, date, k, 1 AS side, l AS stop, h AS best, 0.02::DOUBLE AS speed FROM b WHERE k = 1
-      UNION ALL SELECT instrument, date, k, CASE WHEN hit THEN -side ELSE side END, CASE WHEN hit THEN best ELSE nx END,
-        CASE WHEN hit AND side = -1 THEN h WHEN hit THEN l WHEN side = 1 THEN greatest(best, h) ELSE least(best, l) END, CASE WHEN hit THEN 0.02 WHEN CASE WHEN side = 1 THEN h > best ELSE l < best END THEN least(speed + 0.02, 0.2) ELSE speed END
-      FROM (SELECT b.instrument, b.date, b.k, h, l, side, best, speed, stop + speed * (best - stop) AS nx, CASE WHEN side = 1 THEN l < stop + speed * (best - stop) ELSE h > stop + speed * (best - stop) END AS hit FROM s JOIN b ON b.instrument = s.instrument AND b.k = s.k + 1))
-    SELECT instrument, date, side, {r('stop', 'stop')} FROM s""",
-)
 add(
     "a45_five_objective_score",
     lambda s, d: _objectives(s, d),
@@ -223,13 +212,9 @@ add("x08_stream_checkpoints", lambda s, d: _checkpoints(s, d), "SELECT user_id A
 
 
 def _checkpoints(s, d):
-    """Per-symbol progress kept by a stream: each batch writes its own partition, and the newest value of a key counts."""
-
-    def write(df, batch, path):
-        jobs.overwrite_batch(df.groupBy(F.col("user_id").alias("instrument")).agg(F.max("event_id").alias("last_event"), F.count("*").alias("n")), batch, path)
-
-    at = jobs.run_batches(jobs.source(s, f"{d}/events.parquet").select("user_id", "event_id"), "progress", write)
-    return s.read.parquet(at).groupBy("instrument").agg(F.max("last_event").alias("last_event"), F.sum("n").alias("n"))
+    """Per-symbol progress kept by a stream: each batch writes a snapshot of it, from the one before."""
+    at = jobs.run_batches(jobs.source(s, f"{d}/events.parquet").select("user_id", "event_id"), "progress", jobs.progress)
+    return jobs.newest(s, at, jobs.PROGRESS)
 
 
 add("l06_prepare_fold", lambda s, d: model_data(s, d).filter("date < date'1997-01-01' and target is not null and present").groupBy("date").agg(F.count("*").alias("n")).filter("n >= 20"), f"WITH {FP}, t AS (SELECT *, CASE WHEN count(label) OVER {D} >= 20 THEN label END AS target FROM panel) SELECT date, count(*) AS n FROM t WHERE eligible AND target IS NOT NULL AND date < DATE '1997-01-01' GROUP BY date HAVING count(*) >= 20")

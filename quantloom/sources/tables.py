@@ -32,10 +32,13 @@ METADATA = TableSpec("metadata", _schema("key string, value string, updated_at t
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; a folder of our own only where it names none."""
+    """A new path in the shared folder that the session names; a folder of our own only in a local session that names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 

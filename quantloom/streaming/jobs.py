@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quantloom.sources.tables import scratch
+from quantloom.sources.tables import same_second, scratch
 
 DELAY = "1 day"
 
@@ -20,8 +20,8 @@ def source(spark: SparkSession, path: str) -> DataFrame:
 
 
 def deduplicated(stream: DataFrame, keys: list[str], delay: str = DELAY) -> DataFrame:
-    """One row per key within the watermark, times rounded to the second first."""
-    return stream.withColumn("ts", F.date_trunc("second", "ts")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    """One row per key within the watermark, times rounded to the nearest second first."""
+    return stream.withColumn("ts", same_second(F.col("ts"))).withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def tumbling(stream: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -44,26 +44,51 @@ def bars(stream: DataFrame, delay: str = DELAY) -> DataFrame:
     return b.select(F.to_date("w.start").alias("date"), "instrument", "open", "high", "low", "close", "volume")
 
 
+def snapshot(spark: SparkSession, path: str, before: int | None, shape: str) -> DataFrame:
+    """The states that the batch before left, one row per key; none before the first batch."""
+    if before is None or before < 0:
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).parquet(f"{path}/batch={before}")
+
+
+MEANS = "instrument long, level double, n long"
+
+
 def running_mean(df: DataFrame, weight: float, batch: int, path: str) -> None:
-    """Writes a batch's new states (instrument, level, n) of a recursive mean per instrument: the newest states of earlier batches,
-    carried over the batch's rows in event time. A row's weight follows from the number of rows after it, so the batch is one
-    window and one sum. Written again after a failure, a batch gives the same states."""
+    """Writes the states (instrument, level, n) of a recursive mean per instrument after a batch: those of the batch before, carried
+    over the batch's rows in event time. A row's weight follows from the number of rows after it, so the batch is one window
+    and one sum. A batch reads one earlier snapshot and writes its own; written again after a failure, it is the same."""
     spark = df.sparkSession
     w = Window.partitionBy("instrument").orderBy("ts", "event_id")
     rows = df.select(F.col("user_id").alias("instrument"), "ts", "event_id", "value").withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy("instrument")))
     left = F.pow(F.lit(1 - weight), F.col("_n") - F.col("_i"))
     new = rows.groupBy("instrument").agg(F.sum(weight * left * F.col("value")).alias("_sum"), F.max(F.when(F.col("_i") == 1, (1 - weight) * left * F.col("value"))).alias("_first"), F.count("*").alias("_k"))
-    shape = "instrument long, level double, n long, batch long"
-    old = (spark.read.schema(shape).parquet(path) if batch else spark.createDataFrame([], shape)).filter(F.col("batch") < batch)
-    old = old.groupBy("instrument").agg(F.max_by(F.struct("level", "n"), "batch").alias("_s"))
-    met = new.join(old, "instrument", "left")
-    level = F.col("_sum") + F.coalesce(F.col("_s.level") * F.pow(F.lit(1 - weight), "_k"), F.col("_first"))
-    overwrite_batch(met.select("instrument", level.alias("level"), (F.coalesce("_s.n", F.lit(0)) + F.col("_k")).alias("n")), batch, path)
+    met = snapshot(spark, path, batch - 1, MEANS).join(new, "instrument", "full")
+    level = F.col("_sum") + F.coalesce(F.col("level") * F.pow(F.lit(1 - weight), "_k"), F.col("_first"))
+    overwrite_batch(met.select("instrument", F.coalesce(level, "level").alias("level"), (F.coalesce("n", F.lit(0)) + F.coalesce("_k", F.lit(0))).alias("n")), batch, path)
+
+
+PROGRESS = "instrument long, last_event long, n long"
 
 
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """Each instrument's newest state."""
-    return spark.read.parquet(path).groupBy("instrument").agg(F.max_by(F.struct("level", "n"), "batch").alias("s")).select("instrument", "s.level", "s.n")
+def progress(df: DataFrame, batch: int, path: str) -> None:
+    """Writes per instrument the last event and the number of events so far, merged with the batch before."""
+    new = df.groupBy(F.col("user_id").alias("instrument")).agg(F.max("event_id").alias("last_event"), F.count("*").alias("n"))
+    both = snapshot(df.sparkSession, path, batch - 1, PROGRESS).unionByName(new)
+    overwrite_batch(both.groupBy("instrument").agg(F.max("last_event").alias("last_event"), F.sum("n").alias("n")), batch, path)
+
+
+def newest(spark: SparkSession, path: str, shape: str = MEANS) -> DataFrame:
+    """Each instrument's newest state: the last batch's snapshot. Only the names of the batches are listed."""
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    return snapshot(spark, path, last, shape)
+
+
+def drain(stream: DataFrame, out: str, state: str) -> list[dict]:
+    """Process what is there into Parquet, from where the checkpoint left off; the progress of each micro-batch."""
+    q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    return [dict(p) for p in q.recentProgress]
 
 
 def run(stream: DataFrame, name: str) -> DataFrame:

@@ -131,6 +131,11 @@ def bars_wk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _periods(spark, sf_dir, F.floor(F.col("l_suppkey") / 5), week, F.floor((F.unix_date("date") - 4) / 7).cast("int"))
 
 
+def bars_dy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars nearly without gaps: instruments are groups of 25 suppliers, `day` is days since 1970."""
+    return _periods(spark, sf_dir, F.floor(F.col("l_suppkey") / 25), F.to_date("l_shipdate"), F.unix_date("date"))
+
+
 _AT = "(l_shipdate, l_orderkey, l_linenumber)"
 
 
@@ -152,6 +157,7 @@ def _periods_sql(instrument: str, date: str, day: str) -> str:
 
 
 BARS_MO = _periods_sql("l_suppkey", "date_trunc('month', l_shipdate)::DATE", "year(period) * 12 + month(period)")
+BARS_DY = _periods_sql("l_suppkey // 25", "l_shipdate::DATE", "(period - DATE '1970-01-01')")
 BARS_WK = _periods_sql("l_suppkey // 5", "date_trunc('week', l_shipdate)::DATE", "(period - DATE '1970-01-05') // 7")
 
 
