@@ -100,31 +100,6 @@ def orders(targets: DataFrame, prices: DataFrame, fee: float, slippage: float) -
     return q.select("date", "instrument", F.when(F.col("order_quantity") > 0, "buy").otherwise("sell").alias("side"), "order_quantity", notional.alias("notional"), (notional * fee).alias("fee"), (notional * slippage).alias("slippage"))
 
 
-def coin_betas(panel: DataFrame, n: int, least: int, benchmark: str = "market", out: str = "beta") -> DataFrame:
-    return panel.withColumn(out, R.ts_beta("ret", benchmark, n, least))
-
-
-def funding_allowed(panel: DataFrame, events: DataFrame, days: int, q: float, least: int = 3) -> DataFrame:
-    """Per cell: may it be held: at least `least` events in the last `days` days, and the day's mean rate (or else the last
-    one) not above their q quantile. Events are summed to arrays per day first, so the window spans days and not events."""
-    per = events.groupBy("instrument", "day").agg(F.sort_array(F.collect_list("rate")).alias("rates"), F.avg("rate").alias("mean_rate"), F.max_by("rate", F.struct("ts", "event_id")).alias("last_rate"))
-    j = panel.select("instrument", "day", "date").join(per, ["instrument", "day"], "left")
-    w = R.window(days)
-    seen = F.array_sort(F.flatten(F.collect_list("rates").over(w)))
-    j = j.withColumn("_seen", seen).withColumn("_last", F.last("last_rate", ignorenulls=True).over(w))
-    n = F.size("_seen")
-    at = F.lit(q) * (n - 1) + 1
-    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    cut = F.try_element_at("_seen", low) + (at - low) * (F.try_element_at("_seen", high) - F.try_element_at("_seen", low))
-    return j.select("instrument", "date", F.when(n < least, False).otherwise(F.coalesce("mean_rate", "_last") <= cut).alias("allowed"), n.alias("n_events"))
-
-
-def squeeze_flags(panel: DataFrame, threshold: float, k: float, n: int) -> DataFrame:
-    """Cells with a return above the threshold on more than k times the mean volume of the n days before."""
-    before = F.avg("volume").over(Window.partitionBy("instrument").orderBy("day").rangeBetween(-n, -1))
-    return panel.withColumn("flag", F.coalesce((F.col("ret") > threshold) & (F.col("volume") > k * before), F.lit(False)))
-
-
 def short_list(panel: DataFrame, directions: dict[str, int], n: int) -> DataFrame:
     """The n instruments of each date with the smallest sums of directed ranks."""
     day = Window.partitionBy("date")
@@ -139,12 +114,6 @@ def short_list(panel: DataFrame, directions: dict[str, int], n: int) -> DataFram
     return p.withColumn("place", F.row_number().over(day.orderBy("score", "instrument"))).filter(F.col("place") <= n)
 
 
-def trend_score(series: DataFrame, fast: int, slow: int, value: str = "close") -> DataFrame:
-    """tanh of the gap between two recursive means of one series per instrument."""
-    series = R.recursive(series, _fast=(value, 2 / (fast + 1)), _slow=(value, 2 / (slow + 1)))
-    return series.withColumn("score", F.tanh(10 * safe_div(F.col("_fast") - F.col("_slow"), "_slow"))).drop("_fast", "_slow")
-
-
 def exposure(score, low: float, high: float):
     """A score in -1..1 mapped to an exposure between bounds."""
     return clip(low + (high - low) * (F.col(score) + 1) / 2, low, high)

@@ -359,19 +359,7 @@ add(
 )
 add("b05_member_targets", lambda s, d: P.member_targets(fp(s, d), "label", 60, top_weights(s, d)).select("date", "instrument", "weight", "reason"), f"WITH {FP}, q AS (SELECT date, CASE WHEN count(label) < 60 THEN 'too_few' WHEN coalesce(max(label) - min(label), 0) <= 1e-12 THEN 'no_spread' ELSE 'valid' END AS reason FROM panel GROUP BY date) SELECT date, instrument, {r('CASE WHEN reason = ' + chr(39) + 'valid' + chr(39) + ' THEN weight ELSE 0 END', 'weight')}, reason FROM {WX} JOIN q USING (date) WHERE weight IS NOT NULL")
 add("b07_composite_targets", lambda s, d: X.target_weights(X.assign_groups(X.composite(fp(s, d), {"x": 0.5, "y": 0.5}, "c").withColumn("c", F.round("c", 9)), "c", 5, "g"), "g").filter("value <> 0").select("date", "instrument", F.col("value").alias("weight")), f"WITH {FP}, z AS (SELECT *, round(0.5 * (x - avg(x) OVER {D}) / stddev_pop(x) OVER {D} + 0.5 * (y - avg(y) OVER {D}) / stddev_pop(y) OVER {D}, 9) AS c FROM panel) SELECT date, instrument, {r('weight', 'weight')} FROM {_weights_sql('c').replace('FROM panel', 'FROM z')} WHERE weight IS NOT NULL")
-add("b08_coin_betas", lambda s, d: P.coin_betas(fp(s, d).withColumn("market", F.avg("ret").over(X.by_date())), 20, 10).select("instrument", "date", "beta"), f"WITH {FP}, m AS (SELECT *, CASE WHEN ret IS NOT NULL THEN avg(ret) OVER {D} END AS mkt FROM panel) SELECT instrument, date, {r('CASE WHEN count(ret) OVER w >= 10 AND var_samp(mkt) OVER w > 1e-12 THEN covar_samp(mkt, ret) OVER w / var_samp(mkt) OVER w END', 'beta')} FROM m WINDOW w AS (PARTITION BY instrument ORDER BY day RANGE BETWEEN 19 PRECEDING AND CURRENT ROW)")
-_LIST = "list(close::DOUBLE) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-add(
-    "b09_trend_score", lambda s, d: P.trend_score(fp(s, d), 3, 12).select("instrument", "date", "score"),
-    f"WITH {FP}, l AS (SELECT instrument, date, {_LIST} AS a FROM panel), e AS (SELECT *, list_reduce(a, lambda s, y: s * 0.5 + y * 0.5) AS f, list_reduce(a, lambda s, y: s * {1 - 2 / 13!r} + y * {2 / 13!r}) AS g FROM l) SELECT instrument, date, {r('tanh(10 * (f - g) / g)', 'score')} FROM e",
-)
 add("b10_exposure_map", lambda s, d: fp(s, d).select("instrument", "date", P.exposure("label", 0.2, 1.0).alias("exposure")), f"WITH {FP} SELECT instrument, date, {r('CASE WHEN label IS NOT NULL THEN greatest(least(0.2 + 0.8 * (label + 1) / 2, 1.0), 0.2) END', 'exposure')} FROM panel")
-add(
-    "b11_funding_allowed", lambda s, d: P.funding_allowed(be(s, d), views.flows_ev(s, d).filter("kind = 'error'"), 10, 0.8),
-    f"""WITH {BE}, {FL}, e AS (SELECT * FROM flows WHERE kind = 'error'), p AS (SELECT b.instrument, b.date, count(e.rate) AS n, quantile_cont(e.rate, 0.8) AS cut, max_by(e.rate, (e.ts, e.event_id)) AS last, avg(CASE WHEN e.day = b.day THEN e.rate END) AS m FROM bars b LEFT JOIN e ON e.instrument = b.instrument AND e.day BETWEEN b.day - 9 AND b.day GROUP BY b.instrument, b.date)
-    SELECT instrument, date, CASE WHEN n < 3 THEN false ELSE coalesce(m, last) <= cut END AS allowed, n::INT AS n_events FROM p""",
-)
-add("b12_squeeze_flags", lambda s, d: P.squeeze_flags(fp(s, d), 0.3, 1.2, 6).select("instrument", "date", "flag"), f"WITH {FP} SELECT instrument, date, coalesce(ret > 0.3 AND volume > 1.2 * avg(volume) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 6 PRECEDING AND 1 PRECEDING), false) AS flag FROM panel")
 _TURN = f"""{FP}, t AS (SELECT date, row_number() OVER (ORDER BY date) AS turn FROM (SELECT DISTINCT date FROM {WX} WHERE weight IS NOT NULL)), w AS (SELECT turn, instrument, weight FROM {WX} JOIN t USING (date) WHERE weight IS NOT NULL),
   mv AS (SELECT coalesce(a.turn, b.turn + 1) AS turn, coalesce(a.weight, 0) - coalesce(b.weight, 0) AS move FROM w a FULL JOIN w b ON b.turn + 1 = a.turn AND b.instrument = a.instrument),
   tv AS (SELECT date, t.turn, sum(abs(move)) AS turnover, count_if(abs(move) > 1e-12) AS n_traded FROM mv JOIN t USING (turn) GROUP BY ALL)"""

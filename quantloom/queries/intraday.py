@@ -84,7 +84,6 @@ add(
 # tolerant operators: windows may be partial
 _W = over(5)
 panel("n01_rolling_partial", lambda: F.avg("rate").over(R.window(5)) + F.max("rate").over(R.window(5)) + F.min("rate").over(R.window(5)) + F.sum("rate").over(R.window(5)), f"avg(rate) OVER {_W} + max(rate) OVER {_W} + min(rate) OVER {_W} + sum(rate) OVER {_W}")
-panel("n02_rolling_rank_gaussian", lambda: (0.5 * (1 + F.tanh(0.797884560802865 * R.safe_div(F.col("close") - F.avg("close").over(R.window(5)), F.stddev_samp("close").over(R.window(5)))))) * (F.count("close").over(R.window(5)) - 1) + 1, f"CASE WHEN stddev_samp(close) OVER {_W} > 1e-12 THEN 0.5 * (1 + tanh(0.797884560802865 * (close - avg(close) OVER {_W}) / stddev_samp(close) OVER {_W})) * (count(close) OVER {_W} - 1) + 1 END")
 panel("n03_rolling_corr_partial", lambda: R.ts_corr("close", "volume", 5, 2), f"CASE WHEN count(close) OVER {_W} >= 2 AND stddev_samp(close) OVER {_W} * stddev_samp(volume) OVER {_W} > 1e-12 THEN covar_samp(close, volume) OVER {_W} / (stddev_samp(close) OVER {_W} * stddev_samp(volume) OVER {_W}) END")
 _M = f"avg(close) OVER {_W}"
 panel(
@@ -93,8 +92,6 @@ panel(
 )
 panel("n05_ts_rank_share_below", lambda: F.when(F.count("close").over(R.window(9)) >= 5, F.size(F.filter(R.values("close", 9), lambda y: y < F.col("close"))) / F.count("close").over(R.window(9))), "CASE WHEN len(a) >= 5 THEN len(list_filter(a, lambda y: y < close))::DOUBLE / len(a) END", f", s AS (SELECT *, list(close) OVER {over(9)} AS a FROM bars)", "s")
 panel("n06_ts_ema_carried", lambda: F.col("v"), f"list_reduce(a, lambda s, y: s * {1 - 2 / 6!r} + y * {2 / 6!r})", f", s AS (SELECT *, {listed('rate')} AS a FROM bars)", "s", lambda b: R.recursive(b, v=("rate", 2 / 6)))
-panel("n07_ts_information_ratio", lambda: F.greatest(F.least(R.safe_div(F.avg("close").over(R.window(5)), F.stddev_samp("close").over(R.window(5))), F.lit(20.0)), F.lit(-20.0)), f"CASE WHEN stddev_samp(close) OVER {_W} > 1e-12 THEN greatest(least(avg(close) OVER {_W} / stddev_samp(close) OVER {_W}, 20.0), -20.0) ELSE 20.0 END")
-panel("n08_ts_return_clipped", lambda: F.when(R.ref("close", 1).isNotNull(), F.greatest(F.least(R.roc("close", 1), F.lit(10.0)), F.lit(-10.0))), "CASE WHEN p IS NOT NULL THEN greatest(least(close / p - 1, 10.0), -10.0) END", ", s AS (SELECT *, max(close) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS p FROM bars)", "s")
 panel("n10_protected_division", lambda: F.when(F.abs(F.col("close") - F.col("open")) > 1e-8, F.greatest(F.least(F.col("volume") / F.when(F.abs(F.col("close") - F.col("open")) > 1e-8, F.col("close") - F.col("open")), F.lit(100.0)), F.lit(-100.0))).otherwise(1.0), "CASE WHEN abs(close - open) > 1e-8 THEN greatest(least(volume / (close - open), 100.0), -100.0) ELSE 1.0 END")
 panel("n12_scalar_functions", lambda: F.greatest(F.col("close"), F.col("volume")) + F.least(F.col("open"), F.col("high")) + F.greatest(F.col("close") - 100, F.lit(0.0)) + F.tanh(F.col("close") / 100), "greatest(close, volume) + least(open, high) + greatest(close - 100, 0) + tanh(close / 100)")
 add(
