@@ -50,6 +50,7 @@ lag, delta, mean, total, std = ts("lag"), ts("delta"), ts("rolling_mean"), ts("r
 hi, low, median, mad, iqr = ts("rolling_max"), ts("rolling_min"), ts("rolling_median"), ts("rolling_mad"), ts("rolling_iqr")
 skew, kurt, downside, tsrank, zscore = ts("rolling_skew"), ts("rolling_kurt"), ts("rolling_downside_std"), ts("ts_rank"), ts("ts_zscore")
 argmax, wma, ema, ewm, var = ts("ts_argmax"), ts("decay_linear"), ts("ema"), ts("ewm"), ts("rolling_var")
+ema_from = ts("ema_from")
 
 
 def rank(x):
@@ -151,6 +152,14 @@ def residual(y, *xs):
     return y
 
 
+def own_residual(y, x):
+    """Residual of y on x by date, each centred by the mean of all its own values; the slope divides their mean product where both are
+    known by the mean square of all of x."""
+    held = lambda e: call("column", e)
+    dx, dy = held(x - call("cs_mean", x)), held(y - call("cs_mean", y))
+    return dy - dx * (call("cs_mean", dx * dy) / call("cs_mean", dx * dx))
+
+
 ret = roc(c, 1)
 logret = log(c / lag(c, 1))
 vwap = qv / v
@@ -159,6 +168,7 @@ range_pct = mean((h - lo) / lag(c, 1), 20)
 vol_eff = roc(c, 20) / (range_pct + EPS)
 base = mean(c, 20, 1)
 nc, no, nh, nl = c / base, o / base, h / base, lo / base
+nret = roc(nc, 1)
 nv = v / mean(v, 20, 1)
 tick = qv / (tc + EPS)
 buy_price = tq / tb
@@ -308,7 +318,7 @@ factor(
 )
 factor(A(37), rank(corr(lag(nc - no, 5), nc, 50)) + rank(nc - no))
 factor(A(38), -rank(tsrank(nc, 10)) * rank(nc / no))
-factor(A(39), -rank(delta(nc, 10) * (1 - rank(wma(v / mean(v, 10), 10)))) * (1 + rank(total(ret, 90))))
+factor(A(39), -rank(delta(nc, 10) * (1 - rank(wma(v / mean(v, 10), 10)))) * (1 + rank(total(nret, 90))))
 factor(A(40), -rank(std(nh, 10)) * corr(nh, nv, 20))
 factor(A(41), call("sqrt", nh * nl) - mean(buy_price, 20, 1) / base)
 _vw42 = total(c * v, 20) / total(v, 20) / base
@@ -321,7 +331,7 @@ factor(A(46), where(_turn46 > 0.25, const(-1), where(_turn46 < 0, const(1), -del
 factor(A(47), rank(1 / nc) * nv * (nh * rank(nh - nc)) / (total(nh, 5) / 5) - rank(vwap / base - lag(vwap / base, 5)))
 factor(A(48), corr(delta(nc, 1), delta(lag(nc, 1), 1), 20) * delta(nc, 1) / nc / total(power(delta(nc, 1) / lag(nc, 1), 2), 20))
 factor(A(50), -hi(rank(corr(rank(v), rank(vwap / base), 10)), 10))
-factor(A(52), (-low(nl, 7) + lag(low(nl, 7), 7)) * ((total(ret, 140) - total(ret, 21)) / 119) * tsrank(v, 14))
+factor(A(52), (-low(nl, 7) + lag(low(nl, 7), 7)) * ((total(nret, 140) - total(nret, 21)) / 119) * tsrank(v, 14))
 factor(A(53), -delta(((nc - nl) - (nh - nc)) / ((nc - nl) + EPS), 9))
 factor(A(54), -(lo - c) * power(o, 3) / ((lo - h) * power(c, 3) + EPS))
 factor(A(55), -corr(rank((c - low(lo, 12)) / (hi(h, 12) - low(lo, 12) + EPS)), rank(v), 6))
@@ -346,7 +356,7 @@ factor(W("mid_move_ewm"), ema((_mid - lag(_mid, 1)) * (h - lo) / v, 6))
 factor(W("down_vol_or_close"), rank(hi(power(where(ret < 0, std(ret, 20) * (19 / 20) ** 0.5, c), 2), 5)))
 _accel = (log(c / lag(c, 3)) - lag(log(c / lag(c, 3)), 3)) / std(logret, 45, 11)
 _liquid = qv / mean(qv, 45, 11)
-factor(W("acceleration_reversal"), ema(mean(-where(_liquid - 0.2, where(5 - _liquid, _accel, NONE), NONE), 5, 2), 10))
+factor(W("acceleration_reversal"), ema_from(mean(-where(0.2 - _liquid, NONE, where(_liquid - 5, NONE, _accel)), 5, 2), 10, 5))
 factor(W("accumulation_distribution_dif"), -total(where(c - _pc > 0, c - smaller(lo, _pc), where(_pc - c > 0, c - larger(h, _pc), const(0))), 20) / 20)
 factor(W("activity_burst"), -gauge(std(tc, 20) / mean(tc, 20)))
 factor(W("ad_volume_momentum"), total(clv * v, 5))
@@ -356,7 +366,7 @@ benchmark = call("exp", total(log1p(market), 20)) - 1  # of the equally weighted
 factor(W("basis_reversion"), lag(-gauge(mark / index - 1), 1))
 _weights = [math.exp(-0.3 * i) for i in range(5)]
 _multi_ma = sum((w * mean(c, n) for w, n in zip(_weights[1:], (40, 60, 90, 120))), _weights[0] * mean(c, 20)) / sum(_weights)
-factor(W("bias_zscore"), -residual(-(c - _multi_ma) / std(c, 120), log1p(qv)))
+factor(W("bias_zscore"), -own_residual(-(c - _multi_ma) / std(c, 120), log1p(qv)))
 _place = 2 * (c - low(c, 20)) / (hi(c, 20) - low(c, 20) + EPS) - 1
 _kaufman = clip(absolute(delta(c, 20)) / (total(absolute(ret), 20) * lag(c, 20) + EPS), 0, 1)
 _confirm = clip(mean(qv, 5) / (mean(qv, 20) + EPS), 0, 2) / 2
@@ -419,7 +429,7 @@ _sound = where((0.9 - absolute(logret)) * (qv > 0), const(0), NONE)  # 0 where a
 _excess = logret - call("cs_mean", (logret + _sound) * qv) / call("cs_mean", qv + _sound + 0 * logret)
 factor(W("high_amplitude_excess_momentum"), -residual(top(_excess + _sound, (h - lo) / lag(c, 1) + _sound, 60, 18), -log(c / lag(c, 10)) + _sound))
 factor(W("illiquidity_premium"), gauge(mean(absolute(ret) / qv, 20)))
-factor(W("klinger_oscillator"), ema(ema(v * sgn(delta(typical, 1)), 5) - ema(v * sgn(delta(typical, 1)), 20), 3))
+factor(W("klinger_oscillator"), ema_from(ema_from(v * sgn(delta(typical, 1)), 5, 5) - ema_from(v * sgn(delta(typical, 1)), 20, 20), 3, 3))
 _large = clip(ret / (_vol20 + TINY), -3, 3) * (0.5 + rank(mean(absolute(ret) / (qv + TINY), 20)))
 factor(W("large_move_illiquid"), ema(_large, 5))
 factor(W("large_move_illiquid_reversal"), ema(gauge(-_large), 10))
@@ -504,10 +514,10 @@ factor(W("taker_fomo_reversal"), -tanh(clip((_share - mean(_share, 20)) / (std(_
 _ticket = mean(tq / tc, 20) / mean(tq / tc, 120)
 factor(W("ticket_shift_premium"), gauge(_ticket), -1)
 factor(W("ticket_shift_reversed"), -gauge(_ticket))
-_venue = qv / (qv + venue)
+_venue = where(smaller(qv, venue), qv / (qv + venue), NONE)  # where both venues traded
 factor(W("venue_share_shift"), lag(-gauge(mean(_venue, 20) / mean(_venue, 120)), 1))
-_dif = ema(v, 5) - ema(v, 60)
-factor(W("volume_macd"), _dif - ema(_dif, 5))
+_dif = ema_from(v, 5, 5) - ema_from(v, 60, 60)
+factor(W("volume_macd"), _dif - ema_from(_dif, 5, 5))
 _spike = larger(mean(absolute(ret), 5) / (mean(absolute(ret), 60) + TINY) - 1, const(0))
 _deep = 0.5 + 0.5 * clip((rank(mean(log1p(qv), 20)) - 0.4) / 0.6, 0, 1)
 factor(W("vol_spike_reversal"), _fading(-ret * _spike * _deep))

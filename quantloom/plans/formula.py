@@ -262,6 +262,11 @@ OPS: dict[str, Op] = {
         "ts", R.ema, lambda x, n: f"list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y * {2 / (n + 1)!r})", lambda x, n: _past_list(x), recursive=True,
         history=lambda p: R.reach(1 - 2 / (p[0] + 1)),
     ),
+    "ema_from": Op(  # the same, from a number of values on
+        "ts", lambda x, n, least, ordinal: F.when(F.col(ordinal) >= least, R.ema(x, n, ordinal)),
+        lambda x, n, least: f"(CASE WHEN len(_a) >= {least} THEN list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y * {2 / (n + 1)!r}) END)", lambda x, n, least: _past_list(x), recursive=True,
+        history=lambda p: R.reach(1 - 2 / (p[0] + 1)),
+    ),
     "ewm": Op(
         "ts", R.ewm, lambda x, n: f"list_reduce(_a, lambda s, y: s * {1 - 2 / (n + 1)!r} + y) / ((1 - pow({1 - 2 / (n + 1)!r}, len(_a))) / {2 / (n + 1)!r})", lambda x, n: _past_list(x), recursive=True,
         history=lambda p: R.reach(1 - 2 / (p[0] + 1)),

@@ -152,11 +152,6 @@ def _deflated(m):
     return rows.select("instrument", "trials", normal_cdf((F.col("sharpe") - best) * F.sqrt(F.col("n") - 1) / wide).alias("probability"))
 
 
-add(
-    "a24_behaviour_evidence",
-    lambda s, d: fp(s, d).withColumn("mkt", F.avg("ret").over(X.by_date())).filter("ret is not null").groupBy("instrument").agg(F.regr_slope("ret", "mkt").alias("beta"), E.pearson("ret", "mkt").alias("corr")),
-    f"WITH {FP}, m AS (SELECT *, avg(ret) OVER {D} AS mkt FROM panel) SELECT instrument, {r('regr_slope(ret, mkt)', 'beta')}, {r('corr(ret, mkt)', 'corr')} FROM m WHERE ret IS NOT NULL GROUP BY instrument",
-)
 add(
     "a25_behaviour_cells",
     lambda s, d: fp(s, d).withColumn("cell", F.when(F.col("label").isNull(), -1).when(F.col("label") < -0.2, 0).when(F.col("label") < 0.0, 1).when(F.col("label") < 0.2, 2).otherwise(3)).groupBy("cell").agg(F.count("*").alias("n")),

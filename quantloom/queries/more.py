@@ -103,20 +103,6 @@ def _objectives(s, d):
     return ic.crossJoin(m)  # a row and a row
 
 
-def _variants(s, d):
-    near = {f"v{i}": n for i, n in enumerate(formula.neighbours(catalogue.FACTORS["tree_08"].formula))}
-    wide = formula.evaluate(views.bars_mo(s, d), near)
-    e = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.col(k).alias("x")) for k in near]))
-    return wide.select("instrument", "date", e.alias("e")).select("instrument", "date", "e.variant", F.round("e.x", 9).alias("x"))
-
-
-_NEAR = {f"v{i}": n for i, n in enumerate(formula.neighbours(catalogue.FACTORS["tree_08"].formula))}
-add(
-    "a57_parameter_stability", lambda s, d: E.daily_ic(_variants(s, d).join(fp(s, d).select("instrument", "date", "label"), ["instrument", "date"]), by=["variant"]).groupBy("variant").agg(F.avg("rank_ic").alias("mean"), (F.avg("rank_ic") < 0).alias("keeps_sign")),
-    f"""WITH {FP}, f AS ({formula.sql(MO, _NEAR, places=9)}), l AS (SELECT instrument, date, unnest({list(_NEAR)!r}) AS variant, unnest([{', '.join(_NEAR)}]) AS x FROM f), j AS (SELECT variant, l.date, l.x, label FROM l JOIN panel USING (instrument, date) WHERE l.x IS NOT NULL AND label IS NOT NULL),
-    k AS (SELECT *, rank() OVER (PARTITION BY variant, date ORDER BY x) + (count(*) OVER (PARTITION BY variant, date, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY variant, date ORDER BY label) + (count(*) OVER (PARTITION BY variant, date, label) - 1) / 2.0 AS rl FROM j),
-    i AS (SELECT variant, date, CASE WHEN count(*) >= 3 AND min(x) < max(x) AND min(label) < max(label) THEN corr(rx, rl) END AS ic FROM k GROUP BY ALL) SELECT variant, {r('avg(ic)', 'mean')}, avg(ic) < 0 AS keeps_sign FROM i GROUP BY variant""",
-)
 add(
     "a58_score_with_all_costs",
     lambda s, d: P.ledger(top_weights(s, d), fp(s, d).select("date", "instrument", "ret"), 0.0015).groupBy(F.to_date(F.date_trunc("quarter", "date")).alias("quarter")).agg((F.exp(F.sum(F.log1p("net"))) - 1).alias("net_return"), F.sum("cost").alias("cost")),
@@ -139,25 +125,6 @@ def _by_interval(s, d, steps):
     return top.groupBy("step", "date").agg(F.avg("label").alias("r")).groupBy("step").agg(F.count("r").alias("n"), F.avg("r").alias("mean"))
 
 
-add(
-    "k08_deduplicate_candidates",
-    lambda s, d: _accepted(s, d),
-    f"""WITH {ALL_IC}, p AS (SELECT abs(corr(a.ic, b.ic)) AS c, a.factor AS f, b.factor AS g FROM ics a JOIN ics b ON a.date = b.date AND a.factor < b.factor GROUP BY a.factor, b.factor), m AS (SELECT factor, abs(avg(ic)) AS s, row_number() OVER (ORDER BY round(abs(avg(ic)), 9) DESC, factor) AS k FROM ics GROUP BY factor)
-    SELECT factor FROM m WHERE k = 1 OR k = 2 AND NOT EXISTS (SELECT 1 FROM p, m q WHERE q.k = 1 AND c >= 0.5 AND (f = q.factor AND g = m.factor OR g = q.factor AND f = m.factor)) OR k = 3 AND NOT EXISTS (SELECT 1 FROM p, m q WHERE c >= 0.5 AND (f = q.factor AND g = m.factor OR g = q.factor AND f = m.factor) AND (q.k = 1 OR q.k = 2 AND NOT EXISTS (SELECT 1 FROM p p2, m q2 WHERE q2.k = 1 AND p2.c >= 0.5 AND (p2.f = q2.factor AND p2.g = q.factor OR p2.g = q2.factor AND p2.f = q.factor))))""",
-)
-
-
-def _accepted(s, d):
-    """Factors in order of their score, each unless its daily ICs resemble those of one accepted before: rows at the driver are
-    factors and pairs of factors."""
-    ic = all_ic(s, d)
-    scores = ic.groupBy("factor").agg(F.round(F.abs(F.avg("ic")), 9).alias("score")).orderBy(F.desc("score"), "factor").collect()
-    a, b = (ic.select("date", F.col("factor").alias(f"factor_{k}"), F.col("ic").alias(k)) for k in "ab")
-    pairs = a.join(b, "date").filter("factor_a < factor_b").groupBy("factor_a", "factor_b").agg(E.pearson("a", "b").alias("c")).collect()
-    kept = P.greedy_decorrelation([x.factor for x in scores], {(p.factor_a, p.factor_b): p.c for p in pairs}, 0.5)
-    return s.createDataFrame([(k,) for k in kept], "factor string")
-
-
 add(
     "k09_validation_gates",
     lambda s, d: all_ic(s, d).groupBy("factor").agg(F.avg("ic").alias("m"), F.count("ic").alias("n"), F.avg((F.col("ic") > 0).cast("int")).alias("p")).select("factor", F.array_join(F.filter(F.array(F.when(F.col("m") <= 0, "negative"), F.when(F.col("n") < 60, "few_days"), F.when(F.col("p") < 0.5, "unsteady")), lambda x: x.isNotNull()), ",").alias("reasons")).withColumn("accepted", F.col("reasons") == ""),
