@@ -144,3 +144,50 @@ def neutralized(df: DataFrame, x: str, universe: str, sector: str | None = None,
     for s in (size, amount):
         df = regressed(df, x, s) if s else df
     return df
+
+
+CROSS = [
+    "funding_z20", "funding_ma_diff_3_30", "funding_vol_30d", "funding_persistence_20d", "oi_z20", "oi_change_5d", "oi_change_decay_20d", "funding_oi_joint_5d", "beta_btc_60d", "corr_btc_20d", "resid_return_btc_20d",
+    "idio_vol_btc_20d", "relative_strength_btc_5d", "amihud_illiq", "dollar_volume_rank", "volume_zscore_60d", "rv_5d", "rv_20d", "rv_ratio_5_20", "vol_of_vol_20d",
+]
+SMALL = 1e-12
+
+
+def cross_period_features(panel: DataFrame, benchmark) -> DataFrame:
+    """instrument, date and CROSS of a panel (ret, volume, turnover, funding, oi, oi_start, tradable). Spreads divide by the number of values; a
+    window has a value from the number on that stands beside it. The benchmark instrument's returns, a row per day, are joined by
+    day; ranks are ordinal among the date's tradable, from 0 to 1, ties by instrument."""
+    over_ = lambda a, b: col(a) / (col(b) + SMALL)
+    sd = lambda x, n, least: R.ts_std(x, n, 0, least)
+    mean = R.ts_mean
+    z = lambda x, n, least: (col(x) - mean(x, n, least)) / (sd(x, n, least) + SMALL)
+    base = panel.filter(F.col("instrument") == benchmark).select("day", F.col("ret").alias("_base"))
+    p = panel.join(base, "day", "left")
+    ret, b = F.col("ret"), F.col("_base")
+    both = ret.isNotNull() & b.isNotNull()
+    positive = lambda x: F.when(F.col(x) > 0, F.col(x))
+    p = p.select(
+        "*", F.when(both, ret).alias("_x"), F.when(both, b).alias("_y"), F.log(positive("oi")).alias("_log_oi"), F.when(F.col("volume") >= 0, F.log1p("volume")).alias("_log_volume"), R.ref("turnover", 1).alias("_before"),
+        F.when(positive("oi").isNotNull() & (R.ref("oi", 5) > 0), clip(F.col("oi") / (R.ref("oi", 5) + SMALL) - 1, -0.95, 10.0)).alias("oi_change_5d"), clip(over_("oi", "oi_start") - 1, -0.95, 10.0).alias("_oi_day"),
+        sd("ret", 5, 3).alias("rv_5d"), sd("ret", 20, 8).alias("rv_20d"), F.sign("funding").alias("_side"),
+    )
+    p = R.recursive(p, oi_change_decay_20d=("_oi_day", 2 / 21))
+    n = lambda k: F.count("_x").over(R.window(k))
+    cov = lambda k: F.covar_pop("_x", "_y").over(R.window(k))
+    var = lambda c, k: F.var_pop(c).over(R.window(k))
+    p = p.select(
+        "*", F.when(n(60) >= 20, cov(60) / (var("_y", 60) + SMALL)).alias("beta_btc_60d"), F.when(n(20) >= 8, clip(cov(20) / (F.sqrt(var("_x", 20) * var("_y", 20)) + SMALL), -1.0, 1.0)).alias("corr_btc_20d"),
+        R.ts_mean("_before", 30, 1).alias("_usual"),
+    )
+    p = p.withColumn("_left", ret - F.col("beta_btc_60d") * b).withColumn("_dollar", F.log1p(positive("_usual")))
+    same = lambda s: F.count_if(F.col("_side") == s).over(R.window(20)) / (F.count("funding").over(R.window(20)) + SMALL)
+    ranked = F.col("tradable") & F.col("_dollar").isNotNull()
+    day = Window.partitionBy("date", ranked)
+    place = F.when(ranked & (F.count("*").over(day) > 1), (F.row_number().over(day.orderBy("_dollar", "instrument")) - 1) / (F.count("*").over(day) - 1))
+    out = {
+        "funding_z20": z("funding", 20, 8), "funding_ma_diff_3_30": mean("funding", 3, 2) - mean("funding", 30, 10), "funding_vol_30d": sd("funding", 30, 10),
+        "funding_persistence_20d": F.when(F.col("_side") > 0, same(1)).when(F.col("_side") < 0, -same(-1)), "oi_z20": z("_log_oi", 20, 8), "funding_oi_joint_5d": F.col("_side") * F.col("oi_change_5d"),
+        "resid_return_btc_20d": R.ts_sum("_left", 20, 8), "idio_vol_btc_20d": sd("_left", 20, 8), "relative_strength_btc_5d": R.ts_sum("ret", 5, 3) - R.ts_sum("_base", 5, 3),
+        "amihud_illiq": F.abs(ret) / (positive("turnover") + SMALL) * 1e6, "dollar_volume_rank": place, "volume_zscore_60d": z("_log_volume", 60, 20), "rv_ratio_5_20": over_("rv_5d", "rv_20d"), "vol_of_vol_20d": sd("rv_5d", 20, 8),
+    }
+    return p.select("*", *[e.alias(name) for name, e in out.items()]).select("instrument", "date", *CROSS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quantloom import views
 from quantloom.operators import features as X
@@ -171,3 +171,59 @@ add(
     f"""WITH {FP}, l AS (SELECT *, ln(1 + quote_volume) AS q FROM panel), c AS (SELECT instrument, date, least(greatest(q, quantile_cont(q, 0.05) OVER d), quantile_cont(q, 0.95) OVER d) AS c FROM l WINDOW d AS (PARTITION BY date))
     SELECT instrument, date, {r('(c - avg(c) OVER d) / (nullif(stddev_samp(c) OVER d, 0) + 1e-9)', 'v')} FROM c WINDOW d AS (PARTITION BY date)""",
 )
+
+# cross-period features, over weeks
+def _crossed(s, d):
+    b = views.bars_wk(s, d)
+    ret = F.col("close") / F.max("close").over(_day_before()) - 1
+    p = b.select("instrument", "date", "day", ret.alias("ret"), F.col("volume").cast("double").alias("volume"), F.col("quote_volume").alias("turnover"), "funding", F.col("open_interest").alias("oi"), (F.col("open_interest") * (1 + F.pmod("instrument", F.lit(5)) / 100)).alias("oi_start"), (F.col("trade_count") >= 5).alias("tradable"))
+    return X.cross_period_features(p, 0)
+
+
+def _day_before():
+    return Window.partitionBy("instrument").orderBy("day").rangeBetween(-1, -1)
+
+
+def z(x: str, n: int, least: int) -> str:
+    return f"({x} - {part('avg', x, n, least)}) / ({part('stddev_pop', x, n, least)} + 1e-12)"
+
+
+_REF = "max({0}) OVER (PARTITION BY instrument ORDER BY day RANGE BETWEEN {1} PRECEDING AND {1} PRECEDING)"
+_SHARE = f"count(*) FILTER (WHERE side = {{0}}) OVER {over(20)} / (count(funding) OVER {over(20)} + 1e-12)"
+_N60, _N20 = over(60), over(20)
+_CROSS = {
+    "funding_z20": z("funding", 20, 8),
+    "funding_ma_diff_3_30": f"{part('avg', 'funding', 3, 2)} - {part('avg', 'funding', 30, 10)}",
+    "funding_vol_30d": part("stddev_pop", "funding", 30, 10),
+    "funding_persistence_20d": f"CASE WHEN side > 0 THEN {_SHARE.format(1)} WHEN side < 0 THEN -({_SHARE.format(-1)}) END",
+    "oi_z20": z("loi", 20, 8),
+    "oi_change_5d": "oc5",
+    "oi_change_decay_20d": "decay",
+    "funding_oi_joint_5d": "side * oc5",
+    "beta_btc_60d": "beta",
+    "corr_btc_20d": "cor",
+    "resid_return_btc_20d": part("sum", "lft", 20, 8),
+    "idio_vol_btc_20d": part("stddev_pop", "lft", 20, 8),
+    "relative_strength_btc_5d": f"{part('sum', 'ret', 5, 3)} - {part('sum', 'base', 5, 3)}",
+    "amihud_illiq": "abs(ret) / (CASE WHEN turnover > 0 THEN turnover END + 1e-12) * 1e6",
+    "dollar_volume_rank": "CASE WHEN ok AND count(*) OVER (PARTITION BY date, ok) > 1 THEN (row_number() OVER (PARTITION BY date, ok ORDER BY dollar, instrument) - 1) / (count(*) OVER (PARTITION BY date, ok) - 1) END",
+    "volume_zscore_60d": z("lv", 60, 20),
+    "rv_5d": "rv5",
+    "rv_20d": "rv20",
+    "rv_ratio_5_20": "rv5 / (rv20 + 1e-12)",
+    "vol_of_vol_20d": part("stddev_pop", "rv5", 20, 8),
+}
+add(
+    "m11_cross_period_feature_set",
+    _crossed,
+    f"""WITH RECURSIVE {views.BARS_WK}, t AS (SELECT instrument, date, day, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k, close / {_REF.format('close', 1)} - 1 AS ret, volume, quote_volume AS turnover, funding, open_interest AS oi,
+      open_interest * (1 + instrument % 5 / 100.0::DOUBLE) AS os, trade_count >= 5 AS tradable, sign(funding) AS side FROM bars),
+    a AS (SELECT t.*, b.ret AS base, least(greatest(oi / (os + 1e-12) - 1, -0.95), 10) AS od, ln(CASE WHEN oi > 0 THEN oi END) AS loi, ln(1 + volume) AS lv FROM t LEFT JOIN (SELECT day, ret FROM t WHERE instrument = 0) b USING (day)),
+    {recursive('e', 'a', {'decay': ('od', 2 / 21)})},
+    c AS (SELECT *, CASE WHEN base IS NOT NULL THEN ret END AS x, CASE WHEN ret IS NOT NULL THEN base END AS y, CASE WHEN oi > 0 AND {_REF.format('oi', 5)} > 0 THEN least(greatest(oi / ({_REF.format('oi', 5)} + 1e-12) - 1, -0.95), 10) END AS oc5,
+      {part('stddev_pop', 'ret', 5, 3)} AS rv5, {part('stddev_pop', 'ret', 20, 8)} AS rv20, {_REF.format('turnover', 1)} AS tb FROM a JOIN e USING (instrument, k)),
+    g AS (SELECT *, CASE WHEN count(x) OVER {_N60} >= 20 THEN covar_pop(x, y) OVER {_N60} / (var_pop(y) OVER {_N60} + 1e-12) END AS beta,
+      CASE WHEN count(x) OVER {_N20} >= 8 THEN greatest(least(covar_pop(x, y) OVER {_N20} / (sqrt(var_pop(x) OVER {_N20} * var_pop(y) OVER {_N20}) + 1e-12), 1), -1) END AS cor, {part('avg', 'tb', 30, 1)} AS usual FROM c),
+    h AS (SELECT *, ret - beta * base AS lft, ln(1 + CASE WHEN usual > 0 THEN usual END) AS dollar, tradable AND coalesce(usual > 0, false) AS ok FROM g)
+    SELECT instrument, date, {columns(_CROSS)} FROM h""",
+)
