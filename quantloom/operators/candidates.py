@@ -122,3 +122,67 @@ def deduplicate(order: Sequence[str], pairs: DataFrame, least_days: int = 120, l
             accepted.append(c)
         out.append((c, not reasons, reasons))
     return out
+
+
+def _summary(by: list[str], ledger: DataFrame, net: str, periods: int) -> DataFrame:
+    """total_return, sharpe (yearly) and max_drawdown of net returns in order of date within `by`: a row per date and variant."""
+    w = Window.partitionBy(*by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    p = ledger.withColumn("_wealth", F.product(1 + F.col(net)).over(w))
+    p = p.withColumn("_peak", F.greatest(F.max("_wealth").over(w), F.lit(1.0)))
+    sharpe = F.try_divide(F.avg(net), F.stddev_samp(net)) * periods**0.5
+    return p.groupBy(*by).agg((F.product(1 + F.col(net)) - 1).alias("total_return"), sharpe.alias("sharpe"), F.max(1 - F.col("_wealth") / F.col("_peak")).alias("max_drawdown"), F.count("*").alias("n"))
+
+
+def net_stability(ledger: DataFrame, periods: int = 365) -> DataFrame:
+    """Per variant of a net ledger: the whole range and its quarters. Quarters contribute in wealth, so contributions add up to the change of
+    wealth; concentration is the best quarter's share of the positive ones (null without any), and the best quarter, of equals the latest,
+    is left out for the remaining return and ratio."""
+    q = F.concat(F.year("date"), F.lit("Q"), F.quarter("date"))
+    led = ledger.select("variant", "date", "net", q.alias("quarter"))
+    w = Window.partitionBy("variant").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    led = led.withColumn("_after", F.product(1 + F.col("net")).over(w))
+    gain = F.max_by("_after", "date") - F.min_by(F.col("_after") / (1 + F.col("net")), "date")
+    quarters = _summary(["variant", "quarter"], led, "net", periods).join(led.groupBy("variant", "quarter").agg(gain.alias("contribution")), ["variant", "quarter"])
+    best = quarters.groupBy("variant").agg(F.max(F.struct("contribution", "quarter")).alias("b")).select("variant", F.col("b.quarter").alias("best_quarter"))
+    left = led.join(best, "variant").filter("quarter <> best_quarter")
+    remaining = _summary(["variant"], left, "net", periods).select("variant", F.col("total_return").alias("remaining_return"), F.col("sharpe").alias("remaining_sharpe"))
+    top = F.max(F.greatest("contribution", F.lit(0.0)))
+    gained = F.sum(F.greatest("contribution", F.lit(0.0)))
+    told = quarters.groupBy("variant").agg(
+        F.count("*").alias("n_quarters"), F.count_if(F.col("contribution") > 0).alias("positive_quarters"), F.count_if(F.col("total_return") > 0).alias("rising_quarters"), F.min("total_return").alias("worst_quarter_return"),
+        F.when(gained > 0, top / gained).alias("concentration"), F.percentile("sharpe", F.lit(0.5)).alias("median_sharpe"), F.stddev_pop("sharpe").alias("sd_sharpe"), F.min("sharpe").alias("worst_sharpe"), F.max("max_drawdown").alias("worst_drawdown"),
+    )
+    whole = _summary(["variant"], led, "net", periods).select("variant", "total_return", "sharpe", "max_drawdown")
+    return whole.join(told, "variant").join(best, "variant").join(remaining, "variant", "left")
+
+
+def cost_score(stability: DataFrame, nodes: Mapping[str, int], spread: float = 0.5, worst: float = 1.0, drawdown: float = 1.0, complexity: float = 0.001, concentration: float = 0.5, most: float = 0.6, left_out: float = 0.5, least_sharpe: float = 1.0) -> DataFrame:
+    """variant, score and reasons: the median quarterly ratio less penalties for its spread, the worst quarter, the deepest quarterly drawdown,
+    the formula's nodes, a concentration above `most`, and a negative ratio without the best quarter; and why a variant isn't eligible."""
+    count = F.create_map(*[F.lit(x) for kv in nodes.items() for x in kv])[F.col("variant")]
+    below = lambda c: F.greatest(-F.col(c), F.lit(0.0))
+    score = (
+        F.col("median_sharpe") - spread * F.col("sd_sharpe") - worst * below("worst_sharpe") - drawdown * F.col("worst_drawdown") - complexity * count
+        - concentration * F.greatest(F.col("concentration") - most, F.lit(0.0)) - left_out * below("remaining_sharpe")
+    )
+    s = stability.withColumn("score", F.when(F.col("concentration").isNotNull() & F.col("remaining_sharpe").isNotNull(), score))
+    tests = {
+        "return is not positive": F.col("total_return") <= 0, "sharpe is not above its bar": F.col("sharpe") <= least_sharpe,
+        "no majority of rising quarters": F.col("rising_quarters") * 2 <= F.col("n_quarters"), "score is not positive": ~F.coalesce(F.col("score") > 0, F.lit(False)),
+    }
+    reasons = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
+    return s.select("variant", "score", F.concat_ws("; ", reasons).alias("reasons"))
+
+
+def cost_gates(stability: DataFrame, stressed: DataFrame, positive: int = 3, loss: float = 0.10, remaining: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """variant, passed and reasons: enough quarters with a gain, no quarter below the loss, a return and a ratio left without the best quarter, and
+    both still positive in `stressed`, the stability of the same ledger under higher costs."""
+    hard = stressed.select("variant", F.col("total_return").alias("_hard_return"), F.col("sharpe").alias("_hard_sharpe"))
+    s = stability.join(hard, "variant")
+    tests = {
+        "too few quarters with a gain": F.col("positive_quarters") < positive, "a quarter loses too much": F.col("worst_quarter_return") < -loss,
+        "little return without the best quarter": ~F.coalesce(F.col("remaining_return") > remaining[0], F.lit(False)), "low sharpe without the best quarter": ~F.coalesce(F.col("remaining_sharpe") > remaining[1], F.lit(False)),
+        "lost under higher costs": ~F.coalesce((F.col("_hard_return") > 0) & (F.col("_hard_sharpe") > 0), F.lit(False)),
+    }
+    reasons = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
+    return s.select("variant", (F.size(reasons) == 0).alias("passed"), F.concat_ws("; ", reasons).alias("reasons"))

@@ -105,3 +105,54 @@ add(
       FROM (SELECT o.k, t.acc, o.factor, list_concat(list_filter(list_transform(t.acc, lambda a: m[a]), lambda z: z IS NOT NULL), CASE WHEN len(t.acc) >= 3 THEN ['no place left'] ELSE [] END) AS rs FROM t JOIN o ON o.k = t.k + 1 LEFT JOIN why ON why.factor = o.factor))
     SELECT factor, ok AS accepted, array_to_string(reasons, '; ') AS reasons FROM t WHERE k > 0""",
 )
+
+# net stability, score and gates: a hundredth is invested
+_NODES = {k: formula.node_count(n) for k, n in _TREES.items()}
+
+
+def _invested(s, d, fee=FEE):
+    wide = formula.evaluate(views.bars_mo(s, d), _TREES)
+    e = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.round(k, 9).alias("x")) for k in _TREES]))
+    w = _weights(wide.select("instrument", "date", e.alias("e")).select("instrument", "date", "e.variant", "e.x"))
+    return C.ledgers(w.withColumn("weight", F.col("weight") / 100), fp(s, d).select("date", "instrument", "ret"), fee)
+
+
+def _whole(name: str, source: str, by: str) -> str:
+    return f"""{name}_w AS (SELECT *, product(1 + net) OVER (PARTITION BY {by} ORDER BY date) AS wealth FROM {source}), {name}_p AS (SELECT *, greatest(max(wealth) OVER (PARTITION BY {by} ORDER BY date), 1) AS peak FROM {name}_w),
+    {name} AS (SELECT {by}, product(1 + net) - 1 AS total_return, avg(net) / nullif(stddev_samp(net), 0) * sqrt(12) AS sharpe, max(1 - wealth / peak) AS max_drawdown, count(*) AS n FROM {name}_p GROUP BY {by})"""
+
+
+def _stability_sql(fee: float, p: str = "") -> str:
+    """Stages up to `{p}stable`, from `invested` (variant, date, gross, turnover)."""
+    return f"""{p}net AS (SELECT variant, date, year(date) || 'Q' || quarter(date) AS quarter, gross - turnover * {fee} AS net FROM invested), {p}run AS (SELECT *, product(1 + net) OVER (PARTITION BY variant ORDER BY date) AS after FROM {p}net),
+    {_whole(p + 'q', p + 'net', 'variant, quarter')}, {p}gain AS (SELECT variant, quarter, arg_max(after, date) - arg_min(after / (1 + net), date) AS contribution FROM {p}run GROUP BY ALL), {p}quarters AS (SELECT * FROM {p}q JOIN {p}gain USING (variant, quarter)),
+    {p}best AS (SELECT variant, arg_max(quarter, (contribution, quarter)) AS best_quarter FROM {p}quarters GROUP BY variant), {p}rest AS (SELECT * FROM {p}net JOIN {p}best USING (variant) WHERE quarter <> best_quarter), {_whole(p + 'r', p + 'rest', 'variant')}, {_whole(p + 'a', p + 'net', 'variant')},
+    {p}told AS (SELECT variant, count(*) AS n_quarters, count(*) FILTER (WHERE contribution > 0) AS positive_quarters, count(*) FILTER (WHERE total_return > 0) AS rising_quarters, min(total_return) AS worst_quarter_return,
+      CASE WHEN sum(greatest(contribution, 0)) > 0 THEN max(greatest(contribution, 0)) / sum(greatest(contribution, 0)) END AS concentration, median(sharpe) AS median_sharpe, stddev_pop(sharpe) AS sd_sharpe, min(sharpe) AS worst_sharpe, max(max_drawdown) AS worst_drawdown FROM {p}quarters GROUP BY variant),
+    {p}stable AS (SELECT t.*, a.total_return, a.sharpe, a.max_drawdown, best_quarter, r.total_return AS remaining_return, r.sharpe AS remaining_sharpe FROM {p}told t JOIN {p}a a USING (variant) JOIN {p}best USING (variant) LEFT JOIN {p}r r USING (variant))"""
+
+
+_INVESTED = f"""WITH {FP}, f AS ({formula.sql(MO, _TREES, places=9)}), l AS (SELECT instrument, date, unnest({list(_TREES)!r}) AS variant, unnest([{', '.join(_TREES)}]) AS x FROM f), {_ledger_sql('l').replace('SELECT variant, turn, instrument, weight FROM', 'SELECT variant, turn, instrument, weight / 100 AS weight FROM').rsplit('net AS (', 1)[0]}
+  invested AS (SELECT variant, date, coalesce(turnover, 0) AS turnover, coalesce(gross, 0) AS gross FROM (SELECT variant, turn, date FROM (SELECT DISTINCT variant FROM w), turns) q LEFT JOIN ce USING (variant, turn))"""
+_TOLD = ["total_return", "sharpe", "max_drawdown", "worst_quarter_return", "concentration", "median_sharpe", "sd_sharpe", "worst_sharpe", "worst_drawdown", "remaining_return", "remaining_sharpe"]
+add(
+    "a19_net_stability_by_variant",
+    lambda s, d: C.net_stability(_invested(s, d), 12).select("variant", "n_quarters", "positive_quarters", "rising_quarters", "best_quarter", *_TOLD),
+    f"{_INVESTED}, {_stability_sql(FEE)} SELECT variant, n_quarters, positive_quarters, rising_quarters, best_quarter, {', '.join(r(c, c) for c in _TOLD)} FROM stable",
+)
+_SCORE = f"""(median_sharpe - 0.5 * sd_sharpe - greatest(-worst_sharpe, 0) - worst_drawdown - 0.001 * CASE variant {' '.join(f"WHEN '{k}' THEN {n}" for k, n in _NODES.items())} END - 0.5 * greatest(concentration - 0.6, 0) - 0.5 * greatest(-remaining_sharpe, 0))"""
+add(
+    "a20_cost_score",
+    lambda s, d: C.cost_score(C.net_stability(_invested(s, d), 12), _NODES),
+    f"""{_INVESTED}, {_stability_sql(FEE)}, s AS (SELECT *, CASE WHEN concentration IS NOT NULL AND remaining_sharpe IS NOT NULL THEN {_SCORE} END AS score FROM stable)
+    SELECT variant, {r('score', 'score')}, concat_ws('; ', CASE WHEN total_return <= 0 THEN 'return is not positive' END, CASE WHEN sharpe <= 1 THEN 'sharpe is not above its bar' END,
+      CASE WHEN rising_quarters * 2 <= n_quarters THEN 'no majority of rising quarters' END, CASE WHEN NOT coalesce(score > 0, false) THEN 'score is not positive' END) AS reasons FROM s""",
+)
+add(
+    "a56_cost_gates",
+    lambda s, d: C.cost_gates(C.net_stability(_invested(s, d), 12), C.net_stability(_invested(s, d, FEE * 1.5), 12)),
+    f"""{_INVESTED}, {_stability_sql(FEE)}, {_stability_sql(FEE * 1.5, 'h')}, g AS (SELECT s.*, h.total_return AS hard_return, h.sharpe AS hard_sharpe FROM stable s JOIN hstable h USING (variant)),
+    z AS (SELECT variant, concat_ws('; ', CASE WHEN positive_quarters < 3 THEN 'too few quarters with a gain' END, CASE WHEN worst_quarter_return < -0.1 THEN 'a quarter loses too much' END,
+      CASE WHEN NOT coalesce(remaining_return > 0, false) THEN 'little return without the best quarter' END, CASE WHEN NOT coalesce(remaining_sharpe > 0, false) THEN 'low sharpe without the best quarter' END,
+      CASE WHEN NOT coalesce(hard_return > 0 AND hard_sharpe > 0, false) THEN 'lost under higher costs' END) AS reasons FROM g) SELECT variant, reasons = '' AS passed, reasons FROM z""",
+)

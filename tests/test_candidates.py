@@ -91,3 +91,25 @@ def test_funding_gate(spark):
     got = {(r.instrument, r.date.day): (r.allowed, r.n_events) for r in G.funding_allowed(dates, events, 2, 0.8).collect()}
     # the midnight of the first day is out of the window of the third; equal rates are never below their own quantile
     assert got == {(1, 1): (False, 2), (1, 2): (False, 3), (1, 3): (True, 3), (1, 4): (False, 1), (2, 1): (False, 1), (2, 2): (False, 2), (2, 3): (False, 3), (2, 4): (False, 2)}
+
+
+def test_net_stability_score_and_gates(spark):
+    days = [dt.date(2024, m, 1) for m in (1, 2, 4, 5, 7, 8, 10, 11)]
+    net = [0.1, 0.0, 0.2, -0.1, -0.05, 0.02, 0.03, 0.01]
+    led = spark.createDataFrame([("a", d, x) for d, x in zip(days, net)] + [("flat", d, 0.0) for d in days], "variant string, date date, net double")
+    got = {r.variant: r for r in C.net_stability(led, 4).collect()}
+    a, wealth = got["a"], [1.0]
+    for x in net:
+        wealth.append(wealth[-1] * (1 + x))
+    gains = [wealth[2 * k + 2] - wealth[2 * k] for k in range(4)]
+    assert math.isclose(a.total_return, wealth[-1] - 1) and a.best_quarter == "2024Q1" and a.positive_quarters == 3 and a.n_quarters == 4
+    assert math.isclose(a.concentration, gains[0] / sum(g for g in gains if g > 0)) and math.isclose(a.worst_quarter_return, 0.95 * 1.02 - 1)
+    assert math.isclose(a.worst_drawdown, 0.1) and math.isclose(a.remaining_return, wealth[-1] / 1.1 - 1)
+    flat = got["flat"]
+    assert (flat.concentration, flat.sharpe, flat.best_quarter, flat.remaining_return) == (None, None, "2024Q4", 0.0)
+    stable = C.net_stability(led, 4)
+    score = {r.variant: r for r in C.cost_score(stable, {"a": 3, "flat": 1}).collect()}
+    expected = a.median_sharpe - 0.5 * a.sd_sharpe - max(-a.worst_sharpe, 0) - a.worst_drawdown - 0.003 - 0.5 * max(a.concentration - 0.6, 0) - 0.5 * max(-a.remaining_sharpe, 0)
+    assert math.isclose(score["a"].score, expected) and score["flat"].score is None and "return is not positive" in score["flat"].reasons
+    gates = {r.variant: (r.passed, r.reasons) for r in C.cost_gates(stable, stable).collect()}
+    assert gates["a"] == (True, "") and gates["flat"][1].startswith("too few quarters with a gain; little return")
