@@ -35,7 +35,7 @@ def _ledger_sql(source: str) -> str:
     net AS (SELECT variant, date, coalesce(turnover, 0) AS turnover, coalesce(gross, 0) - coalesce(turnover, 0) * {FEE} AS net FROM (SELECT variant, turn, date FROM (SELECT DISTINCT variant FROM w), turns) q LEFT JOIN ce USING (variant, turn))"""
 
 
-# stability of parameters
+# stability of parameters: a hundredth is invested
 _BASE = catalogue.FACTORS["tree_08"].formula
 _TREES = {"base": _BASE, **{f"v{i}": n for i, n in enumerate(formula.neighbours(_BASE))}}
 
@@ -43,11 +43,12 @@ _TREES = {"base": _BASE, **{f"v{i}": n for i, n in enumerate(formula.neighbours(
 def _results(s, d):
     wide = formula.evaluate(views.bars_mo(s, d), _TREES)
     e = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.round(k, 9).alias("x")) for k in _TREES]))
-    long = wide.select("instrument", "date", e.alias("e")).select("instrument", "date", "e.variant", "e.x")
-    return C.results(C.ledgers(_weights(long), fp(s, d).select("date", "instrument", "ret"), FEE))
+    w = _weights(wide.select("instrument", "date", e.alias("e")).select("instrument", "date", "e.variant", "e.x"))
+    return C.results(C.ledgers(w.withColumn("weight", F.col("weight") / 100), fp(s, d).select("date", "instrument", "ret"), FEE))
 
 
-_RESULTS = f"""WITH {FP}, f AS ({formula.sql(MO, _TREES, places=9)}), l AS (SELECT instrument, date, unnest({list(_TREES)!r}) AS variant, unnest([{', '.join(_TREES)}]) AS x FROM f), {_ledger_sql('l')},
+_HUNDREDTH = _ledger_sql("l").replace("SELECT variant, turn, instrument, weight FROM", "SELECT variant, turn, instrument, weight / 100 AS weight FROM")
+_RESULTS = f"""WITH {FP}, f AS ({formula.sql(MO, _TREES, places=9)}), l AS (SELECT instrument, date, unnest({list(_TREES)!r}) AS variant, unnest([{', '.join(_TREES)}]) AS x FROM f), {_HUNDREDTH},
   told AS (SELECT variant, product(1 + net) - 1 AS total_return, avg(net) / stddev_samp(net) AS sharpe FROM net GROUP BY variant)"""
 add("a57_variant_results", _results, f"{_RESULTS} SELECT variant, {r('total_return', 'total_return')}, {r('sharpe', 'sharpe')} FROM told")
 add(
@@ -132,7 +133,7 @@ def _stability_sql(fee: float, p: str = "") -> str:
     {p}stable AS (SELECT t.*, a.total_return, a.sharpe, a.max_drawdown, best_quarter, r.total_return AS remaining_return, r.sharpe AS remaining_sharpe FROM {p}told t JOIN {p}a a USING (variant) JOIN {p}best USING (variant) LEFT JOIN {p}r r USING (variant))"""
 
 
-_INVESTED = f"""WITH {FP}, f AS ({formula.sql(MO, _TREES, places=9)}), l AS (SELECT instrument, date, unnest({list(_TREES)!r}) AS variant, unnest([{', '.join(_TREES)}]) AS x FROM f), {_ledger_sql('l').replace('SELECT variant, turn, instrument, weight FROM', 'SELECT variant, turn, instrument, weight / 100 AS weight FROM').rsplit('net AS (', 1)[0]}
+_INVESTED = f"""WITH {FP}, f AS ({formula.sql(MO, _TREES, places=9)}), l AS (SELECT instrument, date, unnest({list(_TREES)!r}) AS variant, unnest([{', '.join(_TREES)}]) AS x FROM f), {_HUNDREDTH.rsplit('net AS (', 1)[0]}
   invested AS (SELECT variant, date, coalesce(turnover, 0) AS turnover, coalesce(gross, 0) AS gross FROM (SELECT variant, turn, date FROM (SELECT DISTINCT variant FROM w), turns) q LEFT JOIN ce USING (variant, turn))"""
 _TOLD = ["total_return", "sharpe", "max_drawdown", "worst_quarter_return", "concentration", "median_sharpe", "sd_sharpe", "worst_sharpe", "worst_drawdown", "remaining_return", "remaining_sharpe"]
 add(

@@ -13,6 +13,11 @@ IN = "PARTITION BY instrument ORDER BY k"
 EPS = "1e-8"
 
 
+def wk(s, d):
+    """Weekly bars with prices in thousands."""
+    return views.bars_wk(s, d).select("instrument", "date", "day", *[(F.col(c) / 1000).alias(c) for c in ("open", "high", "low", "close")])
+
+
 def win(n: int, before: int = 0) -> str:
     return f"({IN} ROWS BETWEEN {n - 1 + before} PRECEDING AND {before or 'CURRENT'} {'PRECEDING' if before else 'ROW'})"
 
@@ -84,7 +89,7 @@ def since(state: str) -> str:
 
 
 BARS = f"""{views.BARS_WK}, n AS (
-    SELECT instrument, date, day, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars
+    SELECT instrument, date, day, open / 1000.0::DOUBLE AS open, high / 1000.0::DOUBLE AS high, low / 1000.0::DOUBLE AS low, close / 1000.0::DOUBLE AS close, row_number() OVER (PARTITION BY instrument ORDER BY day) AS k FROM bars
   ), t AS (
     SELECT *, greatest(high - low, abs(high - {lag_own('close')}), abs(low - {lag_own('close')})) AS tr, (high + low + close) / 3 AS tp,
            greatest({step('close')}, 0) AS gain, greatest(-{step('close')}, 0) AS loss
@@ -113,7 +118,7 @@ _TECHNICAL = f"""WITH RECURSIVE {BARS},
   v AS (SELECT *, abs(tp - tp20) AS off20 FROM u JOIN f USING (instrument, k))
   SELECT instrument, date, {r('tr', 'tr')}, {r('atr', 'atr')}, {r('atr_ema', 'atr_ema')}, {r(rsi(14), 'rsi')}, {r('k25', 'k')}, {r(cci(20), 'cci')}, {r('line - signal', 'macd')},
          {r('wma20', 'wma20')}, {r(wma('hull', 4), 'hma')} FROM v"""
-add("m15_technical_weekly", lambda s, d: D.technical(views.bars_wk(s, d)), _TECHNICAL)
+add("m15_technical_weekly", lambda s, d: D.technical(wk(s, d)), _TECHNICAL)
 
 # path-dependent states (M16)
 _QQE = f"""c AS (SELECT *, {rsi(14)} - 50 AS centred FROM {{0}}),
@@ -131,8 +136,8 @@ _STATES = f"""WITH RECURSIVE {BARS},
   y AS (SELECT *, CASE WHEN pmax_side <> lag(pmax_side) OVER ({IN}) THEN k END AS turned FROM x)
   SELECT instrument, date, {r('long_stop', 'long_stop')}, {r('short_stop', 'short_stop')}, ce_side, pmax_side, {r('CASE WHEN pmax_side > 0 THEN down ELSE up END', 'pmax_line')}, {since('turned')} AS pmax_days,
          {r(memory('cci18 < -200', 0.95), 'oversold')}, {r('qqe_signal', 'qqe_signal')}, {r('qqe_hist', 'qqe_hist')}, {r('qqe_progress', 'qqe_progress')} FROM y"""
-add("m16_states", lambda s, d: D.states(views.bars_wk(s, d)), _STATES)
-add("m16_chandelier", lambda s, d: D.states(views.bars_wk(s, d)).select("instrument", "date", "long_stop", "short_stop", "ce_side"), f"SELECT instrument, date, long_stop, short_stop, ce_side FROM ({_STATES})")
+add("m16_states", lambda s, d: D.states(wk(s, d)), _STATES)
+add("m16_chandelier", lambda s, d: D.states(wk(s, d)).select("instrument", "date", "long_stop", "short_stop", "ce_side"), f"SELECT instrument, date, long_stop, short_stop, ce_side FROM ({_STATES})")
 
 #: The stop moves, is clamped, and is met or not by the row's prices.
 _SAR = """sar AS (
@@ -147,7 +152,7 @@ _SAR = """sar AS (
                             ELSE greatest(s.sar + s.af * (s.ep - s.sar), s.h1, s.h2) END AS moved
                 FROM sar s JOIN t ON t.instrument = s.instrument AND t.k = s.k + 1) m) z
   )"""
-add("m16_parabolic_stop", lambda s, d: D.parabolic(views.bars_wk(s, d)), f"WITH RECURSIVE {BARS}, {_SAR} SELECT instrument, date, {r('sar', 'sar')} FROM t JOIN sar USING (instrument, k)")
+add("m16_parabolic_stop", lambda s, d: D.parabolic(wk(s, d)), f"WITH RECURSIVE {BARS}, {_SAR} SELECT instrument, date, {r('sar', 'sar')} FROM t JOIN sar USING (instrument, k)")
 
 
 def _trend(atr: str, k: float) -> str:
@@ -168,7 +173,7 @@ def _mids(atr: str) -> str:
 for _name, _n, _k in (("m16_supertrend", 10, 2.0), ("m16_supertrend_wide", 100, 5.5)):
     add(
         _name,
-        lambda s, d, n=_n, k=_k: D.supertrend(views.bars_wk(s, d), n, k),
+        lambda s, d, n=_n, k=_k: D.supertrend(wk(s, d), n, k),
         f"WITH RECURSIVE {BARS}, {recursive('e', 't', {'atr': rma('tr', _n)})}, {_mids('atr')}, {_trend('atr', _k)} SELECT instrument, date, side, {r('upper', 'upper')}, {r('lower', 'lower')} FROM t JOIN st USING (instrument, k)",
     )
 
@@ -244,9 +249,9 @@ _SQL = {
     "V14_base": f"""coalesce(ma_side < 0 AND close > {agg('max', 'high', 16, None, 1)} AND ma_turn IS NULL, false)::INT * {clip('lb', 0, 2)} * least(ma_days / 5.0, 1)
       - coalesce(ma_side > 0 AND close < {agg('min', 'low', 16, None, 1)} AND ma_turn IS NULL, false)::INT * {clip('sb', 0, 2)} * least(ma_days / 5.0, 1)""",
 }
-add("m17_daily_signals", lambda s, d: D.signals(_traded(s, d)), f"{_STAGES} SELECT instrument, date, {', '.join(r(clip(e, -1e6, 1e6), name) for name, e in _SQL.items())} FROM w4".replace("SELECT instrument, date, day, open::", "SELECT instrument, date + (day % 7)::INT AS date, day, open::"))
+add("m17_daily_signals", lambda s, d: D.signals(_traded(s, d)), f"{_STAGES} SELECT instrument, date, {', '.join(r(clip(e, -1e6, 1e6), name) for name, e in _SQL.items())} FROM w4".replace("SELECT instrument, date, day, open /", "SELECT instrument, date + (day % 7)::INT AS date, day, open /"))
 
 
 def _traded(s, d):
     """Weekly bars, dated within their week, so that weekdays differ."""
-    return views.bars_wk(s, d).withColumn("date", F.date_add("date", F.pmod("day", F.lit(7)).cast("int")))
+    return wk(s, d).withColumn("date", F.date_add("date", F.pmod("day", F.lit(7)).cast("int")))
