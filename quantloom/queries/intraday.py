@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quantloom import views
+from quantloom.functions.scalar import divide
 from quantloom.operators import intraday as M, portfolio as P, rolling as R
 from quantloom.queries.common import add, over, panel, r
 
@@ -43,8 +44,8 @@ add(
 for _name, _spark, _sql in (
     ("m14_accelerate", lambda: R.diff("close", 1) - (R.ref("close", 1) - R.ref("close", 2)), None),
     ("m14_event_count", lambda: F.count_if(F.abs("close") > 50).over(R.window(5)), f"count(*) FILTER (WHERE abs(close) > 50) OVER {over(5)}"),
-    ("m14_drawup", lambda: F.col("close") / F.min("close").over(R.window(5)) - 1, f"close / min(close) OVER {over(5)} - 1"),
-    ("m14_drawdown", lambda: F.col("close") / F.max("close").over(R.window(5)) - 1, f"close / max(close) OVER {over(5)} - 1"),
+    ("m14_drawup", lambda: divide("close", F.min("close").over(R.window(5))) - 1, f"close / min(close) OVER {over(5)} - 1"),
+    ("m14_drawdown", lambda: divide("close", F.max("close").over(R.window(5))) - 1, f"close / max(close) OVER {over(5)} - 1"),
     ("m14_fast_slow_diff", lambda: F.avg("close").over(R.window(3)) - F.avg("close").over(R.window(9)), f"avg(close) OVER {over(3)} - avg(close) OVER {over(9)}"),
     ("m14_tstat", lambda: R.full("close", 5, F.avg("close").over(R.window(5)) / (F.stddev_samp("close").over(R.window(5)) / F.sqrt(F.lit(5.0)))), f"CASE WHEN count(close) OVER {over(5)} >= 5 THEN avg(close) OVER {over(5)} / (stddev_samp(close) OVER {over(5)} / sqrt(5)) END"),
 ):
