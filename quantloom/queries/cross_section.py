@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom import views
+from quantloom.functions.scalar import nearest
 from quantloom.operators import cross_section as X, rolling as R
 from quantloom.queries.common import add, r
 
@@ -91,7 +92,7 @@ cell("m13_demean", lambda p: p.withColumn("value", F.col("x") - F.avg("x").over(
 cell("m13_tail_rank", lambda p: p.withColumn("value", X.tail_rank("x")), f"CASE WHEN {pct('x')} <= 0.2 OR {pct('x')} > 0.8 THEN {pct('x')} - 0.5 ELSE 0 END")
 cell("m13_group_rank", lambda p: p.withColumn("value", F.ceil(X.cs_rank("x") * 5 - 1e-9) / 5), f"ceil({pct('x')} * 5 - 1e-9) / 5")
 cell("n11_step_if_else", lambda p: p.withColumn("value", F.when(F.col("x") > F.avg("x").over(X.by_date()), F.col("y")).otherwise(F.col("w"))), f"CASE WHEN x > avg(x) OVER {D} THEN y ELSE w END")
-cell("n13_dense_minmax_rank", lambda p: p.withColumn("q", F.round("y", 2)).withColumn("k", F.dense_rank().over(X.by_date().orderBy("q"))).withColumn("value", F.when(F.max("k").over(X.by_date()) > 1, (F.col("k") - 1) / (F.max("k").over(X.by_date()) - 1)).otherwise(0.0)), f"CASE WHEN max(k) OVER {D} > 1 THEN (k - 1)::DOUBLE / (max(k) OVER {D} - 1) ELSE 0 END", ", t AS (SELECT *, round(y, 2) AS q FROM panel), k AS (SELECT *, dense_rank() OVER (PARTITION BY date ORDER BY q) AS k FROM t)", "k")
+cell("n13_dense_minmax_rank", lambda p: p.withColumn("q", nearest("y", 2)).withColumn("k", F.dense_rank().over(X.by_date().orderBy("q"))).withColumn("value", F.when(F.max("k").over(X.by_date()) > 1, (F.col("k") - 1) / (F.max("k").over(X.by_date()) - 1)).otherwise(0.0)), f"CASE WHEN max(k) OVER {D} > 1 THEN (k - 1)::DOUBLE / (max(k) OVER {D} - 1) ELSE 0 END", ", t AS (SELECT *, round(y, 2) AS q FROM panel), k AS (SELECT *, dense_rank() OVER (PARTITION BY date ORDER BY q) AS k FROM t)", "k")
 cell("n15_sector_demean", lambda p: p.withColumn("value", X.sector_demean("x")), "x - avg(x) OVER (PARTITION BY date, sector)")
 cell("n09_scale", lambda p: p.withColumn("value", F.col("label") / F.sum(F.abs("label")).over(X.by_date())), f"label / sum(abs(label)) OVER {D}")
 add(
