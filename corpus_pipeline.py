@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +24,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by chains of near copies (0.8 of their five-word shingles), the one with the smallest doc_id."""
+    """Of documents joined by chains of near copies (0.8 of their five-word shingles), the one with the smallest doc_id. SimHash proposes
+    pairs, least-value fingerprints the pairs that it misses, and all are verified."""
     importable(spark)
     return near_copies.keep_one(docs)
 
@@ -46,6 +49,20 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Spark removes a job's shuffle files when the job ends and not when memory happens to be collected; the session's own setting comes
+    back."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 #: SQL can't express the classifier, the near copies or the tokenizer.
 ORACLE_SQL = None
 
@@ -53,7 +70,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
+    with tidy(spark):
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+            docs = spark.read.parquet(f"{at}/{k}")
     return docs

@@ -1,7 +1,8 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-A 64-bit SimHash can't serve here: at similarity 0.8 two fingerprints differ by about ten bits. So every document carries
-BANDS fingerprints, each of ROWS least values of its shingles under different hashes. Two documents of similarity 0.8 share a
+A SimHash of every shingle set comes first: sets within RADIUS bits are proposed as pairs by ball hashing (`simhash.links`). At
+similarity 0.8 two of them differ by about ten bits, so it can't find all pairs. So every document also carries BANDS
+fingerprints, each of ROWS least values of its shingles under different hashes. Two documents of similarity 0.8 share a
 fingerprint with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9998, more similar ones sooner, and every pair that counts is
 verified on its whole shingle sets (32-bit hashes).
 
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quantloom.llm.common import attach, checkpoint, keep_first, keyed
 from quantloom.llm.components import components
-from quantloom.llm.simhash import _GAP, _LOWER, BLOCK, SEED
+from quantloom.llm import simhash
+from quantloom.llm.simhash import _GAP, _LOWER, BLOCK, HASHES, SEED
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -59,8 +61,16 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a shingle set, signed: a bit is 1 if set in over half the hashes."""
+    counts = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), HASHES):
+        counts += np.unpackbits(hashes[k : k + HASHES].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """__row, node (hash of the shingle set), size (shingles in it) and bands of every row."""
+    """__row, node (hash of the shingle set), size (shingles in it), fp (its SimHash) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -68,9 +78,10 @@ def sketches(rows: DataFrame) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
             values = pa.array(np.concatenate([np.empty(0, np.int64), *map(bands, sets)]))
             lists = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, values)
-            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), lists], names=["__row", "node", "size", "bands"])
+            fps = pa.array(list(map(majority, sets)), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), fps, lists], names=["__row", "node", "size", "fp", "bands"])
 
-    return rows.select("__row", F.col("text").cast("string").alias("text")).mapInArrow(run, "__row long, node long, size long, bands array<long>")
+    return rows.select("__row", F.col("text").cast("string").alias("text")).mapInArrow(run, "__row long, node long, size long, fp long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -165,21 +176,35 @@ def _rest(m: DataFrame, sets: DataFrame, similar: float, block: int) -> DataFram
     return checkpoint(dealt.select(*key, "node", "root", "seeks", "shingles").mapInArrow(run, "a long, b long"))
 
 
+def by_simhash(f: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of nodes (columns node, size, fp; a > b) that SimHash proposes: those of one fingerprint with the least of them, and
+    the least ones of fingerprints whose bits link. Sizes too far apart can't be similar enough."""
+    same = checkpoint(f.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("l"), F.count("*").alias("n")))
+    own = attach(f.select("node", "size", "fp"), same.select("fp", F.col("l.node").alias("b"), F.col("l.size").alias("b_size"), "n").filter("n > 1"), "fp", "n")
+    own = own.filter("node <> b").select(F.col("node").alias("a"), "size", "b", "b_size")
+    one = lambda c: same.select(F.col("fp").alias(f"_{c}"), F.col("l.node").alias(c), F.col("l.size").alias("size" if c == "a" else "b_size"))
+    linked = simhash.links(same.select("fp")).select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(one("a"), "_a").join(one("b"), "_b")
+    pairs = own.unionByName(linked.select("a", "size", "b", "b_size")).filter(F.least("size", "b_size") >= F.lit(similar) * F.greatest("size", "b_size"))
+    return checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def near_components(rows: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """__row, root of every row (columns __row, text): rows have one root where chains of pairs at the similarity join them."""
     d = checkpoint(sketches(rows))
-    f = checkpoint(d.groupBy("node").agg(F.min("__row").alias("__row"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    f = checkpoint(d.groupBy("node").agg(F.min("__row").alias("__row"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     member = f.select("node", "size", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     member = checkpoint(attach(member, shared, "band", "n"))
     met = checkpoint(member.groupBy("node").agg(F.sum("n").alias("met")))
-    needed = f.join(met.select("node"), "node", "left_semi").select("node", "__row")
+    close = by_simhash(f, similar)
+    needed = met.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    needed = f.join(needed, "node", "left_semi").select("node", "__row")
     sets = checkpoint(_sets(rows.join(needed.hint("shuffle_hash"), "__row").select("node", "text")))
     # the star round
     ranked = member.join(met, "node")
     lead = ranked.groupBy("band").agg(F.min(F.struct(-F.col("met"), F.xxhash64("node"), F.col("node").alias("b"), F.col("size").alias("b_size"))).alias("l"), F.count("*").alias("n")).select("band", "l.b", "l.b_size", "n")
     pairs = attach(member.drop("n"), lead, "band", "n").filter("node <> b").filter(F.least("size", "b_size") >= F.lit(similar) * F.greatest("size", "b_size"))
-    pairs = checkpoint(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct())
+    pairs = checkpoint(pairs.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).union(close).distinct())
     links = _verified(pairs, sets, similar)
     roots = checkpoint(components(links))
     # what it left open

@@ -56,3 +56,15 @@ def test_group_of_chains(spark, sf_dir):
     assert 5 < len(want) < 170 and kept(spark, rows, sf_dir) == want
     small = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), block=7)  # many blocks
     assert sorted(r.doc_id for r in small.collect()) == want
+
+
+def test_simhash_proposes_pairs(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(2000)]
+    other = [*base[:1000], "new", *base[1001:]]
+    rows = [(0, " ".join(base)), (1, " ".join(other)), (2, "far from both of them and short"), (3, "far from both of them and brief")]
+    d = near_copies.sketches(spark.createDataFrame(rows, "__row long, text string"))
+    nodes = {r.node: r["__row"] for r in d.collect()}
+    found = {frozenset((nodes[r.a], nodes[r.b])) for r in near_copies.by_simhash(d).collect()}
+    bits = {r["__row"]: r.fp & (2**64 - 1) for r in d.collect()}
+    assert (bits[0] ^ bits[1]).bit_count() <= 3 and found == {frozenset((0, 1))}
