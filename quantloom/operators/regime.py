@@ -87,14 +87,15 @@ def funding_allowed(dates: DataFrame, events: DataFrame, days: int = 30, q: floa
     """Per instrument with events and date: may it be held short. It may where the mean rate of the date, or else the newest before,
     is below the q quantile of the rates after the start of the day `days` before and up to the end of the date; not with fewer than three.
     Every event counts for the few dates whose window it is in, so a window is one aggregate and no date's or instrument's events
-    are gathered."""
+    are gathered. The mean of equal rates is that rate, whatever the order and number of the events."""
     known = events.filter("rate is not null").select("instrument", "ts", "event_id", "rate", "day")
     midnight = F.col("ts").cast("timestamp") == F.to_timestamp(F.date_from_unix_date(F.col("day").cast("int")))
     until = F.col("day") + F.lit(days) - midnight.cast("int")
     j = known.withColumn("_d", F.explode(F.sequence("day", until)))
     own = F.when(F.col("day") == F.col("_d"), F.col("rate"))
+    mean = F.when(F.min(own) == F.max(own), F.max(own)).otherwise(F.avg(own))
     seen = j.groupBy("instrument", F.col("_d").alias("day")).agg(
-        F.count("*").alias("n"), F.percentile("rate", F.lit(q)).alias("cut"), F.coalesce(F.avg(own), F.max_by("rate", F.struct("ts", "event_id"))).alias("recent")
+        F.count("*").alias("n"), F.percentile("rate", F.lit(q)).alias("cut"), F.coalesce(mean, F.max_by("rate", F.struct("ts", "event_id"))).alias("recent")
     )
     cells = known.select("instrument").distinct().join(dates.select("date", F.unix_date("date").alias("day")).hint("broadcast"))  # a row per date
     met = cells.join(seen, ["instrument", "day"], "left")

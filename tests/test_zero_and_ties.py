@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from quantloom.functions import scalar as S
+from quantloom.operators import regime
 from quantloom.queries import QUERIES, SQL
 
 
@@ -58,3 +59,15 @@ def test_rounding_in_binary(spark):
     xs = [0.575, 0.545, 1.005, -0.575, 2.5, 0.1234567895, None, float("inf")]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(S.nearest("x", 2)).collect()]
     assert got == [duckdb.execute("select round(?::double, 2)", [x]).fetchall()[0][0] for x in xs]
+
+
+def test_mean_of_equal_rates_is_that_rate(spark):
+    """Sums of many equal rates round, so their mean fell below or above the quantile that it equals."""
+    t = dt.datetime(2024, 1, 3, 8)
+    rates = [k / 100000 for k in range(1, 1200, 7)]
+    rows = [(i, t + dt.timedelta(minutes=k), 60 * i + k, rate, (t.date() - dt.date(1970, 1, 1)).days) for i, rate in enumerate(rates) for k in range(60)]
+    events = spark.createDataFrame(rows, "instrument long, ts timestamp_ntz, event_id long, rate double, day int").repartition(7)
+    dates = spark.createDataFrame([(t.date(),)], "date date")
+    got = regime.funding_allowed(dates, events, 10, 0.8).collect()
+    assert len(got) == len(rates)
+    assert all(r["recent"] == r["cut"] == rates[r["instrument"]] and not r["allowed"] for r in got)
