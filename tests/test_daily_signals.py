@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import daily_signals as D
+from quantloom.operators import daily_signals as D, rolling as R
 
 
 def prices(n, seed):
@@ -132,3 +132,27 @@ def test_signals_have_all_names_and_bounds(bars):
     # flat prices have no trend, no push and no entries
     flat = [r for r in rows if r.instrument == 3]
     assert {r.V8_base for r in flat} == {0.0} and {r.V2_base for r in flat} <= {0.0}
+
+
+def test_recursive_means_go_along_in_one_pass(spark):
+    """A mean of a mean in the same pass, nulls and a history longer than a batch; no row carries its history as an array."""
+    rng = random.Random(5)
+    rows = [(i, k, None if (k < 3 and i == 1) or rng.random() < 0.1 else rng.random()) for i in (1, 2, 3) for k in range(700)]
+    df = spark.createDataFrame(rows, "instrument long, day int, x double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        out = R.recursive_pass(df, m=("x", 0.01), mm=("m", 0.3))
+        got = {(r["instrument"], r["day"]): (r["m"], r["mm"]) for r in out.collect()}
+        folded = {(r["instrument"], r["day"]): (r["m"], r["mm"]) for r in R.recursive(df, m=("x", 0.01), mm=("m", 0.3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    for i in (1, 2, 3):
+        m = mm = None
+        for _, k, x in sorted(r for r in rows if r[0] == i):
+            m = x if m is None else m if x is None else 0.01 * x + 0.99 * m
+            mm = m if mm is None else 0.3 * m + 0.7 * mm
+            assert (m is None) == (got[i, k][0] is None)
+            assert folded[i, k] == (None, None) if m is None else all(abs(x - y) < 1e-12 for x, y in zip(folded[i, k], (m, mm)))
+            assert m is None or (abs(m - got[i, k][0]) < 1e-12 and abs(mm - got[i, k][1]) < 1e-12)
