@@ -177,3 +177,17 @@ def test_pipeline_edges(spark, sf_dir):
             assert out.count() <= 2 * docs.count() and (out.count() > 0) == (docs.count() > 0), name
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
         assert packed.filter("start = 0").count() == docs.count()
+
+
+def test_a_stage_called_by_itself_removes_the_shuffle_files_of_its_jobs(spark, sf_dir):
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+
+    @corpus_pipeline.tidied
+    def stage(spark, docs, sf_dir):
+        seen.append(spark.conf.get(key))
+        return docs
+
+    before = spark.conf.get(key, None)
+    stage(spark, None, sf_dir)
+    assert seen == ["true"] and spark.conf.get(key, None) == before
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
