@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quantloom.operators import rolling as R
 
 MOST = 2000
+#: Tasks that cells of pairs of factors are dealt to: a task sorts all its pairs and dates at once.
+TASKS = 256
 
 
 def calendar(returns: DataFrame) -> DataFrame:
@@ -85,9 +87,9 @@ def behaviour(net: DataFrame, panel: DataFrame) -> DataFrame:
 def daily_similarity(values: DataFrame, least: int = 20) -> DataFrame:
     """Per pair of factors (f before g) of a long table (factor, instrument, date, value): common_days, the dates on which at least so many
     instruments have both, and the mean absolute rank correlation over these."""
-    v = values.filter("value is not null")
+    v = values.filter("value is not null").repartition(TASKS, "instrument", "date")
     a, b = (v.select("instrument", "date", F.col("factor").alias(f), F.col("value").alias(x)) for f, x in (("f", "x"), ("g", "y")))
-    p = a.join(b, ["instrument", "date"]).filter("f < g")
+    p = a.join(b, ["instrument", "date"]).filter("f < g").select("f", "g", "date", "x", "y").repartition(TASKS, "f", "g", "date")
     for c in ("x", "y"):
         by = Window.partitionBy("f", "g", "date")
         p = p.withColumn(f"r{c}", F.rank().over(by.orderBy(c)) + (F.count("*").over(Window.partitionBy("f", "g", "date", c)) - 1) / 2)
