@@ -29,8 +29,10 @@ def ledgers(weights: DataFrame, returns: DataFrame, fee: float) -> DataFrame:
     turns = calendar(returns)
     w = weights.join(F.broadcast(turns), "date").select("variant", "turn", "instrument", "weight")
     r = returns.join(F.broadcast(turns), "date").select("turn", "instrument", "ret")
-    before = w.select("variant", (F.col("turn") + 1).alias("turn"), "instrument", F.col("weight").alias("old"))
-    j = w.join(before, ["variant", "turn", "instrument"], "full").join(r, ["turn", "instrument"], "left")
+    none = F.lit(0.0)
+    sides = F.array(F.struct("turn", "weight", none.alias("old")), F.struct((F.col("turn") + 1).alias("turn"), none.alias("weight"), F.col("weight").alias("old")))
+    held = w.select("variant", "instrument", F.explode(sides).alias("s")).groupBy("variant", "s.turn", "instrument").agg(F.sum("s.weight").alias("weight"), F.sum("s.old").alias("old"))
+    j = held.join(r, ["turn", "instrument"], "left")
     cells = j.groupBy("variant", "turn").agg(
         F.sum(F.coalesce("old", F.lit(0.0)) * F.coalesce("ret", F.lit(0.0))).alias("gross"), F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("turnover")
     )

@@ -9,6 +9,7 @@ from quantloom.operators import candidates as C, cross_section as X
 from quantloom.plans import catalogue, formula
 from quantloom.queries.common import add, r
 from quantloom.queries.evaluation import FP, fp, top_weights
+from quantloom.sources import tables
 
 MO = views.BARS_MO
 FEE = 0.0015
@@ -16,9 +17,9 @@ FEE = 0.0015
 
 def _weights(long):
     """Longs and shorts of the outer fifths of x per variant and date."""
-    keyed = long.withColumn("date", F.concat_ws("|", "variant", F.col("date").cast("string")))
+    keyed = long.withColumn("date", F.struct("variant", "date"))
     g = X.target_weights(X.assign_groups(keyed, "x", 5, "g"), "g").filter("value <> 0")
-    return g.select(F.split("date", r"\|")[0].alias("variant"), F.to_date(F.split("date", r"\|")[1]).alias("date"), "instrument", F.col("value").alias("weight"))
+    return g.select("date.variant", "date.date", "instrument", F.col("value").alias("weight"))
 
 
 def _weights_sql(source: str) -> str:
@@ -111,11 +112,19 @@ add(
 _NODES = {k: formula.node_count(n) for k, n in _TREES.items()}
 
 
-def _invested(s, d, fee=FEE):
+def _invested(s, d):
+    """The ledger of all variants, once for all that is told about it (a row per variant and date)."""
     wide = formula.evaluate(views.bars_mo(s, d), _TREES)
     e = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.round(k, 9).alias("x")) for k in _TREES]))
     w = _weights(wide.select("instrument", "date", e.alias("e")).select("instrument", "date", "e.variant", "e.x"))
-    return C.ledgers(w.withColumn("weight", F.col("weight") / 100), fp(s, d).select("date", "instrument", "ret"), fee)
+    w, returns = tables.staged(w.withColumn("weight", F.col("weight") / 100), "weights"), tables.staged(fp(s, d).select("date", "instrument", "ret"), "returns")
+    return tables.staged(C.ledgers(w, returns, FEE), "ledger")
+
+
+def _gated(s, d):
+    led = _invested(s, d)
+    stressed = led.withColumn("net", F.col("gross") - F.col("turnover") * (FEE * 1.5))
+    return C.cost_gates(C.net_stability(led, 12), C.net_stability(stressed, 12))
 
 
 def _whole(name: str, source: str, by: str) -> str:
@@ -151,7 +160,7 @@ add(
 )
 add(
     "a56_cost_gates",
-    lambda s, d: C.cost_gates(C.net_stability(_invested(s, d), 12), C.net_stability(_invested(s, d, FEE * 1.5), 12)),
+    _gated,
     f"""{_INVESTED}, {_stability_sql(FEE)}, {_stability_sql(FEE * 1.5, 'h')}, g AS (SELECT s.*, h.total_return AS hard_return, h.sharpe AS hard_sharpe FROM stable s JOIN hstable h USING (variant)),
     z AS (SELECT variant, concat_ws('; ', CASE WHEN positive_quarters < 3 THEN 'too few quarters with a gain' END, CASE WHEN worst_quarter_return < -0.1 THEN 'a quarter loses too much' END,
       CASE WHEN NOT coalesce(remaining_return > 0, false) THEN 'little return without the best quarter' END, CASE WHEN NOT coalesce(remaining_sharpe > 0, false) THEN 'low sharpe without the best quarter' END,
