@@ -52,3 +52,17 @@ def test_scores_are_validated_on_one_panel(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(more, "fp", lambda *a: seen.append(a) or panel(*a))
     out = more._validated(spark, sf_dir)
     assert len(seen) == 1 and "lineitem" not in _plan(out)
+
+
+def test_trees_on_cells_predict_what_trees_on_rows_do(spark):
+    import datetime as dt
+
+    from quantloom.ml import panel as L
+
+    rng = random.Random(5)
+    rows = [(i, dt.date(2020, 1, 1), rng.random(), float(rng.randrange(5)), float(i % 3 == 0), 0.0, rng.random()) for i in range(600)]
+    p = L.assemble(spark.createDataFrame(rows, "instrument long, date date, a double, b double, missing_a double, missing_b double, target double"), ["a", "b"])
+    model = L.candidates()["trees"]
+    fitted, places = L.fit_trees(model, p, ["a", "b"])
+    got, want = ({r.instrument: r.prediction for r in df.collect()} for df in (fitted.transform(places(p)), model.fit(p).transform(p)))
+    assert len(got) == 600 and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
