@@ -123,8 +123,11 @@ add("p15_symbol_normalise", lambda s, d: views.read(s, d, "part").select("p_part
 
 
 def _liquid(bars):
-    """Cells above the lowest tenth of the date's trailing week of volume; dates with few names keep all."""
+    """Cells above the lowest tenth of the date's trailing week of volume; dates with few names keep all. The cut is the lower neighbour
+    and a part of the step to the upper one, as in the SQL: `percentile` weighs both, and of neighbours a last bit apart leaves their range."""
     day = Window.partitionBy("date")
     b = bars.withColumn("v", F.sum("volume").over(R.window(7)))
-    b = b.withColumn("cut", F.percentile("v", F.lit(0.1)).over(day)).withColumn("n", F.count("*").over(day))
-    return b.filter("n <= 10 or v > cut").select("instrument", "date")
+    b = b.select("instrument", "date", "v", F.row_number().over(day.orderBy(F.asc_nulls_last("v"))).alias("k"), ((F.count("v").over(day) - 1) * 0.1).alias("at"), F.count("*").over(day).alias("n"))
+    low, high = (F.max(F.when(F.col("k") - 1 == at, F.col("v"))).over(day) for at in (F.floor("at"), F.ceil("at")))
+    b = b.withColumn("low", low).withColumn("high", high)
+    return b.filter("n <= 10 or v > low + (high - low) * (at - floor(at))").select("instrument", "date")
