@@ -9,7 +9,7 @@ from quantloom import views
 from quantloom.ml import panel as L, selection as S
 from quantloom.queries.common import add, r
 from quantloom.queries.evaluation import FP, fp
-from quantloom.queries.tables import FACTORS, bounds, built
+from quantloom.queries.tables import FACTORS, bounds
 from quantloom.sources import tables
 
 # principal components: SQL finds the two largest by power iteration on DuckDB's covariances
@@ -70,8 +70,9 @@ add(
 
 def _features(s, d):
     """Ranked features with missing indicators, and a target, for months with enough of them."""
-    t = L.targets(fp(s, d), "label", 20).select("instrument", "date", "target")
-    return L.features(built(s, d), FACTORS).join(t, ["instrument", "date"]).filter("target is not null and present")
+    t = L.targets(fp(s, d).select("instrument", "date", "eligible", *FACTORS, "label"), "label", 20)
+    p = L.ranked(t, "eligible", FACTORS).select("instrument", "date", "target", *FACTORS)
+    return L.features(p, FACTORS).filter("target is not null and present")
 
 
 def _split_rows(s, d):

@@ -5,8 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quantloom.ml import panel as L
 from quantloom.operators import candidates as C, evaluation as E
-from quantloom.queries import candidates as QC, more
+from quantloom.queries import candidates as QC, models, more
+from quantloom.queries.evaluation import fp
+from quantloom.queries.tables import FACTORS, built
 
 
 def _plan(df):
@@ -66,3 +69,18 @@ def test_trees_on_cells_predict_what_trees_on_rows_do(spark):
     fitted, places = L.fit_trees(model, p, ["a", "b"])
     got, want = ({r.instrument: r.prediction for r in df.collect()} for df in (fitted.transform(places(p)), model.fit(p).transform(p)))
     assert len(got) == 600 and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+
+
+def test_ranked_features_come_from_one_panel(spark):
+    sf = "/root/testdata/sf0.001"
+    got = models._features(spark, sf)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1  # one read of the lines
+    t = L.targets(fp(spark, sf), "label", 20).select("instrument", "date", "target")
+    want = L.features(built(spark, sf), FACTORS).join(t, ["instrument", "date"]).filter("target is not null and present")
+    columns = sorted(want.columns)
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert sorted(got.columns) == columns
+    small = fp(spark, sf).filter("eligible").select("instrument", "date", *FACTORS)
+    ranked = L.ranked(fp(spark, sf), "eligible", FACTORS).select("instrument", "date", *FACTORS)
+    assert small.count() > 0 and sorted(map(tuple, ranked.collect())) == sorted(map(tuple, built(spark, sf).select("instrument", "date", *FACTORS).collect()))
+    assert rows(got) == rows(want)
