@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quantloom.functions.scalar import clip, col
+from quantloom.functions.scalar import clip, col, fused
 from quantloom.operators import rolling as R
 
 PRIOR = 1.3
@@ -86,17 +86,26 @@ def smoothed(df: DataFrame, x: str, out: str, weight: float = 0.05) -> DataFrame
 def funding_allowed(dates: DataFrame, events: DataFrame, days: int = 30, q: float = 0.8) -> DataFrame:
     """Per instrument with events and date: may it be held short. It may where the mean rate of the date, or else the newest before,
     is below the q quantile of the rates after the start of the day `days` before and up to the end of the date; not with fewer than three.
-    Every event counts for the few dates whose window it is in, so a window is one aggregate and no date's or instrument's events
-    are gathered. The mean of equal rates is that rate, whatever the order and number of the events."""
-    known = events.filter("rate is not null").select("instrument", "ts", "event_id", "rate", "day")
+    Every event counts for the few dates whose window it is in; a window's rates are sorted for their places and then are one aggregate,
+    and no date's or instrument's events are gathered. The cut weighs its two neighbours and rounds once, as the SQL's quantile does, so that
+    a mean which equals it falls on the same side. A date's rates are added up in the order of the events, wherever they lie; the mean of equal
+    rates is that rate, whatever their number."""
+    so_far = Window.partitionBy("instrument", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    known = events.filter("rate is not null").select("instrument", "ts", "event_id", "rate", "day", (F.sum("rate").over(so_far) / F.count("*").over(so_far)).alias("_mean"))
     midnight = F.col("ts").cast("timestamp") == F.to_timestamp(F.date_from_unix_date(F.col("day").cast("int")))
     until = F.col("day") + F.lit(days) - midnight.cast("int")
+    each = Window.partitionBy("instrument", "_d")
     j = known.withColumn("_d", F.explode(F.sequence("day", until)))
-    own = F.when(F.col("day") == F.col("_d"), F.col("rate"))
-    mean = F.when(F.min(own) == F.max(own), F.max(own)).otherwise(F.avg(own))
+    j = j.withColumn("_k", F.row_number().over(each.orderBy("rate")) - 1).withColumn("_at", (F.count("*").over(each) - 1) * F.lit(q))
+    today, at = F.col("day") == F.col("_d"), F.struct("ts", "event_id")
+    own = F.when(today, F.col("rate"))
+    mean = F.when(F.min(own) == F.max(own), F.max(own)).otherwise(F.max_by("_mean", F.when(today, at)))
+    low, high = (F.max(F.when(F.col("_k") == place, F.col("rate"))) for place in (F.floor("_at"), F.ceil("_at")))
     seen = j.groupBy("instrument", F.col("_d").alias("day")).agg(
-        F.count("*").alias("n"), F.percentile("rate", F.lit(q)).alias("cut"), F.coalesce(mean, F.max_by("rate", F.struct("ts", "event_id"))).alias("recent")
+        F.count("*").alias("n"), low.alias("_low"), high.alias("_high"), F.max(F.col("_at") - F.floor("_at")).alias("_part"), F.coalesce(mean, F.max_by("rate", at)).alias("recent")
     )
+    between = fused("_low", 1 - F.col("_part"), F.col("_high") * F.col("_part"))
+    seen = seen.withColumn("cut", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between))
     cells = known.select("instrument").distinct().join(dates.select("date", F.unix_date("date").alias("day")).hint("broadcast"))  # a row per date
     met = cells.join(seen, ["instrument", "day"], "left")
     n = F.coalesce("n", F.lit(0))
